@@ -147,10 +147,11 @@ def segments_of(scores, stamps, threshold) -> Column:
     ends = F.concat(later, F.array(F.try_element_at(checked, F.lit(-1)) + step))
     frames = F.transform(
         F.arrays_zip(checked.alias("t"), ends.alias("e"), s.alias("s")),
-        lambda f: F.struct(f["t"].alias("t"), f["e"].alias("e"), f["s"].alias("s")),
+        lambda f, i: F.struct(f["t"].alias("t"), f["e"].alias("e"), f["s"].alias("s"), i.alias("i")),
     )
     empty = F.array().cast(
-        "array<struct<start_s:double,end_s:double,peak_score:double,peak_time_s:double,n_frames:int,open:boolean>>"
+        "array<struct<start_s:double,end_s:double,peak_score:double,peak_time_s:double,"
+        "n_frames:int,first:int,open:boolean>>"
     )
 
     def close(segs: Column) -> Column:
@@ -160,7 +161,7 @@ def segments_of(scores, stamps, threshold) -> Column:
         last = F.try_element_at(segs, F.lit(-1))
         fresh = F.struct(
             f["t"].alias("start_s"), f["e"].alias("end_s"), f["s"].alias("peak_score"), f["t"].alias("peak_time_s"),
-            F.lit(1).alias("n_frames"), F.lit(True).alias("open"),
+            F.lit(1).alias("n_frames"), f["i"].alias("first"), F.lit(True).alias("open"),
         )
         higher = f["s"] > last["peak_score"]
         grown = F.struct(
@@ -168,7 +169,8 @@ def segments_of(scores, stamps, threshold) -> Column:
             f["e"].alias("end_s"),
             F.when(higher, f["s"]).otherwise(last["peak_score"]).alias("peak_score"),
             F.when(higher, f["t"]).otherwise(last["peak_time_s"]).alias("peak_time_s"),
-            (last["n_frames"] + 1).alias("n_frames"),
+            (f["i"] - last["first"] + 1).alias("n_frames"),
+            last["first"].alias("first"),
             F.lit(True).alias("open"),
         )
         hit = f["s"] >= c(threshold)
