@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .hashing import hash_fraction
 from .numeric import c, half_up
@@ -26,7 +29,9 @@ def spaced(last: Column, n: int) -> Column:
 def frame_indices(n_total, n_want: int, strategy: str = "uniform", seed=None) -> Column:
     """Which frames to read. Short clips give every frame once.
 
-    ``random`` keeps the frames whose hash with ``seed`` is smallest, in frame order.
+    ``random`` draws without replacement in ``n_want`` hashed steps, whatever the clip's
+    length: step ``i`` picks from the first ``n - n_want + i + 1`` frames, and takes the
+    last of these if its pick is already in.
     """
     if strategy not in ("uniform", "dense", "random"):
         raise ValueError(f"unknown sampling strategy {strategy!r}")
@@ -39,10 +44,14 @@ def frame_indices(n_total, n_want: int, strategy: str = "uniform", seed=None) ->
         chosen = F.sequence(start, start + n_want - 1)
     else:
         s = F.lit("0") if seed is None else c(seed).cast("string")
-        ranked = F.array_sort(
-            F.transform(every, lambda i: F.struct(hash_fraction(F.concat(s, F.lit(":"), i.cast("string"))), i.alias("i")))
-        )
-        chosen = F.array_sort(F.transform(F.slice(ranked, 1, n_want), lambda r: r["i"]))
+
+        def draw(acc: Column, i: Column) -> Column:
+            top = n - n_want + i
+            pick = F.floor(hash_fraction(F.concat(s, F.lit(":"), i.cast("string"))) * (top + 1))
+            return F.array_append(acc, F.when(F.array_contains(acc, pick), top).otherwise(pick))
+
+        steps = F.sequence(F.lit(0).cast("bigint"), F.lit(n_want - 1).cast("bigint"))
+        chosen = F.array_sort(F.aggregate(steps, F.array().cast("array<bigint>"), draw))
     return F.when(n <= n_want, every).otherwise(chosen)
 
 
@@ -105,21 +114,23 @@ def bit_signature(values) -> Column:
     return F.aggregate(v, F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR((x > median).cast("bigint")))
 
 
+def cosine_basis(size: int, keep: int) -> np.ndarray:
+    k, x = np.arange(keep)[:, None], np.arange(size)[None, :]
+    scale = np.where(k == 0, np.sqrt(1 / size), np.sqrt(2 / size))
+    return scale * np.cos(np.pi * (2 * x + 1) * k / (2 * size))
+
+
 def cosine_transform_2d(pixels, size: int, keep: int = 8) -> Column:
     """Top-left ``keep x keep`` block of the orthonormal 2-D cosine transform.
 
-    ``pixels`` is one row's flat ``size x size`` grey patch. The basis is a literal, so
-    the transform is two small products of array expressions inside the row.
+    ``pixels`` is one row's flat ``size x size`` grey patch. Arrow batches of patches
+    are transformed with two matrix products.
     """
-    from math import cos, pi, sqrt
-
-    basis = F.array(*[
-        F.lit([(sqrt(1 / size) if k == 0 else sqrt(2 / size)) * cos(pi * (2 * x + 1) * k / (2 * size))
-               for x in range(size)])
-        for k in range(keep)
-    ])
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
-    rows = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda r: F.slice(c(pixels), r * size + 1, size))
-    half = F.transform(basis, lambda b: F.transform(rows, lambda r: dot(r, b)))
-    # half[k][row]: transform along rows; the second product runs along columns.
-    return F.flatten(F.transform(basis, lambda b: F.transform(half, lambda h: dot(h, b))))
+    basis = cosine_basis(size, keep)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def transform(rows: pd.Series) -> pd.Series:
+        block = np.stack(rows.to_numpy()).reshape(-1, size, size)
+        return pd.Series(list((basis @ block @ basis.T).reshape(len(block), keep * keep)))
+
+    return transform(c(pixels))
