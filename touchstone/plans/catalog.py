@@ -1,6 +1,6 @@
 """All registered queries: importing this module fills the registry."""
 
-from . import manifest_queries, metric_queries, scoring_queries  # noqa: F401
+from . import manifest_queries, metric_queries, scoring_queries, stream_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
