@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_fraction
 from ..functions.numeric import half_up
 from ..schemas import COMPRESSIONS, DATASETS, MANIFEST, SPLITS, require_columns
-from .ordered import hash_level, keyed, quantiles, running_sums
+from .ordered import hash_level, keyed, quantiles, running_sums, score_level
 
 # --------------------------------------------------------------------------
 # row rules
@@ -295,3 +295,20 @@ def degrade_manifest(m: DataFrame, recipes: Sequence[str], done: DataFrame | Non
         "duration_s",
         "sha256",
     )
+
+
+def domain_ids(df: DataFrame, key: str, seq: str, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(value, id) numbered in first-seen order; known values keep their ids.
+
+    Pass the table returned for earlier batches as ``vocabulary``.
+    """
+    seen = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("value")).agg(F.min(seq).cast("double").alias("_f"))
+    if vocabulary is not None:
+        seen = seen.join(vocabulary.select("value"), "value", "left_anti")
+    seen, keys = keyed(seen.withColumn("one", F.lit(1)), [])
+    ranked = running_sums(seen, keys, [score_level("_f", descending=False)], ["_f", "value"], ["one"])
+    if vocabulary is None:
+        return ranked.selectExpr("value", "one_before AS id")
+    size = vocabulary.agg(F.count(F.lit(1)).alias("_k"))
+    new = ranked.crossJoin(F.broadcast(size)).selectExpr("value", "one_before + _k AS id")
+    return vocabulary.select("value", "id").unionByName(new)

@@ -24,8 +24,8 @@ SCORED = T.StructType(
 def score(df: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], keep: list[str] | None = None) -> DataFrame:
     """Run ``predict`` over Arrow batches; it returns ``logit`` and maybe ``frame_logits``.
 
-    A batch that raises is retried row by row, so that one bad clip costs one row: its
-    ``error`` is ``Type: message`` and its logit null.
+    A batch that raises is halved until the failing rows stand alone, so one bad clip
+    costs one row: its ``error`` is ``Type: message`` and its logit null.
     """
     keep = keep or df.columns
     schema = T.StructType([df.schema[k] for k in keep] + list(SCORED))
@@ -38,19 +38,22 @@ def score(df: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], keep:
         got["error"] = ""
         return got
 
+    def attempt(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        try:
+            yield rows(batch)
+        except Exception as e:  # noqa: BLE001 - narrowed down to the failing rows
+            if len(batch) > 1:
+                half = len(batch) // 2
+                yield from attempt(batch.iloc[:half])
+                yield from attempt(batch.iloc[half:])
+                return
+            bad = batch[keep].reset_index(drop=True)
+            bad["logit"], bad["frame_logits"], bad["error"] = float("nan"), [[]], f"{type(e).__name__}: {e}"
+            yield bad
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                yield rows(batch)
-            except Exception:  # noqa: BLE001 - the failing row is found below
-                for i in range(len(batch)):
-                    one = batch.iloc[[i]]
-                    try:
-                        yield rows(one)
-                    except Exception as e:  # noqa: BLE001 - recorded in the row
-                        bad = one[keep].reset_index(drop=True)
-                        bad["logit"], bad["frame_logits"], bad["error"] = float("nan"), [[]], f"{type(e).__name__}: {e}"
-                        yield bad
+            yield pd.concat(list(attempt(batch)))
 
     out = df.mapInPandas(run, schema)
     return out.withColumn("logit", F.when(F.col("error") == "", F.col("logit")))

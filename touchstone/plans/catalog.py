@@ -1,6 +1,12 @@
 """All registered queries: importing this module fills the registry."""
 
-from . import manifest_queries, metric_queries, scoring_queries, stream_queries  # noqa: F401
+from . import (  # noqa: F401
+    manifest_queries,
+    metric_queries,
+    scoring_queries,
+    stream_queries,
+    text_queries,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
