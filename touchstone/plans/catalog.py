@@ -3,6 +3,7 @@
 from . import (  # noqa: F401
     manifest_queries,
     metric_queries,
+    run_queries,
     scoring_queries,
     stream_queries,
     text_queries,

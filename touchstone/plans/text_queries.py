@@ -40,7 +40,7 @@ def _(t):
     )
 
 
-@query("p9_overclaims", "", r"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '(?i)\b(solves?|solved|robust to all|state[- ]of[- ]the[- ]art|significantly outperforms|proves?|guarantees?|eliminates?|fully generaliz|completely|the|le|der)\b') AS hits FROM documents)
+@query("p9_overclaims", "", r"""WITH m AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[À-ÖØ-öø-ɏ]', 'x', 'g'), '(?i)\b(solves?|solved|robust to all|state[- ]of[- ]the[- ]art|significantly outperforms|proves?|guarantees?|eliminates?|fully generaliz|completely|the|le|der)\b') AS hits FROM documents)
    SELECT doc_id, lower(u.phrase) AS phrase, count(*) AS n FROM m, LATERAL (SELECT unnest(hits) AS phrase) u GROUP BY 1, 2""")
 def _(t):
     # Three frequent words join the list so that the scan has hits on invented prose.
@@ -49,7 +49,7 @@ def _(t):
     return hits.groupBy("doc_id", F.lower("phrase").alias("phrase")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p9_overclaim_lines", "", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents)
+@query("p9_overclaim_lines", "", r"""WITH l AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS no FROM (SELECT doc_id, regexp_replace(text, '[À-ÖØ-öø-ɏ]', 'x', 'g') AS x FROM documents))
    SELECT doc_id, no::INT AS line, len(regexp_extract_all(line, '(?i)\b(the|le|der)\b')) AS n FROM l WHERE regexp_matches(line, '(?i)\b(the|le|der)\b')""")
 def _(t):
     hits = X.overclaims(_docs(t), "doc_id", pattern=r"(?i)\b(the|le|der)\b")
@@ -79,8 +79,13 @@ def _(t):
     return X.divergence(logs)
 
 
-@query("f9_licensed_numbers", "preds", f"""SELECT video_id, array_to_string(list_sort(list_distinct(list_filter(list_transform([video_score, round_even(video_score, 2), round_even(video_score, 1), round_even(video_score * 100, 0), round_even(video_score * 100, 1)],
-   lambda v: {NUM('v')}), lambda s: NOT list_contains(list_transform(range(0, 65), lambda i: i::VARCHAR), s)))), ' ') AS extra FROM preds""")
+def _even(d: int) -> str:
+    """Half-even quotient of the integer ``k`` by ``d``."""
+    return f"(k // {d} + CASE WHEN k % {d} * 2 > {d} OR (k % {d} * 2 = {d} AND k // {d} % 2 = 1) THEN 1 ELSE 0 END)"
+
+
+@query("f9_licensed_numbers", "preds", f"""SELECT video_id, array_to_string(list_sort(list_distinct(list_filter(list_transform([k / 10000, {_even(100)} / 100, {_even(1000)} / 10, {_even(100)}, {_even(10)} / 10],
+   lambda v: {NUM('v')}), lambda s: NOT list_contains(list_transform(range(0, 65), lambda i: i::VARCHAR), s)))), ' ') AS extra FROM (SELECT video_id, round(video_score * 10000)::BIGINT AS k FROM preds)""")
 def _(t):
     small = F.lit([str(i) for i in range(65)])
     extra = F.array_sort(F.array_except(X.licensed_numbers(F.array("video_score")), small))
@@ -144,7 +149,7 @@ def _(t):
     return p.select("video_id", "verdict", "calibrated_probability", "abstained", "calibration_reliable", F.size("suspicious_segments").alias("n_segments"), F.col("confidence_interval")[0].alias("ci_low"))
 
 
-@query("f12_explain_payload", "frames", f"""WITH {_SEGS} SELECT clip::VARCHAR AS video_id, n AS n_frames, {R('low', 4)} AS lo, {R('peak', 4)} AS hi, {R('peak_ts', 3)} AS peak_ts, {R('sync', 3)} AS sync FROM sg""")
+@query("f12_explain_payload", "frames", f"""WITH {_SEGS} SELECT clip::VARCHAR AS video_id, n AS n_frames, {R('low', 4)} AS lo, {R('peak', 4)} AS hi, {R('peak_ts', 3)} AS peak_ts, {R(R('sync', 4), 3)} AS sync FROM sg""")
 def _(t):
     p = V.explain_payload(results(t))
     return p.select("video_id", F.col("payload.n_frames_scored").alias("n_frames"), F.col("payload.frame_score_min").alias("lo"), F.col("payload.frame_score_max").alias("hi"),
