@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -144,39 +145,104 @@ def localisation(frames: DataFrame, intervals: DataFrame, thr: float, clip: str
 # --------------------------------------------------------------------------
 # face tracks
 # --------------------------------------------------------------------------
+BOX = ["seq", "x0", "y0", "x1", "y1", "conf"]
+
+
+def _walk(boxes: list, entry, max_jump: float) -> list:
+    """Boxes chosen frame by frame, starting after ``entry``; ``boxes`` sorted by (pos, seq)."""
+    mid = lambda b: ((b["x0"] + b["x1"]) / 2, (b["y0"] + b["y1"]) / 2)
+    area = lambda b: (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
+    out, prev = [], entry
+    for _, group in groupby(boxes, key=lambda b: b["pos"]):
+        frame = list(group)
+        px, py = mid(prev)
+        gaps = [float(np.hypot(mid(b)[0] - px, mid(b)[1] - py)) for b in frame]
+        near = min(range(len(frame)), key=gaps.__getitem__)
+        prev = frame[near] if gaps[near] <= max_jump else max(frame, key=area)
+        out.append(prev)
+    return out
+
+
 def main_track(
-    boxes: DataFrame, clip: str = "clip", frame: str = "frame", wh: tuple[float, float] = (1280.0, 720.0)
+    boxes: DataFrame,
+    clip: str = "clip",
+    frame: str = "frame",
+    wh: tuple[float, float] = (1280.0, 720.0),
+    chunk: int = 4096,
 ) -> DataFrame:
-    """One box per frame: follow the nearest face, starting from the largest.
+    """One box per frame: follow the nearest face outward from the largest one.
 
-    Each step depends on the box chosen before it, so a clip is walked in frame order.
-    Only candidates that could ever be chosen are shipped: frames with a single box
-    keep it, and a clip arrives as one compact group of numbers.
+    Each choice hangs on the one before it, yet a stretch of frames only maps "box held
+    on entry" to "box held on exit", and there are as many entries as faces in one
+    frame. So clips are cut into stretches of ``chunk`` frames: every stretch works out
+    its map on its own, the maps (a few numbers each) are chained per clip, and every
+    stretch is walked once more from its true entry.
     """
     max_jump = 0.25 * float(np.hypot(*wh))
-    cols = [clip, frame, "seq", "x0", "y0", "x1", "y1", "conf"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.select(*cols).schema)
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([frame, "seq"], ignore_index=True)
-        cx = ((pdf.x0 + pdf.x1) / 2).to_numpy()
-        cy = ((pdf.y0 + pdf.y1) / 2).to_numpy()
-        area = ((pdf.x1 - pdf.x0) * (pdf.y1 - pdf.y0)).to_numpy()
-        _, starts = np.unique(pdf[frame].to_numpy(), return_index=True)
-        groups = [np.arange(a, b) for a, b in zip(starts, [*starts[1:], len(pdf)])]
-        top = int(np.argmax(area))
-        at = int(np.searchsorted(starts, top, side="right")) - 1
-        chosen = [top]
-        for walk in (range(at + 1, len(groups)), range(at - 1, -1, -1)):
-            prev = top
-            for g in walk:
-                cand = groups[g]
-                d = np.hypot(cx[cand] - cx[prev], cy[cand] - cy[prev])
-                prev = int(cand[np.argmin(d)] if d.min() <= max_jump else cand[np.argmax(area[cand])])
-                chosen.append(prev)
-        return pdf.iloc[sorted(chosen)][cols]
-
-    return boxes.select(*cols).groupBy(clip).applyInPandas(follow, schema)
+    kind = {f.name: f.dataType.simpleString() for f in boxes.schema}
+    box = f"struct<pos:bigint,{','.join(f'{k}:{kind[k]}' for k in BOX)}>"
+    key = f"{clip} {kind[clip]}, side int, chunk bigint"
+
+    top = boxes.groupBy(clip).agg(
+        F.expr(
+            f"max(struct((x1 - x0) * (y1 - y0) AS area, -`{frame}` AS f, -seq AS s, "
+            f"named_struct('pos', 0L, {', '.join(f'{chr(39)}{k}{chr(39)}, {k}' for k in BOX)}) AS box)) AS top"
+        )
+    )
+    placed = boxes.join(top, clip).selectExpr(
+        f"`{clip}`",
+        f"CAST(sign(`{frame}` + top.f) AS INT) AS side",
+        f"CAST(floor(abs(`{frame}` + top.f) / {chunk}) AS BIGINT) AS chunk",
+        f"named_struct('pos', CAST(abs(`{frame}` + top.f) AS BIGINT), {', '.join(f'{chr(39)}{k}{chr(39)}, {k}' for k in BOX)}) AS box",
+        "top.box AS anchor",
+    )
+    stretches = (
+        placed.where("side <> 0")
+        .groupBy(clip, "side", "chunk")
+        .agg(F.sort_array(F.collect_list("box")).alias("boxes"), F.first("anchor").alias("anchor"))
+    )
+    tail = F.expr("filter(boxes, b -> b.pos = boxes[size(boxes) - 1].pos)")
+    onward = Window.partitionBy(clip, "side").orderBy("chunk")
+    stretches = stretches.withColumn("entries", F.coalesce(F.lag(tail).over(onward), F.array("anchor")))
+
+    def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            exits = [
+                [_walk(list(bs), e, max_jump)[-1]["seq"] for e in es] for bs, es in zip(b["boxes"], b["entries"])
+            ]
+            ins = [[e["seq"] for e in es] for es in b["entries"]]
+            yield b[[clip, "side", "chunk"]].assign(ins=ins, outs=exits)
+
+    maps = stretches.mapInPandas(transfer, f"{key}, ins array<bigint>, outs array<bigint>")
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        held, entered = None, []
+        for ins, outs in zip(*(pdf.sort_values("chunk")[k] for k in ("ins", "outs"))):
+            at = 0 if held is None else list(ins).index(held)
+            entered.append(ins[at])
+            held = outs[at]
+        return pdf.sort_values("chunk")[[clip, "side", "chunk"]].assign(entry=entered)
+
+    entries = maps.groupBy(clip, "side").applyInPandas(chain, f"{key}, entry bigint")
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            picked = [
+                _walk(list(bs), next(e for e in es if e["seq"] == held), max_jump)
+                for bs, es, held in zip(b["boxes"], b["entries"], b["entry"])
+            ]
+            yield b[[clip, "side", "anchor_frame"]].assign(picked=picked)
+
+    anchors = top.selectExpr(f"`{clip}`", "-top.f AS anchor_frame", "top.box AS box")
+    walked = (
+        stretches.join(entries, [clip, "side", "chunk"])
+        .join(anchors.select(clip, "anchor_frame"), clip)
+        .mapInPandas(choose, f"{clip} {kind[clip]}, side int, anchor_frame {kind[frame]}, picked array<{box}>")
+        .select(clip, "side", "anchor_frame", F.explode("picked").alias("box"))
+        .selectExpr(f"`{clip}`", f"CAST(anchor_frame + side * box.pos AS {kind[frame]}) AS `{frame}`", "box")
+    )
+    both = walked.unionByName(anchors.selectExpr(f"`{clip}`", f"CAST(anchor_frame AS {kind[frame]}) AS `{frame}`", "box"))
+    return both.select(clip, frame, *[f"box.{k}" for k in BOX])
 
 
 # --------------------------------------------------------------------------

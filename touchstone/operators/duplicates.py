@@ -100,25 +100,20 @@ def class_links(
     )
 
 
-def near_duplicates(hashes: DataFrame, threshold: int = 6, min_frames: int = 3) -> DataFrame:
-    """Every matching pair of clips, ids in order, with the truncated mean distance.
+def near_duplicates(
+    hashes: DataFrame, threshold: int = 6, min_frames: int = 3, hot_key: int = HOT_KEY
+) -> DataFrame:
+    """Every match, as links between classes: (rep_a, rep_b, n_a, n_b, n_frames, distance).
 
-    The list itself is as long as the copies are many; ``classify`` counts pairs
-    without listing them.
+    A link stands for all ``n_a * n_b`` pairs of its members (see ``members``), which
+    share one distance since copies have equal signatures. A class of several copies
+    links to itself at distance 0, standing for its ``n * (n - 1) / 2`` pairs.
     """
-    member = members(hashes)
-    links = class_links(classes(hashes), threshold, min_frames)
-    a, b = member.alias("a"), member.alias("b")
-    across = (
-        links.join(a, F.expr("a.rep = rep_a"))
-        .join(b, F.expr("b.rep = rep_b"))
-        .selectExpr("least(a.video_id, b.video_id) AS video_a", "greatest(a.video_id, b.video_id) AS video_b", "distance")
+    cls = classes(hashes)
+    own = cls.where((F.size("phash") >= min_frames) & (F.col("n") > 1)).selectExpr(
+        "rep AS rep_a", "rep AS rep_b", "n AS n_a", "n AS n_b", "size(phash) AS n_frames", "0 AS distance"
     )
-    long_enough = classes(hashes).where((F.size("phash") >= min_frames) & (F.col("n") > 1)).select("rep")
-    copies = member.join(long_enough, "rep", "left_semi")
-    within = copies.alias("a").join(copies.alias("b"), F.expr("a.rep = b.rep AND a.video_id < b.video_id"))
-    within = within.selectExpr("a.video_id AS video_a", "b.video_id AS video_b", "0 AS distance")
-    return across.unionByName(within)
+    return class_links(cls, threshold, min_frames, hot_key).unionByName(own)
 
 
 def classify(hashes: DataFrame, manifest: DataFrame, threshold: int = 6, min_frames: int = 3) -> DataFrame:

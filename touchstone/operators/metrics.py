@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_fraction
 from ..functions.numeric import c, clip, closed_open_bin, half_open_bin, half_up, ratio
 from . import roc
-from .ordered import ALL, hash_level, keyed, running_sums, score_level
+from .ordered import gone, hash_level, keyed, running_sums, score_level
 
 
 def with_threshold(df: DataFrame, thr, by: Sequence[str] = (), name: str = "threshold") -> DataFrame:
@@ -53,7 +53,7 @@ def decisions(df: DataFrame, label: str, score: str, thr, by: Sequence[str] = ()
         F.count(F.when(truth & ~hit, 1)).alias("fn"),
         F.count(F.when(~truth & ~hit, 1)).alias("tn"),
     )
-    return counted.withColumns(decision_columns()).drop(ALL)
+    return counted.withColumns(decision_columns()).drop(*gone(by))
 
 
 # --------------------------------------------------------------------------
@@ -87,7 +87,7 @@ def calibration(df: DataFrame, label: str, prob: str, n_bins: int = 15, by: Sequ
     """ECE, MCE and Brier score in one pass over per-bin counts."""
     data, keys = keyed(df, by)
     bins = reliability_bins(data, label, prob, n_bins, keys)
-    return bins.groupBy(*keys).agg(*[a.alias(k) for k, a in calibration_aggs().items()]).drop(ALL)
+    return bins.groupBy(*keys).agg(*[a.alias(k) for k, a in calibration_aggs().items()]).drop(*gone(by))
 
 
 def ece(df, label: str, prob: str, n_bins: int = 15, by: Sequence[str] = ()) -> DataFrame:
@@ -121,7 +121,7 @@ def reliability(df: DataFrame, label: str, prob: str, n_bins: int = 15, by: Sequ
             ratio("hits", "n").alias("observed"),
             F.coalesce("n", F.lit(0)).alias("n"),
         )
-        .drop(ALL)
+        .drop(*gone(by))
     )
 
 
@@ -162,7 +162,7 @@ def risk_coverage(df: DataFrame, label: str, prob: str, thr, row_id: str, by: Se
         rank.alias("rank"),
         ratio(rank, "one_total").alias("coverage"),
         (F.lit(1.0) - ratio(F.col("right_before") + F.col("right"), rank)).alias("risk"),
-    ).drop(ALL)
+    ).drop(*gone(by))
 
 
 def risk_at(
@@ -217,12 +217,12 @@ def risk_at(
     value = f"""CASE WHEN coverage <= {k0} / {n} OR {k0} = {k1} THEN {r0}
         ELSE {r0} + ({r1} - {r0}) / ({k1} / {n} - {k0} / {n}) * (coverage - {k0} / {n}) END"""
     both = risks.withColumnRenamed("cov", "coverage").groupBy(*keys, "coverage").agg(F.expr(value).alias("risk"))
-    return both.drop(ALL)
+    return both.drop(*gone(by))
 
 
 def abstain_rate(df: DataFrame, abstain: str, by: Sequence[str] = ()) -> DataFrame:
     data, keys = keyed(df, by)
-    return data.groupBy(*keys).agg(F.avg(F.col(abstain).cast("double")).alias("abstain_rate")).drop(ALL)
+    return data.groupBy(*keys).agg(F.avg(F.col(abstain).cast("double")).alias("abstain_rate")).drop(*gone(by))
 
 
 # --------------------------------------------------------------------------
@@ -291,7 +291,7 @@ def evaluate(
         out = out.withColumn("abstain_rate", F.lit(None).cast("double"))
     confusion = F.array(F.array("tn", "fp"), F.array("fn", "tp"))
     return out.withColumns({"confusion": confusion, "threshold_source": F.lit(thr_source)}).drop(
-        "var", "needs_bootstrap", ALL
+        "var", "needs_bootstrap", *gone(by)
     )
 
 
@@ -378,7 +378,7 @@ def psi(base: DataFrame, live: DataFrame, col: str, n_bins: int = 10, by: Sequen
         F.sum("nb").alias("tb"),
         F.sum("nl").alias("tl"),
     )
-    return totals.select(*keys, psi_from_counts("m", "tb", "tl", n_bins).alias("psi")).drop(ALL)
+    return totals.select(*keys, psi_from_counts("m", "tb", "tl", n_bins).alias("psi")).drop(*gone(by))
 
 
 def psi_from_counts(m: str, tb: str, tl: str, n_bins: int) -> Column:

@@ -53,6 +53,11 @@ def keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn(ALL, F.lit(1)), [ALL]
 
 
+def gone(by: Sequence[str]) -> list[str]:
+    """The constant key, where ``keyed`` added one."""
+    return [] if by else [ALL]
+
+
 def running_sums(
     df: DataFrame,
     by: Sequence[str],
@@ -118,7 +123,7 @@ def hash_rank(df: DataFrame, by: Sequence[str], key: Column, row_id: str, name:
     out = running_sums(df, keys, [hash_level("_u")], ["_u", f"`{row_id}`"], ["_one"])
     return (
         out.withColumns({name: F.col("_one_before") + 1, f"{name}_of": F.col("_one_total")})
-        .drop("_u", "_one", "_one_before", "_one_total", ALL)
+        .drop("_u", "_one", "_one_before", "_one_total", *gone(by))
     )
 
 
@@ -141,7 +146,7 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[s
         hi = f"max(CASE WHEN ceil({pos}) >= _n_before AND ceil({pos}) < _n_before + _n THEN _x END)"
         part = f"max({pos} - floor({pos}))"
         aggs.append(F.expr(f"{lo} + ({hi} - {lo}) * {part}").alias(name))
-    return ranked.groupBy(*keys).agg(*aggs).drop(ALL)
+    return ranked.groupBy(*keys).agg(*aggs).drop(*gone(by))
 
 
 def order_statistic(df: DataFrame, value: str, index: str, by: Sequence[str] = (), name: str = "value") -> DataFrame:
@@ -155,4 +160,4 @@ def order_statistic(df: DataFrame, value: str, index: str, by: Sequence[str] = (
     ranked = running_sums(counts, keys, [score_level("_x", descending=False)], ["_x"], ["_n"])
     ranked = ranked.withColumnRenamed("_n_total", "n")
     here = F.expr(f"({index}) >= _n_before AND ({index}) < _n_before + _n")
-    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), F.max(F.when(here, F.col("_x"))).alias(name)).drop(ALL)
+    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), F.max(F.when(here, F.col("_x"))).alias(name)).drop(*gone(by))

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.hashing import poisson_weight
 from ..functions.numeric import ratio
-from .ordered import ALL, keyed, running_sums, score_level
+from .ordered import ALL, gone, keyed, running_sums, score_level
 
 TINY = 1e-12
 INF = float("inf")
@@ -68,7 +68,7 @@ def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) ->
         *keys, F.lit(INF).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )
     points = table.where("corner").select(*keys, F.col("score").alias("threshold"), "fpr", "tpr")
-    return points.unionByName(start).drop(ALL)
+    return points.unionByName(start).drop(*gone(by))
 
 
 # --------------------------------------------------------------------------
@@ -185,7 +185,7 @@ def register_metric(name: str, fn: Callable[[], Column]) -> None:
 
 def summarize(table: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
     keys = list(by) or [ALL]
-    return table.groupBy(*keys).agg(*[a.alias(k) for k, a in aggs.items()]).drop(ALL)
+    return table.groupBy(*keys).agg(*[a.alias(k) for k, a in aggs.items()]).drop(*gone(by))
 
 
 def auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -270,14 +270,14 @@ def delong_ci(
     data, keys = keyed(df, by)
     stats = with_interval(delong(data, label, score, keys), alpha)
     if row_id is None:
-        return stats.drop("var", "needs_bootstrap", ALL)
+        return stats.drop("var", "needs_bootstrap", *gone(by))
     rest = stats.where("needs_bootstrap").select(*keys)
     boot = bootstrap_ci(data.join(rest, keys, "left_semi"), "auc", label, score, row_id, n_boot, alpha, by=keys)
     boot = boot.select(*keys, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
     return (
         stats.join(boot, keys, "left")
         .withColumns({"auc_lo": F.coalesce("auc_lo", "_lo"), "auc_hi": F.coalesce("auc_hi", "_hi")})
-        .drop("var", "needs_bootstrap", "_lo", "_hi", ALL)
+        .drop("var", "needs_bootstrap", "_lo", "_hi", *gone(by))
     )
 
 
@@ -333,7 +333,7 @@ def bootstrap_ci(
     return (
         point.join(bounds, keys, "left")
         .withColumns({"lo": F.when(enough, F.col("lo")), "hi": F.when(enough, F.col("hi"))})
-        .drop(ALL)
+        .drop(*gone(by))
     )
 
 
@@ -360,7 +360,7 @@ def paired_auc(
     var = F.greatest(F.col("v1") + F.col("v2") - 2 * F.coalesce("cov", F.lit(0.0)), F.lit(TINY))
     joined = one.join(two, keys).join(cov, keys, "left")
     joined = joined.withColumns({"auc_diff": F.col("a1") - F.col("a2"), "z": (F.col("a1") - F.col("a2")) / F.sqrt(var)})
-    return joined.withColumn("p_value", two_sided_p(F.col("z"))).drop("v1", "v2", "cov", ALL)
+    return joined.withColumn("p_value", two_sided_p(F.col("z"))).drop("v1", "v2", "cov", *gone(by))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -392,7 +392,7 @@ def mcnemar(df: DataFrame, label: str, p1: str, p2: str, by: Sequence[str] = ())
         data.groupBy(*keys)
         .agg(F.count(F.when(right1 & ~right2, 1)).alias("b"), F.count(F.when(~right1 & right2, 1)).alias("c"))
         .withColumn("p_value", exact_half_binomial_p("b", "c"))
-        .drop(ALL)
+        .drop(*gone(by))
     )
 
 

@@ -111,11 +111,19 @@ _PAIRS = f"""h AS (SELECT * FROM hashes WHERE len(phash) > 0),
   np AS (SELECT video_a, video_b, floor(list_sum(ds) / len(ds))::INT AS distance FROM pr WHERE len(ds) >= 3)"""
 
 
-@query("j3_near_duplicates", "hashes", f"WITH {_PAIRS} SELECT * FROM np")
+@query("j3_near_duplicates", "hashes", f"""WITH c AS (SELECT phash, min(video_id) AS rep, count(*) AS n FROM hashes WHERE len(phash) > 0 GROUP BY phash),
+   l AS (SELECT a.rep AS rep_a, b.rep AS rep_b, a.n AS n_a, b.n AS n_b, {_DIST} AS ds FROM c a JOIN c b ON (a.phash[1] >> 48) = (b.phash[1] >> 48) AND a.rep < b.rep)
+   SELECT rep_a, rep_b, n_a, n_b, len(ds)::INT AS n_frames, floor(list_sum(ds) / len(ds))::INT AS distance FROM l WHERE len(ds) >= 3
+   UNION ALL SELECT rep, rep, n, n, len(phash)::INT, 0 FROM c WHERE n > 1 AND len(phash) >= 3""")
 def _(t):
     return D.near_duplicates(t.hashes)
 
 
+@query("j3_duplicate_members", "hashes", "SELECT min(video_id) OVER (PARTITION BY phash) AS rep, video_id FROM hashes WHERE len(phash) > 0")
+def _(t):
+    return D.members(t.hashes)
+
+
 @query("j4_duplicate_classes", "hashes doc_manifest", f"""WITH {_PAIRS}, c AS (SELECT least(a.dataset || '/' || a.split, b.dataset || '/' || b.split) AS place_a, greatest(a.dataset || '/' || a.split, b.dataset || '/' || b.split) AS place_b,
      CASE WHEN a.dataset = b.dataset THEN 'split' ELSE 'dataset' END AS kind FROM np JOIN doc_manifest a ON a.video_id = video_a JOIN doc_manifest b ON b.video_id = video_b WHERE a.dataset <> b.dataset OR a.split <> b.split)
    SELECT kind, place_a, place_b, count(*) AS n_pairs FROM c GROUP BY ALL""")
