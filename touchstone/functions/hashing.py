@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numeric import c
@@ -68,18 +68,21 @@ def _poisson_one_edges(n: int = 14) -> list[float]:
 POISSON_EDGES = _poisson_one_edges()
 
 
-def poisson_weight(row_id, replicate, seed: int = 0) -> Column:
-    """Poisson(1) weight of a row in one bootstrap replicate.
+def with_replicates(df: DataFrame, row_id: str, n: int, seed: int = 0) -> DataFrame:
+    """Every row once per bootstrap replicate, with its Poisson(1) weight ``_w``.
 
-    One sha-256 serves eight replicates (eight 32-bit words), so the hash work is an
-    eighth of one hash per row and replicate.
+    One sha-256 of (seed, block, id) gives eight 32-bit words, one per replicate of the
+    block, so there is an eighth of a hash per row and replicate.
     """
-    rep = c(replicate)
-    block = F.floor(rep / 8).cast("bigint").cast("string")
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), block, F.lit(":"), c(row_id).cast("string")), 256)
-    word = F.substr(digest, (rep % 8 * 8 + 1).cast("int"), F.lit(8))
-    u = F.conv(word, 16, 10).cast("bigint") / F.lit(float(2**32))
-    weight = F.lit(len(POISSON_EDGES))
-    for k in reversed(range(len(POISSON_EDGES))):
-        weight = F.when(u < POISSON_EDGES[k], k).otherwise(weight)
-    return weight
+    blocks = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 8))))
+    text = F.concat(F.lit(f"{seed}:"), F.col("_block").cast("string"), F.lit(":"), F.col(row_id).cast("string"))
+    hashed = blocks.withColumn("_d", F.sha2(text, 256))
+    words = ", ".join(
+        f"CAST(conv(substring(_d, {8 * k + 1}, 8), 16, 10) AS BIGINT) / {float(2**32)}D" for k in range(8)
+    )
+    weight = "CASE " + " ".join(f"WHEN _u < {e!r}D THEN {k}" for k, e in enumerate(POISSON_EDGES))
+    return (
+        hashed.selectExpr("*", f"posexplode(array({words})) AS (_k, _u)")
+        .selectExpr(*[f"`{k}`" for k in df.columns], "_block * 8 + _k AS replicate", f"{weight} ELSE {len(POISSON_EDGES)} END AS _w")
+        .where(f"replicate < {n}")
+    )

@@ -183,6 +183,13 @@ def risk_at(
     data, keys = keyed(df, by)
     data = _confidence(data, label, prob, thr, [*keys, row_id])
     ties = data.groupBy(*keys, "conf").agg(F.sum("one").alias("one"), F.sum("right").alias("right"))
+    return _risk_from_ties(ties, data, keys, coverages, row_id).drop(*gone(by))
+
+
+def _risk_from_ties(
+    ties: DataFrame, data: DataFrame, keys: Sequence[str], coverages: Sequence[float], row_id: str
+) -> DataFrame:
+    """``risk_at`` from counts per confidence; ``data`` is read for mixed ties alone."""
     ties = running_sums(
         ties, keys, [score_level("conf", descending=True)], ["-conf"], ["one", "right"]
     )
@@ -216,8 +223,7 @@ def risk_at(
     n = "max(one_total)"
     value = f"""CASE WHEN coverage <= {k0} / {n} OR {k0} = {k1} THEN {r0}
         ELSE {r0} + ({r1} - {r0}) / ({k1} / {n} - {k0} / {n}) * (coverage - {k0} / {n}) END"""
-    both = risks.withColumnRenamed("cov", "coverage").groupBy(*keys, "coverage").agg(F.expr(value).alias("risk"))
-    return both.drop(*gone(by))
+    return risks.withColumnRenamed("cov", "coverage").groupBy(*keys, "coverage").agg(F.expr(value).alias("risk"))
 
 
 def abstain_rate(df: DataFrame, abstain: str, by: Sequence[str] = ()) -> DataFrame:
@@ -255,7 +261,19 @@ def evaluate(
     used = list(dict.fromkeys([*keys, "threshold", label, score, prob, row_id] + ([abstain] if abstain else [])))
     data = data.select(*used)
 
-    table = roc.score_table(data, label, score, [*keys, "threshold"])
+    # Counts per distinct (score, prob) are all that ranking, calibration and risk need:
+    # the rows are read and shuffled once, and every branch below starts from here.
+    group = [*keys, "threshold"]
+    held = f"CAST(`{abstain}` AS INT)" if abstain else "0"
+    base = data.where(f"`{label}` IS NOT NULL AND `{score}` IS NOT NULL").groupBy(
+        *group, F.col(score).cast("double").alias("score"), F.col(prob).cast("double").alias("prob")
+    ).agg(
+        F.expr(f"count(CASE WHEN `{label}` = 1 THEN 1 END) AS pos"),
+        F.expr(f"count(CASE WHEN `{label}` <> 1 THEN 1 END) AS neg"),
+        F.expr(f"sum({held}) AS held"),
+    )
+    pts = base.groupBy(*group, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    table = roc.curve_table(pts, group)
     aggs = {name: roc.METRICS[name]() for name in
             ("auc", "pauc10", "ap", "eer", "tpr_at_1fpr", "tpr_at_5fpr", "tpr_at_10fpr")}
     ranked = table.groupBy(*keys, "threshold").agg(
@@ -273,13 +291,24 @@ def evaluate(
         ranked = ranked.join(boot, keys, "left").withColumns({"auc_lo": F.col("lo"), "auc_hi": F.col("hi")})
         ranked = ranked.drop("lo", "hi")
 
-    held = [F.sum(F.col(abstain).cast("int")).alias("held")] if abstain else []
-    bins = reliability_bins(data, label, prob, 15, keys, *held)
-    fit = bins.groupBy(*keys).agg(
+    p = "least(greatest(prob, 0D), 1D)"
+    fit = base.groupBy(*keys, half_open_bin(F.col("prob"), 15).alias("bin")).agg(
+        F.expr("sum(pos + neg) AS n"),
+        F.expr("CAST(sum(pos) AS DOUBLE) AS hits"),
+        F.expr("sum((pos + neg) * prob) AS mass"),
+        F.expr(f"sum(pos * (1 - {p}) * (1 - {p}) + neg * {p} * {p}) AS sq"),
+        F.expr("sum(held) AS held"),
+    )
+    fit = fit.groupBy(*keys).agg(
         *[a.alias(k) for k, a in calibration_aggs().items()],
         *([ratio(F.sum("held"), F.sum("n")).alias("abstain_rate")] if abstain else []),
     )
-    risk = risk_at(data, label, prob, F.col("threshold"), (0.9, 0.8, 0.7), row_id, [*keys, "threshold"])
+    sure = "abs(prob - threshold)"
+    ties = base.groupBy(*group, F.expr(sure).alias("conf")).agg(
+        F.expr("sum(pos + neg) AS one"), F.expr("sum(CASE WHEN prob >= threshold THEN pos ELSE neg END) AS right")
+    )
+    rows = _confidence(data, label, prob, F.col("threshold"), [*group, row_id])
+    risk = _risk_from_ties(ties, rows, group, (0.9, 0.8, 0.7), row_id)
     risk = risk.groupBy(*keys).agg(
         *[
             F.max(F.when(F.col("coverage") == cov, F.col("risk"))).alias(f"risk_at_{int(cov * 100)}cov")

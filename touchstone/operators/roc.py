@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import poisson_weight
+from ..functions.hashing import with_replicates
 from ..functions.numeric import ratio
 from .ordered import ALL, gone, keyed, running_sums, score_level
 
@@ -42,6 +42,11 @@ def score_table(
     )
     if weight:
         pts = pts.where("pos + neg > 0")
+    return curve_table(pts, keys)
+
+
+def curve_table(pts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The score table from counts (keys, score, pos, neg), one row per score."""
     table = running_sums(
         pts, keys, [score_level("score", descending=True)], ["-score"], ["pos", "neg"], peek=["pos", "neg"]
     )
@@ -295,10 +300,7 @@ def bootstrap_values(
 
     Weights are drawn and summed per distinct score before the first shuffle.
     """
-    reps = df.select(*by, label, score, row_id).withColumn(
-        "replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))
-    )
-    drawn = reps.withColumn("_w", poisson_weight(row_id, "replicate", seed)).where(F.col("_w") > 0)
+    drawn = with_replicates(df.select(*by, label, score, row_id), row_id, n_boot, seed).where("_w > 0")
     keys = [*by, "replicate"]
     table = score_table(drawn, label, score, keys, weight="_w")
     return summarize(table, keys, **{m: METRICS[m]() for m in metrics})
