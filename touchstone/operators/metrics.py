@@ -266,13 +266,19 @@ def evaluate(
     group = [*keys, "threshold"]
     held = f"CAST(`{abstain}` AS INT)" if abstain else "0"
     base = data.where(f"`{label}` IS NOT NULL AND `{score}` IS NOT NULL").groupBy(
-        *group, F.col(score).cast("double").alias("score"), F.col(prob).cast("double").alias("prob")
+        *group,
+        F.col(score).cast("double").alias("score"),
+        *([F.col(prob).cast("double").alias("prob")] if prob != score else []),
     ).agg(
         F.expr(f"count(CASE WHEN `{label}` = 1 THEN 1 END) AS pos"),
         F.expr(f"count(CASE WHEN `{label}` <> 1 THEN 1 END) AS neg"),
         F.expr(f"sum({held}) AS held"),
     )
-    pts = base.groupBy(*group, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    if prob == score:
+        base = base.withColumn("prob", F.col("score"))
+        pts = base.select(*group, "score", "pos", "neg")
+    else:
+        pts = base.groupBy(*group, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     table = roc.curve_table(pts, group)
     aggs = {name: roc.METRICS[name]() for name in
             ("auc", "pauc10", "ap", "eer", "tpr_at_1fpr", "tpr_at_5fpr", "tpr_at_10fpr")}

@@ -68,7 +68,7 @@ def running_sums(
 ) -> DataFrame:
     """Add ``<v>_before`` (sum over earlier rows) and ``<v>_total`` for each value.
 
-    ``by`` must be non-empty (see ``keyed``). ``levels`` and ``order`` are SQL
+    ``by`` must be non-empty (see ``keyed``); rows with a null key take no part. ``levels`` and ``order`` are SQL
     expressions, all ascending; levels agree with the order, which settles rows inside
     the finest bucket. The next row's ``peek`` columns come along as the struct
     ``following`` (null at the end of a group).
@@ -77,7 +77,10 @@ def running_sums(
     names = [f"_l{i}" for i in range(len(levels))]
     kept = df.columns
     tick = lambda cols: ", ".join(f"`{k}`" for k in cols)
-    df = df.selectExpr("*", *[f"{lv} AS {n}" for lv, n in zip(levels, names)])
+    # Keys that are known not to be null give both sides of the joins below the same
+    # plan up to their first shuffle, so that it runs once and is reused.
+    df = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in by))
+    df = df.selectExpr("*", *[f"coalesce({lv}, 0) AS {n}" for lv, n in zip(levels, names)])
 
     head = f"struct({tick(peek)})"
     sums = [F.expr(f"sum(`{v}`) AS `{v}`") for v in values]
