@@ -145,12 +145,12 @@ class Tables:
 
     @cached_property
     def frames(self) -> DataFrame:
-        first = Window.partitionBy("user_id")
         us = F.unix_micros("ts")
-        return self.events.select(
+        first = self.events.groupBy("user_id").agg(F.min(us).alias("first_us"))
+        return self.events.join(first, "user_id").select(
             F.col("user_id").alias("clip"),
             "event_id",
-            ((us - F.min(us).over(first)) / 1e6).alias("ts_s"),
+            ((us - F.col("first_us")) / 1e6).alias("ts_s"),
             (F.col("value") / 500.0).alias("score"),
             "value",
         )

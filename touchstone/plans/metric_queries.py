@@ -377,6 +377,12 @@ def _(t):
     return table.select("dataset", "score", (total - above - here + (here + 1) / 2).alias("midrank"))
 
 
+@query("w3_cumulative_hits", "preds", f"WITH {CURVE}, h AS (SELECT dataset, rank, sum(ok) OVER (PARTITION BY dataset ORDER BY rank)::BIGINT AS hits FROM k) SELECT * FROM h")
+def _(t):
+    curve = M.risk_coverage(t.preds, "label", "video_score", 0.3, "video_id", DS)
+    return curve.select("dataset", "rank", F.round((1 - F.col("risk")) * F.col("rank")).cast("bigint").alias("hits"))
+
+
 @query("j10_cross_gap", "preds_split", f"""WITH {roc_sql('preds_split', 'dataset, split')}, a AS (SELECT dataset AS exp, split, {AUC} AS auc FROM t GROUP BY 1, 2)
    SELECT b.exp, b.split AS test_set, {R('i.auc', 4)} AS in_dataset_auc, {R('b.auc', 4)} AS cross_dataset_auc, {R('i.auc - b.auc', 4)} AS gap
    FROM a b JOIN a i ON i.exp = b.exp AND i.split = 'val' WHERE b.split <> 'val'""")

@@ -66,17 +66,18 @@ class DriftMonitor:
     """Rolling drift of a result stream against a validation baseline.
 
     State is two versioned tables in the shared folder: the newest ``window`` rows and
-    one row of all-time totals. A micro-batch first cuts itself to its own newest rows
-    (a distributed top-k), so no task sees the whole stream, and a batch that is run
-    again reads the version before it and writes its own version anew.
+    one row of all-time totals, a version per micro-batch. A micro-batch first cuts
+    itself to its own newest rows (a distributed top-k), so no task sees the whole
+    stream, and a batch that is run again reads the version before it and writes its
+    own anew. Give a fixed ``path`` to go on after a restart.
     """
 
     ORDER = ("ts", "seq")
 
-    def __init__(self, baseline: DataFrame, window: int = N.WINDOW, n_bins: int = 10):
+    def __init__(self, baseline: DataFrame, window: int = N.WINDOW, n_bins: int = 10, path: str | None = None):
         self.baseline, self.window, self.n_bins = baseline, window, n_bins
         self.spark = baseline.sparkSession
-        self.path, self.version = new_path(self.spark, "drift"), None
+        self.path, self.version = path or new_path(self.spark, "drift"), None
 
     def _paths(self, version: int) -> tuple[str, str]:
         return f"{self.path}/rows/v{version}", f"{self.path}/totals/v{version}"
@@ -89,9 +90,8 @@ class DriftMonitor:
             F.count(F.when(F.col("ood_flag"), 1)).alias("ood"),
             F.count(F.when(F.col("verdict") == "inconclusive", 1)).alias("held"),
         )
-        before = batch - 1 if self.version is None else min(self.version, batch - 1)
-        if self.version is not None and before >= 0:
-            rows, sums = self._paths(before)
+        if batch > 0:
+            rows, sums = self._paths(batch - 1)
             newest = N.last_n(newest.unionByName(self.spark.read.parquet(rows)), self.ORDER, self.window)
             totals = totals.unionByName(self.spark.read.parquet(sums)).agg(
                 *[F.sum(k).alias(k) for k in ("total", "ood", "held")]
@@ -102,7 +102,7 @@ class DriftMonitor:
         self.version = batch
 
     def run(self, stream: DataFrame) -> DriftMonitor:
-        drain(stream, self.on_batch)
+        drain(stream, self.on_batch, offsets=f"{self.path}/offsets")
         return self
 
     def report(self) -> DataFrame:

@@ -17,11 +17,16 @@ def as_stream(df: DataFrame, order: str, n_files: int = 6, files_per_trigger: in
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def drain(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Process all that is available, one checkpointed micro-batch after another."""
+def drain(
+    stream: DataFrame, on_batch: Callable[[DataFrame, int], None], mode: str = "append", offsets: str | None = None
+) -> None:
+    """Process all that is available, one checkpointed micro-batch after another.
+
+    Name ``offsets`` to take up a stream where an earlier run left it.
+    """
     q = (
         stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", new_path(stream.sparkSession, "offsets"))
+        .option("checkpointLocation", offsets or new_path(stream.sparkSession, "offsets"))
         .foreachBatch(on_batch)
         .trigger(availableNow=True)
         .start()
