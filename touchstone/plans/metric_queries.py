@@ -319,13 +319,14 @@ _EXPR = {
     "precision": "coalesce(tp / nullif(tp + fp, 0), 0)", "recall": "coalesce(tp / nullif(tp + fn, 0), 0)",
     "f1": "coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)",
 }
-REPORT_COLS = "name, n, n_pos, n_neg, tp, fp, fn, tn, " + ", ".join(f"{R(_EXPR.get(k, k), 6)} AS {k}" for k in FLOATS)
+REPORT_COLS = "name, n, n_pos, n_neg, tp, fp, fn, tn, " + ", ".join(f"{R(f'({_EXPR.get(k, k)}) + 1e-9::DOUBLE', 6)} AS {k}" for k in FLOATS)
 REPORT_FROM = "ci JOIN conf USING (name) JOIN cal USING (name) JOIN rk USING (name)"
 
 
 def report(df):
     out = df.select("name", "n", "n_pos", "n_neg", "tp", "fp", "fn", "tn", *FLOATS)
-    return r6(out, *FLOATS)
+    # The nudge keeps exact halves, common in small groups, from hanging on summation order.
+    return out.withColumns({k: half_up(F.col(k) + 1e-9, 6) for k in FLOATS})
 
 
 @query("m21_metric_row", "preds", f"""WITH src AS (SELECT *, dataset AS name, (video_score >= 0.25 AND video_score <= 0.35) AS abstain FROM preds),
@@ -359,7 +360,7 @@ def _(t):
 
 @query("m24_psi", "preds_split", f"""WITH c AS (SELECT dataset, bin, count(*) FILTER (split = 'val') AS nb, count(*) FILTER (split = 'test') AS nl FROM (
      SELECT dataset, split, least(len(list_filter([{', '.join(f'{i} * 0.1::DOUBLE' for i in range(1, 10))}], lambda e: video_score >= e)), 9) AS bin FROM preds_split) GROUP BY 1, 2),
-   f AS (SELECT d.dataset, b.bin, coalesce(nb, 0) AS nb, coalesce(nl, 0) AS nl FROM (SELECT DISTINCT dataset FROM c) d CROSS JOIN (SELECT unnest(range(10)) AS bin) b
+   f AS (SELECT d.dataset, b.bin, coalesce(nb, 0) AS nb, coalesce(nl, 0) AS nl FROM (SELECT dataset FROM c GROUP BY dataset HAVING sum(nb) + sum(nl) > 0) d CROSS JOIN (SELECT unnest(range(10)) AS bin) b
      LEFT JOIN c ON c.dataset = d.dataset AND c.bin = b.bin),
    g AS (SELECT *, (nb + 1e-6::DOUBLE) / (sum(nb) OVER (PARTITION BY dataset) + 1e-5::DOUBLE) AS b, (nl + 1e-6::DOUBLE) / (sum(nl) OVER (PARTITION BY dataset) + 1e-5::DOUBLE) AS l FROM f)
    SELECT dataset, CASE WHEN sum(nb) >= 10 AND sum(nl) >= 10 THEN {R('sum((l - b) * ln(l / b))', 6)} END AS psi FROM g GROUP BY dataset""")

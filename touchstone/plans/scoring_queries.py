@@ -43,7 +43,7 @@ def _(t):
    nc AS (SELECT 1.0::DOUBLE - CASE WHEN label = 1 THEN p ELSE 1.0::DOUBLE - p END AS nc FROM v),
    q AS (SELECT (list_sort(list(nc)))[(ceil(least(ceil((count(*) + 1) * 0.9::DOUBLE) / count(*), 1) * (count(*) - 1)))::BIGINT + 1] AS q, count(*) AS n FROM nc)
    SELECT n AS n_val, {R('threshold', 6)} AS threshold, {R('least(q, 1 - q)', 6)} AS conformal_lo, {R('greatest(q, 1 - q)', 6)} AS conformal_hi,
-     {R('(SELECT quantile_cont(e, 0.95) FROM v)', 6)} AS ood_threshold, false AS degenerate FROM q, th""")
+     {R('(SELECT quantile_cont(e, 0.95) FROM v)', 6)} AS ood_threshold, n < 100 AS degenerate FROM q, th""")
 def _(t):
     cal = C.fit_calibration(t.preds_logit.where("split = 'val'"), method="none")
     out = cal.frame(t.spark).select("n_val", "threshold", "conformal_lo", "conformal_hi", "ood_threshold", "degenerate")
