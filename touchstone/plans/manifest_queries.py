@@ -136,9 +136,9 @@ def _(t):
 LISTED = "listed AS (SELECT path FROM manifest WHERE NOT (duration_s < 0.5))"
 
 
-@query("j5_missing_files", "manifest", f"WITH {LISTED} SELECT path FROM manifest WHERE path NOT IN (SELECT path FROM listed) ORDER BY path LIMIT 200")
+@query("j5_missing_files", "manifest", f"WITH {LISTED} SELECT path FROM manifest WHERE path NOT IN (SELECT path FROM listed)")
 def _(t):
-    return MF.missing_files(t.manifest, t.manifest.where("NOT (duration_s < 0.5)").select("path"))
+    return MF.missing_files(t.manifest, t.manifest.where("NOT (duration_s < 0.5)").select("path"), None)
 
 
 def _cache(t):
