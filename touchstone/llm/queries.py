@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, quality, secrets, toxicity
+from ..session import cut
+from . import mixing, neardup, quality, secrets, syncmers, tokenfiles, toxicity
 from .common import fold, table
+from .order import sums_before
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +63,21 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return plan.documents.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tokenfiles.write(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    rows = cut(tokenfiles.digests(tokenfiles.read(spark, out)), "digests")
+    return sums_before(rows, ["n_tokens"]).select("doc_id", F.col("n_tokens_before").alias("start"), "n_tokens", "ids_crc32")
+
+
+@query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_with_next(table(spark, sf_dir, "documents"))
