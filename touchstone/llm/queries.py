@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import mixing, neardup, quality, secrets, syncmers, tokenfiles, toxicity
+from . import mixing, neardup, pieces, quality, secrets, syncmers, tokenfiles, toxicity
 from .common import fold, table
 from .order import sums_before
 
@@ -81,3 +81,9 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("piece_bpe_32k.model")
+    return pieces.with_round_trip(pieces.encode(table(spark, sf_dir, "documents"), path), path)
