@@ -293,7 +293,7 @@ def _traced(path: str, batches):
 def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, h, n_chars, ids) for every row; ``h`` is Spark's hash of the text.
 
-    Null and empty texts have no ids. Rows with equal ids and texts come once each. Texts
+    Null and empty texts have no ids; repeated rows are all kept. Texts
     of at most ``chunk`` characters are one chunk, whose states are known; the others take
     the scan. Other columns take no part.
     """
