@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import mixing, neardup, pieces, quality, secrets, syncmers, tokenfiles, toxicity
+from . import mixing, neardup, neighbours, pieces, quality, secrets, syncmers, tokenfiles, toxicity
 from .common import fold, table
 from .order import sums_before
 
@@ -87,3 +87,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("piece_bpe_32k.model")
     return pieces.with_round_trip(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+
+
+@query
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
