@@ -21,14 +21,18 @@ from pyspark.sql.window import Window
 from ..session import cut
 from .common import map_arrow
 
-K = 20
-#: Random-projection orders, and vectors per leaf of the start graph.
-TREES, LEAF = 6, 200
-ROUNDS, LEAST_CHANGE = 6, 0.01
+K = 30
+#: Random-projection orders, vectors per leaf of the start graph, and neighbours taken there.
+TREES, LEAF, EARLY = 8, 400, 12
+ROUNDS, LEAST_CHANGE = 5, 0.03
 #: Newest neighbours on either side that one join of a round uses: every edge is new once.
-SAMPLE = 12
+SAMPLE = 16
 #: Of a search: the vectors kept, those expanded per step, and the steps at most.
-BEAM, WIDE, STEPS = 40, 10, 12
+BEAM, WIDE, STEPS = 160, 40, 8
+#: Reverse edges of a vector that a search follows besides its own.
+BACK = 20
+#: Vectors that one task scores against the queries that reached them.
+SHARD = 4096
 
 
 def _dense(lists) -> np.ndarray:
@@ -102,7 +106,7 @@ def start(points: DataFrame, n: int, k: int) -> DataFrame:
     # Leaves are uneven: large ones are dealt into parts of bounded size, by hash.
     sizes = leaves.groupBy("tree", "leaf").count().select("tree", "leaf", F.ceil(F.col("count") / (2 * LEAF)).alias("parts"))
     dealt = leaves.join(sizes, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
-    return dealt.groupBy("tree", "leaf", "part").applyInPandas(_all_pairs(k), "node long, other long, s float").select("node", "other", "s").distinct()
+    return dealt.groupBy("tree", "leaf", "part").applyInPandas(_all_pairs(min(k, EARLY)), "node long, other long, s float").select("node", "other", "s").distinct()
 
 
 def descend(graph: DataFrame, points: DataFrame, k: int) -> tuple[DataFrame, float]:
@@ -118,7 +122,10 @@ def descend(graph: DataFrame, points: DataFrame, k: int) -> tuple[DataFrame, flo
     fresh = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("new"), "r"))
     ahead = edges.withColumn("q", fresh).where(F.col("q") <= SAMPLE).select("node", "other", "new", "r")
     hood = ahead.select("node", "other", "new").union(back).groupBy("node", "other").agg(F.max("new").alias("new"))
-    hood = hood.join(points.select(F.col("node").alias("other"), "x"), "other").groupBy("node").agg(F.collect_list(F.struct("other", "new", "x")).alias("m"))
+    # A proposal must beat the worst of the neighbours that a vector has.
+    worst = graph.select("node", F.when(F.size("near") < k, F.lit(float("-inf"))).otherwise(-F.element_at("near", -1)["d"]).cast("float").alias("worst"))
+    known = points.join(worst, "node").select(F.col("node").alias("other"), "x", "worst")
+    hood = hood.join(known, "other").groupBy("node").agg(F.collect_list(F.struct("other", "new", "x", "worst")).alias("m"))
 
     def run(batches):
         for b in batches:
@@ -128,8 +135,9 @@ def descend(graph: DataFrame, points: DataFrame, k: int) -> tuple[DataFrame, flo
                 ids = flat.field("other").to_numpy()
                 new = flat.field("new").to_numpy(zero_copy_only=False)
                 x = _dense(flat.field("x"))
-                s = x @ x.T
-                tried = (new[:, None] | new[None, :]) & ~np.eye(len(ids), dtype=bool)
+                s = (x @ x.T).astype(np.float32)
+                better = s > flat.field("worst").to_numpy()[:, None]
+                tried = (new[:, None] | new[None, :]) & better & ~np.eye(len(ids), dtype=bool)
                 i, j = np.nonzero(tried)
                 out[0].append(ids[i])
                 out[1].append(ids[j])
@@ -183,38 +191,68 @@ def build(points: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame:
 
 
 def search(queries: DataFrame, graph: DataFrame, points: DataFrame, beam: int = BEAM) -> DataFrame:
-    """(node, found): for each node of ``queries``, the ``beam`` nearest others that a greedy walk meets."""
-    links = cut(graph.select("node", F.transform("near", lambda e: e["other"]).alias("next")), "links")
-    own = queries.join(points, "node").select(F.col("node").alias("q"), F.col("x").alias("qx"))
-    own = cut(own, "queries")
-    first = own.select("q").join(links, F.col("q") == F.col("node")).select("q", F.explode("next").alias("c"))
-    # (q, c, s, done): the beam; done: already expanded.
-    state = cut(_scored(first.distinct(), own, points).withColumn("done", F.lit(False)), "beam")
-    for _ in range(STEPS):
-        turn = F.row_number().over(Window.partitionBy("q").orderBy("done", F.desc("s"), "c"))
-        marked = state.withColumn("go", (turn <= WIDE) & ~F.col("done"))
-        marked = cut(marked, "beam")
-        front = marked.where("go").select("q", "c")
-        reached = front.join(links, F.col("c") == F.col("node")).select("q", F.explode("next").alias("c")).where("q != c").distinct()
-        fresh = reached.join(marked.select("q", "c"), ["q", "c"], "left_anti")
-        grown = marked.select("q", "c", "s", (F.col("done") | F.col("go")).alias("done")).union(_scored(fresh, own, points).withColumn("done", F.lit(False)))
+    """(node, other): for each node of ``queries``, the ``beam`` nearest others that a greedy walk meets.
+
+    The walk starts at the query's own neighbours, and ends when all of its beam is
+    expanded. Vectors lie in shards; a step brings each query once to every shard that
+    holds vectors it has reached, and only scores that enter the beam come back.
+    """
+    shards = max(1, points.count() // SHARD)
+    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards))
+    ahead = graph.select("node", F.transform("near", lambda e: e["other"]).alias("next"))
+    edges = graph.select("node", F.posexplode("near").alias("r", "e")).select(F.col("e.other").alias("node"), F.col("node").alias("from"), "r")
+    turn = F.row_number().over(Window.partitionBy("node").orderBy("r", "from"))
+    behind = edges.withColumn("t", turn).where(F.col("t") <= BACK).groupBy("node").agg(F.collect_list("from").alias("more"))
+    links = ahead.join(behind, "node", "left").select("node", F.array_union("next", F.coalesce("more", F.array().cast("array<bigint>"))).alias("next"))
+    links = cut(links, "links")
+    placed = cut(points.withColumn("shard", shard("node")), "shards")
+    own = cut(queries.join(points, "node").select(F.col("node").alias("q"), F.col("x").alias("qx")), "queries")
+
+    def scored(pairs: DataFrame, least: DataFrame | None) -> DataFrame:
+        """(q, c, s, done) of the pairs that beat the query's ``least``."""
+        asked = pairs.groupBy("q", shard("c").alias("shard")).agg(F.collect_list("c").alias("cs")).join(own, "q")
+        floor = F.lit(float("-inf")).cast("float")
+        asked = asked.withColumn("least", floor) if least is None else asked.join(least, "q", "left").withColumn("least", F.coalesce("least", floor))
+        return asked.groupBy("shard").cogroup(placed.groupBy("shard")).applyInPandas(_score_shard, "q long, c long, s float").withColumn("done", F.lit(False))
+
+    def beamed(rows: DataFrame) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "c"))
-        state = cut(grown.withColumn("r", rank).where(F.col("r") <= beam).drop("r"), "beam")
-        if not state.where("NOT done").limit(1).count():
+        front = F.row_number().over(Window.partitionBy("q").orderBy("done", F.desc("s"), "c"))
+        kept = rows.withColumn("r", rank).where(F.col("r") <= beam).drop("r")
+        return cut(kept.withColumn("go", (front <= WIDE) & ~F.col("done")), "beam")
+
+    first = own.select("q").join(links, F.col("q") == F.col("node")).select("q", F.explode("next").alias("c")).where("q != c")
+    state = beamed(scored(first.distinct(), None))
+    for _ in range(STEPS):
+        front = state.where("go")
+        if not front.limit(1).count():
             break
+        reached = front.select("q", "c").join(links, F.col("c") == F.col("node")).select("q", F.explode("next").alias("c")).where("q != c")
+        fresh = reached.distinct().join(state.select("q", "c"), ["q", "c"], "left_anti")
+        full = state.groupBy("q").agg(F.count("*").alias("n"), F.min("s").alias("least")).where(F.col("n") >= beam).select("q", "least")
+        old = state.select("q", "c", "s", (F.col("done") | F.col("go")).alias("done"))
+        state = beamed(old.union(scored(fresh, full)))
     return state.select(F.col("q").alias("node"), F.col("c").alias("other"))
 
 
-def _scored(pairs: DataFrame, own: DataFrame, points: DataFrame) -> DataFrame:
-    """(q, c, s) with the single-precision inner product of the lifted vectors."""
-    full = pairs.join(own, "q").join(points.select(F.col("node").alias("c"), "x"), "c").select("q", "c", "qx", "x")
-
-    def run(batches):
-        for b in batches:
-            s = np.einsum("ij,ij->i", _dense(b.column("qx")), _dense(b.column("x"))) if b.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("c"), pa.array(s.astype(np.float32))], ["q", "c", "s"])
-
-    return map_arrow(full, run, "q long, c long, s float")
+def _score_shard(asked, held):
+    """Scores of a shard's vectors with the queries that reached them, above each query's least."""
+    import pandas as pd
+
+    none = pd.DataFrame({"q": [], "c": [], "s": []}).astype({"q": "int64", "c": "int64", "s": "float32"})
+    if not len(asked) or not len(held):
+        return none
+    x, ids = np.stack(held["x"].to_numpy()), held["node"].to_numpy()
+    order = np.argsort(ids)
+    x, ids, out = x[order], ids[order], []
+    for q, cs, qx, least in zip(asked["q"], asked["cs"], asked["qx"], asked["least"]):
+        s = x[np.searchsorted(ids, cs)] @ qx
+        good = s > least
+        if good.any():
+            out.append((np.full(int(good.sum()), q), np.asarray(cs)[good], s[good]))
+    if not out:
+        return none
+    return pd.DataFrame({"q": np.concatenate([o[0] for o in out]), "c": np.concatenate([o[1] for o in out]), "s": np.concatenate([o[2] for o in out]).astype("float32")})
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
