@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import mixing, neardup, neighbours, pieces, quality, secrets, syncmers, tokenfiles, toxicity
+from . import mixing, neardup, neighbours, pieces, quality, secrets, substrings, syncmers, tokenfiles, toxicity
 from .common import fold, table
 from .order import sums_before
 
@@ -92,3 +92,8 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+@query
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"))
