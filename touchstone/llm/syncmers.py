@@ -12,6 +12,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -121,16 +122,25 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint against that of its edited text and of the next document.
 
     Documents go by doc_id (nulls first, repeated ids by a hash of the text), and the last
-    is followed by the first; a single row follows itself. Texts are shuffled once: a
-    partition's last row waits for the first row of the next partition that has any.
+    is followed by the first; a single row follows itself. Texts are shuffled once, and
+    compressed for that; a partition's last row waits for the first row of the next partition that has any.
     """
-    placed = ordered(docs.select("doc_id", "text"), ["doc_id", F.xxhash64("text")])
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+
+    def packed(batches):
+        pack = zstandard.ZstdCompressor()
+        for b in batches:
+            z = pa.array([pack.compress(t.encode()) for t in texts_of(b)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), z], ["doc_id", "h", "z"])
+
+    placed = ordered(map_arrow(rows, packed, "doc_id long, h long, z binary"), ["doc_id", "h"])
 
     def run(batches):
-        held, head = None, None
+        held, head, unpack = None, None, zstandard.ZstdDecompressor()
         for b in batches:
             rows = []
-            for i, at, t in zip(b.column("doc_id").to_pylist(), b.column("at").to_pylist(), texts_of(b)):
+            texts = (unpack.decompress(z).decode() for z in b.column("z").to_pylist())
+            for i, at, t in zip(b.column("doc_id").to_pylist(), b.column("at").to_pylist(), texts):
                 own = sketch(t)
                 if held:
                     rows.append([*_compared(held[0], held[1], held[2], t, own), None, None, None])
