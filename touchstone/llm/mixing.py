@@ -109,10 +109,10 @@ def mix(docs: DataFrame, weights=(5, 2, 1), most: int = MOST, block: int = BLOCK
     Adds ``size``, ``source_size``, ``target`` and ``taken`` (words of the row that the mix
     takes over all passes). Rows without words take none, null sources are one source, and
     an empty table gives an empty plan. The sum of ``taken`` of a source is its rounded
-    target, and no row exceeds ``most`` times its size. Names that clash with the added
-    columns are replaced.
+    target, and no row exceeds ``most`` times its size. Columns that clash with those it adds
+    or works with (sid, at, start, *_before) are dropped.
     """
-    docs = sized(docs.drop("size", "source_size", "target", "taken", "sid", "at"))
+    docs = sized(docs.drop("size", "source_size", "target", "taken", "sid", "at", "start", "size_before", "source_size_before"))
     rest = [k for k in docs.columns if k not in ("text", "source", "size")]
     rows = cut(docs.select(*rest, "source", "size"), "sizes")
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))

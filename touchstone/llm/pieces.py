@@ -30,8 +30,9 @@ from .common import map_arrow, texts_of
 CHUNK = 32768
 #: Chunks, or groups of chunks, whose matrices one task combines.
 FAN = 64
-WORDS_CACHED = 500_000
-MARK = "▁"
+WORDS_CACHED = 800_000
+#: A model's word mark; here words begin with a space, and a mark in a text is one too.
+SIGN, MARK = "▁", " "
 #: What the library takes off the lowest score for a character without a piece.
 UNKNOWN = 10.0
 NONE = -np.inf
@@ -54,48 +55,66 @@ class Pieces(dict):
         ids = range(sp.get_piece_size())
         self.text = [sp.id_to_piece(i) for i in ids]
         plain = [i for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.score = {self.text[i]: (max(sp.get_score(i), FLOOR) + _tie(i), i) for i in plain}
+        form = lambda i: self.text[i].replace(SIGN, MARK)
+        self.score = {form(i): (max(sp.get_score(i), FLOOR) + _tie(i), i) for i in plain}
         self.bytes = {int(self.text[i][3:-1], 16): i for i in ids if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.hidden = {i for i in ids if sp.is_control(i)}
         self.unk = sp.unk_id()
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if sp.is_control(i) else form(i).encode() for i in ids]
+        self.value_of = {i: score for score, i in self.score.values()}
         self.longest = max(map(len, self.score))
         self.low = min((score for score, _ in self.score.values()), default=0.0) - UNKNOWN
+        # Every beginning of a piece; the value is None where it is no piece itself.
+        self.begun = dict.fromkeys(p[:k] for p in self.score for k in range(1, len(p)))
+        self.begun.update(self.score)
         # Where words meet no piece may span, or they cannot be solved apart.
         self.apart = not any(MARK in p.lstrip(MARK) for p in self.score)
-        self.starts = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
-        self.prefix = sp.encode("a", out_type=str)[0].startswith(MARK)
+        # Signs that no piece holds after a letter or digit: a boundary lies before them.
+        after = {y for p in self.score for x, y in zip(p, p[1:]) if x.isalnum()}
+        self.signs = "".join(c for c in ".,;:!?*&%$#|()\"=" if c not in after)
+        self.prefix = sp.encode("a", out_type=str)[0].startswith(SIGN)
 
     def normal(self, text: str) -> str:
-        """Spaces become marks, with one mark before a text that is not empty."""
-        return ((MARK if self.prefix else "") + text.replace(" ", MARK)) if text else ""
+        """Every mark a space, with one space before a text that is not empty."""
+        return ((MARK if self.prefix else "") + text.replace(SIGN, MARK)) if text else ""
 
-    def steps(self, s: str, at: int, stop: int):
-        """(end, score, ids) of the pieces of ``s`` that begin at ``at`` and end by ``stop``."""
-        one = False
+    def steps(self, s: str, at: int, stop: int) -> list[tuple[int, float, int | None]]:
+        """(end, score, id) of the pieces of ``s`` that begin at ``at`` and end by ``stop``."""
+        out, begun = [], self.begun
         for end in range(at + 1, min(stop, at + self.longest) + 1):
             part = s[at:end]
-            if part not in self.starts:
+            if part not in begun:
                 break
-            found = self.score.get(part)
+            found = begun[part]
             if found:
-                one |= end == at + 1
-                yield end, found[0], found[1]
-        if not one and at < stop:
-            yield at + 1, self.low, None
+                out.append((end, *found))
+        if at < stop and not (out and out[0][0] == at + 1):
+            out.append((at + 1, self.low, None))
+        return out
 
     def path(self, s: str) -> list[int]:
         """Ids along the best path over all of ``s``; of equal paths, the one whose pieces begin first."""
-        n = len(s)
-        best, back = [NONE] * (n + 1), [None] * (n + 1)
+        n, longest, begun = len(s), self.longest, self.begun
+        best, back = [NONE] * (n + 1), [0] * (n + 1)
+        name: list[int | None] = [None] * (n + 1)
         best[0] = 0.0
         for at in range(n):
-            for end, score, i in self.steps(s, at, n):
-                if best[at] + score > best[end]:
-                    best[end], back[end] = best[at] + score, (at, i)
+            base, one = best[at], True
+            for end in range(at + 1, min(n, at + longest) + 1):
+                part = s[at:end]
+                if part not in begun:
+                    break
+                found = begun[part]
+                if found:
+                    if end == at + 1:
+                        one = False
+                    if base + found[0] > best[end]:
+                        best[end], back[end], name[end] = base + found[0], at, found[1]
+            if one and base + self.low > best[at + 1]:
+                best[at + 1], back[at + 1], name[at + 1] = base + self.low, at, None
         out, end = [], n
         while end:
-            at, i = back[end]
+            at, i = back[end], name[end]
             if i is not None:
                 out.append(i)
             elif self.bytes:
@@ -115,7 +134,11 @@ class Pieces(dict):
         return float(best[-1])
 
     def __missing__(self, segment: str) -> bytes:
-        out = np.array(self.path(segment), np.int32).tobytes()
+        base = segment.rstrip(self.signs)
+        if base != segment and base and base[-1].isalnum():
+            out = self[base] + self[segment[len(base) :]]
+        else:
+            out = np.array(self.path(segment), np.int32).tobytes()
         if len(segment) <= 64:
             if len(self) >= WORDS_CACHED:
                 self.clear()
@@ -129,7 +152,7 @@ class Pieces(dict):
         if MARK + MARK in s or "\0" in s:
             return re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", s)
         s = s.replace(MARK, "\0" + MARK)
-        if "\n" not in self.starts:
+        if "\n" not in self.begun:
             s = s.replace("\n", "\0\n\0")
         return [x for x in s.split("\0") if x]
 
@@ -138,13 +161,9 @@ class Pieces(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, self.segments(s))), np.int32)
 
     def decode(self, ids) -> str:
-        """The text of ids: bytes join to characters, marks become spaces, the first is dropped."""
-        if self.byte_of and not self.byte_of.keys().isdisjoint(ids):
-            raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.hidden else self.text[i].encode() for i in ids)
-            s = raw.decode("utf-8", "replace")
-        else:
-            s = "".join([self.text[i] for i in ids if i not in self.hidden])
-        return (s[1:] if self.prefix and s.startswith(MARK) else s).replace(MARK, " ")
+        """The text of ids: bytes join to characters, marks are spaces, the first is dropped."""
+        s = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        return s[1:] if self.prefix and s.startswith(MARK) else s
 
     def matrix(self, s: str, size: int, last: bool) -> np.ndarray:
         """Best scores from each state at the chunk's begin to each at its end.
@@ -167,7 +186,7 @@ class Pieces(dict):
         ids = np.frombuffer(self[segment], np.int32).tolist()
         # Characters without a piece cost the same however many bytes they take.
         if self.byte_of.keys().isdisjoint(ids) and self.unk not in ids:
-            return sum(self.score[self.text[i]][0] for i in ids)
+            return sum(self.value_of[i] for i in ids)
         return self.value(segment)
 
     def _matrix(self, s: str, size: int, width: int, last: bool) -> np.ndarray:
@@ -207,7 +226,7 @@ def _combine(pdf):
     m = _square(pdf["m"].iloc[0])
     for raw in pdf["m"].iloc[1:]:
         m = times(m, _square(raw))
-    return pdf.head(1).assign(idx=pdf["idx"].iloc[0] // FAN, m=m.tobytes())[["doc_id", "h", "idx", "m"]]
+    return pdf.head(1).assign(idx=pdf["g"].iloc[0], m=m.tobytes())[["doc_id", "h", "idx", "m"]]
 
 
 def _resolve(pdf):
@@ -233,7 +252,7 @@ def states(matrices: DataFrame) -> DataFrame:
     levels = [matrices]
     while (levels[-1].agg(F.max("idx")).collect()[0][0] or 0) >= FAN:
         up = levels[-1].withColumn("g", F.floor(F.col("idx") / FAN)).groupBy("doc_id", "h", "g")
-        levels.append(cut(up.applyInPandas(lambda p: _combine(p), "doc_id long, h long, idx long, m binary"), "matrices"))
+        levels.append(cut(up.applyInPandas(_combine, "doc_id long, h long, idx long, m binary"), "matrices"))
     known = levels[-1].select("doc_id", "h", F.lit(0).cast("long").alias("g")).distinct().withColumns({"first": F.lit(0), "last": F.lit(0)})
     for level in reversed(levels):
         inner = level.withColumn("g", F.floor(F.col("idx") / FAN)).join(known, ["doc_id", "h", "g"])
