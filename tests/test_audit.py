@@ -80,7 +80,7 @@ def brute(hashes, threshold=6, min_frames=3):
     items = sorted(hashes.items())
     for i, (a, ha) in enumerate(items):
         for b, hb in items[i + 1 :]:
-            if not ha or not hb or (ha[0] >> 48) & 0xFFFF != (hb[0] >> 48) & 0xFFFF:
+            if not ha or not hb:
                 continue
             ds = [d for d in (bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(ha, hb)) if d <= threshold]
             if len(ds) >= min_frames:
@@ -106,7 +106,7 @@ def planted(spark):
     """Families of noisy copies, a black-first-frame flood, exact copies, short and empty lists."""
     rng = random.Random(3)
     word = lambda: rng.getrandbits(64)
-    flip = lambda h, k: h ^ sum(1 << b for b in rng.sample(range(48), k))
+    flip = lambda h, k: h ^ sum(1 << b for b in rng.sample(range(64), k))
     signed = lambda h: h - 2**64 if h >= 2**63 else h
     hashes = {}
     for f in range(6):
@@ -125,6 +125,13 @@ def planted(spark):
     return {k: [signed(h) for h in v] for k, v in hashes.items()}, spark.createDataFrame(rows, "video_id string, phash array<bigint>")
 
 
+def test_a_block_is_only_used_on_request(spark):
+    a, b = [2**40, 5, 6, 7], [2**60, 5, 6, 7]
+    df = spark.createDataFrame([("a", a), ("b", b)], "video_id string, phash array<bigint>")
+    assert len(D.class_links(D.classes(df)).collect()) == 1
+    assert D.class_links(D.classes(df, block_bits=16)).collect() == []
+
+
 @pytest.mark.parametrize("hot_key", [2, 10, 500])
 def test_near_duplicates_equal_brute_force(spark, planted, hot_key):
     """Hot keys are refined by a second position; no pair may get lost on the way."""

@@ -108,15 +108,15 @@ def test_frame_sampling(spark):
 # ---- grounding --------------------------------------------------------------------------
 CASES = [
     ("The detector estimates a 78% probability that this video was manipulated. The strongest single-frame signal was 0.91 at about 1.6s.", False, None),
-    ("The detector is 99.7% sure, with a lip-sync offset of 412 milliseconds.", False, "cites numbers"),
-    ("This video was definitely manipulated.", False, "overclaims certainty"),
-    ("The analysis proves the footage is fake.", False, "overclaims certainty"),
-    ("The person in the clip is a scammer.", False, "attributes identity"),
-    ("This person deliberately faked the video to deceive viewers.", False, "attributes identity"),
-    ("Fake.", False, "empty or trivially short"),
-    ("The video shows signs of manipulation around 1.6s. The system is not confident enough to call it.", True, "does not lead"),
+    ("The detector is 99.7% sure, with a lip-sync offset of 412 milliseconds.", False, "unknown numbers"),
+    ("This video was definitely manipulated.", False, "certainty"),
+    ("The analysis proves the footage is fake.", False, "certainty"),
+    ("The person in the clip is a scammer.", False, "person or motive"),
+    ("This person deliberately faked the video to deceive viewers.", False, "person or motive"),
+    ("Fake.", False, "hardly any text"),
+    ("The video shows signs of manipulation around 1.6s. The system is not confident enough to call it.", True, "first sentence hides"),
     ("The system is not confident enough to give a verdict. Its estimate of 0.78 falls inside the inconclusive band.", True, None),
-    ("This video was manipulated with 78% probability.", True, "does not lead"),
+    ("This video was manipulated with 78% probability.", True, "first sentence hides"),
 ]
 
 

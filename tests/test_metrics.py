@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,32 @@ def test_mcnemar_counts_and_exact_p(spark):
     assert one(roc.mcnemar(df, "label", "p1", "p2"))["p_value"] == pytest.approx(want)
 
 
+def test_mcnemar_of_large_counts_is_quick_and_exact():
+    p = lambda b, c: roc.exact_half_binomial_p.func(pd.Series([b]), pd.Series([c]))[0]
+    for b, c in ((40, 70), (0, 12), (333, 401)):
+        want = 2 * sum(math.comb(b + c, k) for k in range(b + 1)) / 2 ** (b + c)
+        assert p(b, c) == p(c, b) == pytest.approx(min(1.0, want), rel=1e-9)
+    z = 1.5  # far out, the normal limit holds
+    n = 4_000_000_000
+    assert p(int(n / 2 - z * math.sqrt(n) / 2), int(n / 2 + z * math.sqrt(n) / 2)) == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-3)
+
+
+def test_rows_without_label_or_score_change_nothing(spark, noisy):
+    rows, df = noisy
+    odd = [("n1", None, 0.9), ("n2", 1, None), ("n3", 0, float("nan")), ("n4", None, float("nan"))] + [(f"t{i}", None, 0.5) for i in range(40)]
+    more = df.union(spark.createDataFrame(odd, df.schema))
+    for fn in (
+        lambda d: M.evaluate(d, 0.5, "given"),
+        lambda d: M.risk_coverage(d, "label", "video_score", 0.5, "video_id").orderBy("coverage"),
+        lambda d: roc.auc(d, "label", "video_score"),
+    ):
+        got, want = fn(more).collect(), fn(df).collect()
+        assert len(got) == len(want)
+        for a, b in zip(got, want):
+            for k, v in b.asDict().items():
+                assert a[k] == (pytest.approx(v) if isinstance(v, float) else v), k
+
+
 def test_paired_test_of_a_scoring_with_itself(noisy):
     _, df = noisy
     got = one(roc.paired_auc(df.withColumn("same", F.col("video_score")), "label", "video_score", "same", "video_id", n_boot=20))

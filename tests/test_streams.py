@@ -3,11 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
+from touchstone.functions import text as X
 from touchstone.operators import monitor as N
+from touchstone.operators import sampling as S
 from touchstone.session import new_path
 from touchstone.sources import files, logs
 from touchstone.sources import predictions as P
 from touchstone.sources import runs as RT
+from touchstone.streaming import tables as T
 from touchstone.streaming.monitors import DriftMonitor
 
 
@@ -35,6 +38,32 @@ def test_drift_goes_on_after_a_restart(spark):
         assert got[k] == want[k], k
     assert got["score_psi"] == pytest.approx(want["score_psi"])
     assert got["n_observed"] == 500
+    idle = DriftMonitor(base, path=state)
+    assert idle.report().first() == got  # a restart without any run
+    assert idle.run(stream()).report().first() == got  # and one without new rows
+
+
+def test_streams_without_rows(spark):
+    feed = new_path(spark, "feed")
+    result_rows(spark, 0, 2).limit(0).write.parquet(feed)
+    stream = lambda: spark.readStream.schema(result_rows(spark, 0, 1).schema).parquet(feed)
+    assert T.appended(stream()).count() == 0
+    assert T.final_counts(stream().groupBy("verdict").count()).count() == 0
+    assert T.final_updates(stream().groupBy("verdict").count(), ["verdict"]).count() == 0
+    base = N.drift_baseline(spark.createDataFrame([(0.5, True)], "video_score double, has_audio boolean"))
+    with pytest.raises(ValueError, match="nothing was observed"):
+        DriftMonitor(base, path=new_path(spark, "drift")).report()
+
+
+def test_nothing_is_cut_off(spark):
+    jobs = spark.range(1000).select(F.col("id").alias("job_id"), F.col("id").alias("created_us"), F.lit("queued").alias("state"))
+    assert N.recent(jobs, 500).count() == 500 and N.queue_depth(jobs).first()[0] == 1000
+    log = spark.createDataFrame([("r", "train.log", "CUDA out of memory\n" + "ok\n" * 20000)], "run string, name string, text string")
+    assert X.divergence(log).first()["reason"] == "CUDA OOM"
+    for n in (20, 100):
+        clips = spark.range(n).select(F.col("id").cast("string").alias("video_id"), F.lit(True).alias("has_audio"))
+        got = S.stratified_batches(clips, 32)
+        assert got.count() == n and got.select("video_id").distinct().count() == n
 
 
 def test_preds_without_contract_columns_are_refused(spark):

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from .numeric import c
 
-FINGERPRINT_HEAD_BYTES = 16 * 1024 * 1024
-
 
 def hash32(text) -> Column:
     """First four bytes of sha-256 as an unsigned integer."""
@@ -49,9 +47,9 @@ def sorted_json(fields: dict) -> Column:
     return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
 
 
-def fingerprint(content, length) -> Column:
-    """sha-256 over the first 16 MiB followed by the decimal size."""
-    head = F.substring(c(content), 1, FINGERPRINT_HEAD_BYTES)
+def fingerprint(content, length, head_bytes: int | None = None) -> Column:
+    """sha-256 over the content followed by the decimal size; over ``head_bytes`` of it, if given."""
+    head = F.substring(c(content), 1, head_bytes) if head_bytes else c(content)
     return F.sha2(F.concat(head, F.encode(c(length).cast("string"), "utf-8")), 256)
 
 

@@ -11,7 +11,7 @@ from .numeric import c, half_up
 # Upload limits, codecs and container magic.
 MAX_DURATION_S, MAX_UPLOAD_MB, MIN_SIDE = 60.0, 100, 64
 CODECS = ["h264", "hevc", "vp8", "vp9", "av1", "mpeg4", "mjpeg", "theora"]
-MAGIC = [(4, "66747970"), (0, "1A45DFA3"), (0, "52494646"), (0, "464C56")]
+MAGIC = [(4, b"ftyp"), (0, b"\x1a\x45\xdf\xa3"), (0, b"RIFF"), (0, b"FLV")]
 
 
 def sniff(head) -> Column:
@@ -19,7 +19,7 @@ def sniff(head) -> Column:
     h = c(head)
     ok = F.lit(False)
     for offset, magic in MAGIC:
-        ok = ok | (F.hex(F.substring(h, offset + 1, len(magic) // 2)) == magic)
+        ok = ok | (F.substring(h, offset + 1, len(magic)) == F.lit(bytearray(magic)))
     return ok
 
 

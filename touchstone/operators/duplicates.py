@@ -25,13 +25,18 @@ def _band(h: str, i: str, bands: int) -> str:
     return f"(shiftrightunsigned({h}, {lo}) & (shiftleft(1L, {hi} - {lo}) - 1L))"
 
 
-def classes(hashes: DataFrame) -> DataFrame:
-    """One row per distinct signature list: a representative id, the list, its size."""
+def classes(hashes: DataFrame, block_bits: int = 0) -> DataFrame:
+    """One row per distinct signature list: a representative id, the list, its size.
+
+    With ``block_bits``, only classes whose first signatures share that many leading bits
+    are compared, which trades matches for speed.
+    """
+    block = f"shiftrightunsigned(phash[0], {64 - block_bits})" if block_bits else "0L"
     return (
         hashes.where(F.size("phash") > 0)
         .groupBy("phash")
         .agg(F.min("video_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-        .select("rep", "phash", "n", F.expr("shiftrightunsigned(phash[0], 48)").alias("block"))
+        .select("rep", "phash", "n", F.expr(block).alias("block"))
     )
 
 

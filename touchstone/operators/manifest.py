@@ -177,8 +177,8 @@ def label_conflicts(m: DataFrame) -> DataFrame:
     )
 
 
-def missing_files(m: DataFrame, listing: DataFrame, limit: int | None = 200) -> DataFrame:
-    """Manifest paths that the listing lacks; the report shows the first ``limit``."""
+def missing_files(m: DataFrame, listing: DataFrame, limit: int | None = None) -> DataFrame:
+    """Manifest paths that the listing lacks, or the first ``limit`` of them."""
     gone = m.select("path").join(listing.select("path"), "path", "left_anti")
     return gone if limit is None else gone.orderBy("path").limit(limit)
 

@@ -129,7 +129,7 @@ def reliability(df: DataFrame, label: str, prob: str, n_bins: int = 15, by: Sequ
 # selective prediction
 # --------------------------------------------------------------------------
 def _confidence(df: DataFrame, label: str, prob: str, thr, keep: Sequence[str]) -> DataFrame:
-    df = with_threshold(df, thr, (), "_thr")
+    df = with_threshold(df.where(roc.usable(label, prob)), thr, (), "_thr")
     right = (F.col(prob) >= F.col("_thr")).cast("int") == F.col(label).cast("int")
     return df.select(
         *keep,
@@ -257,7 +257,8 @@ def evaluate(
         raise ValueError("thr_source must say where the threshold came from")
     prob = prob or score
     data, keys = keyed(df, by)
-    data = with_threshold(data, thr, ())
+    # Every branch below sees the same rows: those with a label and a number as score.
+    data = with_threshold(data.where(roc.usable(label, score)), thr, ())
     used = list(dict.fromkeys([*keys, "threshold", label, score, prob, row_id] + ([abstain] if abstain else [])))
     data = data.select(*used)
 
@@ -265,7 +266,7 @@ def evaluate(
     # the rows are read and shuffled once, and every branch below starts from here.
     group = [*keys, "threshold"]
     held = f"CAST(`{abstain}` AS INT)" if abstain else "0"
-    base = data.where(f"`{label}` IS NOT NULL AND `{score}` IS NOT NULL").groupBy(
+    base = data.groupBy(
         *group,
         F.col(score).cast("double").alias("score"),
         *([F.col(prob).cast("double").alias("prob")] if prob != score else []),

@@ -205,13 +205,13 @@ def upsert_jobs(base: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def recent(jobs: DataFrame, limit: int = 50) -> DataFrame:
-    """Newest jobs, at most 100: the report itself is a top-k."""
-    return jobs.orderBy(F.desc("created_us"), F.desc("job_id")).limit(min(limit, 100))
+    """The ``limit`` newest jobs."""
+    return jobs.orderBy(F.desc("created_us"), F.desc("job_id")).limit(limit)
 
 
-def queue_depth(jobs: DataFrame, newest: int = 200) -> DataFrame:
-    top = jobs.orderBy(F.desc("created_us"), F.desc("job_id")).limit(newest)
-    return top.agg(F.count(F.when(F.col("state").isin(ACTIVE), 1)).alias("depth"))
+def queue_depth(jobs: DataFrame) -> DataFrame:
+    """How many of all jobs wait or run."""
+    return jobs.agg(F.count(F.when(F.col("state").isin(ACTIVE), 1)).alias("depth"))
 
 
 def purge(jobs: DataFrame, now_us, hours: float = 24.0) -> tuple[DataFrame, DataFrame]:

@@ -26,6 +26,16 @@ TINY = 1e-12
 INF = float("inf")
 
 
+def usable(label: str, score: str) -> Column:
+    """Rows that a metric can use: a label, and a score that is a number.
+
+    Rows without are left out of every metric; compare ``n`` with the table's count to
+    see how many.
+    """
+    s = F.col(score).cast("double")
+    return F.col(label).isNotNull() & s.isNotNull() & ~F.isnan(s)
+
+
 def score_table(
     df: DataFrame, label: str, score: str, by: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
@@ -33,7 +43,7 @@ def score_table(
     df, keys = keyed(df, by)
     w = f"CAST(`{weight}` AS BIGINT)" if weight else "1L"
     pts = (
-        df.where(f"`{score}` IS NOT NULL AND `{label}` IS NOT NULL")
+        df.where(usable(label, score))
         .groupBy(*keys, F.col(score).cast("double").alias("score"))
         .agg(
             F.expr(f"sum(CASE WHEN `{label}` = 1 THEN {w} ELSE 0L END) AS pos"),
@@ -375,13 +385,21 @@ def exact_half_binomial_p(b: pd.Series, c: pd.Series) -> pd.Series:
     """Two-sided exact binomial p of ``b`` successes in ``b + c`` fair trials."""
 
     def tail(k: int, n: int) -> float:
+        """Twice P(X <= k): the largest term times its falling ratios, while they count.
+
+        Terms fall by k / (n - k + 1) at least and soon faster, so about sqrt(n) of them
+        matter, whatever k is.
+        """
         if n == 0 or 2 * k >= n:
             return 1.0
-        base = lgamma(n + 1) - n * log(2.0)
-        i = np.arange(k + 1)
-        logs = np.array([base - lgamma(j + 1) - lgamma(n - j + 1) for j in i])
-        top = logs.max()
-        return min(1.0, 2.0 * exp(top) * float(np.exp(logs - top).sum()))
+        top = lgamma(n + 1) - n * log(2.0) - lgamma(k + 1) - lgamma(n - k + 1)
+        total = term = 1.0
+        for j in range(k, 0, -1):
+            term *= j / (n - j + 1)
+            total += term
+            if term < 1e-17 * total:
+                break
+        return min(1.0, 2.0 * exp(top) * total)
 
     return pd.Series([tail(min(x, y), x + y) for x, y in zip(b, c)])
 

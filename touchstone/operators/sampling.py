@@ -53,7 +53,8 @@ def stratified_batches(
 
     Both pools are dealt out in hashed order, going round again when one runs short;
     rows of the pool with more than its share of places are left over, as whole batches
-    of ``n div batch_size`` demand. With one pool empty, the other fills the batches.
+    of ``n div batch_size`` demand. With one pool empty, the other fills the batches, and
+    the last one takes what remains.
     """
     k = max(int(batch_size * min_frac), 1)
     sizes = df.agg(
@@ -62,10 +63,10 @@ def stratified_batches(
     data = df.crossJoin(F.broadcast(sizes))
     pool = F.when(F.col("_one_pool"), "all").when(F.col("has_audio"), "audio").otherwise("silent")
     share = F.when(F.col("_one_pool"), batch_size).when(F.col("has_audio"), k).otherwise(batch_size - k)
-    data = data.withColumns({"pool": pool, "_share": share, "_nb": F.floor(F.col("_n") / batch_size)})
+    data = data.withColumns({"pool": pool, "_share": share, "_nb": F.when(F.col("_one_pool"), F.ceil(F.col("_n") / batch_size)).otherwise(F.floor(F.col("_n") / batch_size))})
     ranked = hash_rank(data, ["pool"], _salted(seed, epoch, row_id), row_id, "_r")
     # Where both pools exist, places of a short pool are filled by going round it again.
-    places = F.col("_nb") * F.col("_share")
+    places = F.when(F.col("_one_pool"), F.col("_n")).otherwise(F.col("_nb") * F.col("_share"))
     times = F.floor((places - F.col("_r")) / F.col("_r_of"))
     return (
         ranked.where(F.col("_r") <= places)

@@ -113,10 +113,11 @@ class Tables:
 
     @cached_property
     def hashes(self) -> DataFrame:
-        n = F.least(F.floor(F.length("text") / 200).cast("int"), F.lit(8))
-        chunk = lambda k: F.conv(
-            F.substring(F.sha2(F.substr("text", k * 200 + 1, F.lit(200)), 256), 1, 16), 16, -10
-        ).cast("bigint")
+        # One signature per 200 characters of the whole text, a byte per 25 of them, so
+        # that a small edit changes a few bits of one signature.
+        n = F.ceil(F.length("text") / 200).cast("int")
+        byte = lambda k, j: F.substring(F.sha2(F.substr("text", k * 200 + j * 25 + 1, F.lit(25)), 256), 1, 2)
+        chunk = lambda k: F.conv(F.concat(*[byte(k, j) for j in range(8)]), 16, -10).cast("bigint")
         ks = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
         return self.raw("documents").select(
             F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("video_id"), F.transform(ks, chunk).alias("phash")
@@ -339,8 +340,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "hashes": (
         (),
         """SELECT 'd' || doc_id AS video_id,
-            list_transform(range(0, least(length(text) // 200, 8)),
-              lambda k: ('0x' || substr(sha256(substring(text, (k * 200 + 1)::BIGINT, 200)), 1, 16))::UBIGINT) AS phash
+            list_transform(range(0, (length(text) + 199) // 200),
+              lambda k: ('0x' || list_aggregate(list_transform(range(0, 8),
+                lambda j: substr(sha256(substring(text, (k * 200 + j * 25 + 1)::BIGINT, 25)), 1, 2)), 'string_agg', ''))::UBIGINT) AS phash
             FROM documents""",
     ),
     "doc_manifest": (

@@ -107,12 +107,12 @@ def _(t):
 
 _DIST = "list_filter(list_transform(range(1, least(len(a.phash), len(b.phash)) + 1), lambda i: bit_count(xor(a.phash[i], b.phash[i]))), lambda d: d <= 6)"
 _PAIRS = f"""h AS (SELECT * FROM hashes WHERE len(phash) > 0),
-  pr AS (SELECT a.video_id AS video_a, b.video_id AS video_b, {_DIST} AS ds FROM h a JOIN h b ON (a.phash[1] >> 48) = (b.phash[1] >> 48) AND a.video_id < b.video_id),
+  pr AS (SELECT a.video_id AS video_a, b.video_id AS video_b, {_DIST} AS ds FROM h a JOIN h b ON a.video_id < b.video_id),
   np AS (SELECT video_a, video_b, floor(list_sum(ds) / len(ds))::INT AS distance FROM pr WHERE len(ds) >= 3)"""
 
 
 @query("j3_near_duplicates", "hashes", f"""WITH c AS (SELECT phash, min(video_id) AS rep, count(*) AS n FROM hashes WHERE len(phash) > 0 GROUP BY phash),
-   l AS (SELECT a.rep AS rep_a, b.rep AS rep_b, a.n AS n_a, b.n AS n_b, {_DIST} AS ds FROM c a JOIN c b ON (a.phash[1] >> 48) = (b.phash[1] >> 48) AND a.rep < b.rep)
+   l AS (SELECT a.rep AS rep_a, b.rep AS rep_b, a.n AS n_a, b.n AS n_b, {_DIST} AS ds FROM c a JOIN c b ON a.rep < b.rep)
    SELECT rep_a, rep_b, n_a, n_b, len(ds)::INT AS n_frames, floor(list_sum(ds) / len(ds))::INT AS distance FROM l WHERE len(ds) >= 3
    UNION ALL SELECT rep, rep, n, n, len(phash)::INT, 0 FROM c WHERE n > 1 AND len(phash) >= 3""")
 def _(t):
@@ -218,13 +218,13 @@ def _(t):
     return MF.partner_paths(t.manifest).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("partner").alias("n_partners"))
 
 
-_DEGRADED = """SELECT video_id || '__' || recipe AS video_id, 'test' AS split, has_audio AND recipe <> 'audio_strip' AS has_audio,
-   CASE WHEN recipe IN ('crf23', 'crf32', 'crf40') THEN recipe ELSE 'unknown' END AS compression FROM manifest, (SELECT unnest(['crf40', 'hflip', 'audio_strip']) AS recipe)"""
+_DEGRADED = f"""SELECT video_id || '__' || recipe AS video_id, 'test' AS split, has_audio AND recipe <> 'audio_strip' AS has_audio,
+   CASE WHEN recipe IN ('crf23', 'crf32', 'crf40') THEN recipe ELSE 'unknown' END AS compression FROM manifest, (SELECT unnest({MF.RECIPES}) AS recipe)"""
 
 
 @query("j15_recipe_variants", "manifest", f"{_DEGRADED} WHERE NOT (recipe = 'hflip' AND duration_s < 5)")
 def _(t):
-    recipes = ["crf40", "hflip", "audio_strip"]
+    recipes = MF.RECIPES
     done = t.manifest.withColumn("recipe", F.explode(F.lit(recipes))).where("NOT (recipe = 'hflip' AND duration_s < 5)")
     done = done.withColumn("path", F.concat_ws("/", F.lit("/degraded"), "recipe", "video_id"))
     return MF.degrade_manifest(t.manifest, recipes, done).select("video_id", "split", "has_audio", "compression")
@@ -243,5 +243,5 @@ def _(t):
 @query("q11_degraded_manifest", "manifest", f"SELECT compression, has_audio, count(*) AS n FROM ({_DEGRADED}) GROUP BY 1, 2")
 def _(t):
     path = new_path(t.spark, "degraded")
-    S.write_manifest(MF.degrade_manifest(t.manifest, ["crf40", "hflip", "audio_strip"]), path)
+    S.write_manifest(MF.degrade_manifest(t.manifest, MF.RECIPES), path)
     return S.read_manifest(t.spark, path).groupBy("compression", "has_audio").agg(F.count(F.lit(1)).alias("n"))

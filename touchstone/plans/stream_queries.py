@@ -108,12 +108,12 @@ def _(t):
     return expired.select("job_id", "filename")
 
 
-@query("r6_queue_depth", "changes", f"WITH {_STATE} SELECT count(*) FILTER (state IN ('queued', 'running')) AS depth FROM (SELECT * FROM js ORDER BY created_us DESC, job_id DESC LIMIT 200)")
+@query("r6_queue_depth", "changes", f"WITH {_STATE} SELECT count(*) FILTER (state IN ('queued', 'running')) AS depth FROM js")
 def _(t):
     return N.queue_depth(N.job_state(t.changes))
 
 
-@query("t1_recent_jobs", "changes", f"WITH {_STATE} SELECT job_id, state FROM js ORDER BY created_us DESC, job_id DESC LIMIT 100")
+@query("t1_recent_jobs", "changes", f"WITH {_STATE} SELECT job_id, state FROM js ORDER BY created_us DESC, job_id DESC LIMIT 500")
 def _(t):
     return N.recent(N.job_state(t.changes), 500).select("job_id", "state")
 

@@ -35,8 +35,8 @@ def _(t):
     reasons = X.grounding("text", F.array(F.lit(0.78)), F.lit(False))
     has = lambda r: F.exists("r", lambda x: x.startswith(r))
     return _docs(t).select("doc_id", reasons.alias("r")).select(
-        "doc_id", has("overclaims").alias("certain"), has("attributes").alias("blame"), has("cites").alias("invented"),
-        has("too long").alias("long"), has("empty").alias("short"),
+        "doc_id", has("certainty").alias("certain"), has("person").alias("blame"), has("unknown numbers").alias("invented"),
+        has("over the word limit").alias("long"), has("hardly any text").alias("short"),
     )
 
 
@@ -67,7 +67,7 @@ def _(t):
     return X.banned_imports(t.documents.select("doc_id", code.alias("text")), "doc_id", ["enlib", "frlib"])
 
 
-@query("p11_log_divergence", "", r"""WITH g AS (SELECT source AS run, CASE doc_id % 3 WHEN 0 THEN 'metrics.jsonl' WHEN 1 THEN 'train.log' ELSE 'stderr.log' END AS name, doc_id, right(text || CASE WHEN doc_id % 50 = 1 THEN ' Traceback' WHEN doc_id % 70 = 2 THEN ' loss nan' ELSE '' END, 20000) AS tail FROM documents),
+@query("p11_log_divergence", "", r"""WITH g AS (SELECT source AS run, CASE doc_id % 3 WHEN 0 THEN 'metrics.jsonl' WHEN 1 THEN 'train.log' ELSE 'stderr.log' END AS name, doc_id, text || CASE WHEN doc_id % 50 = 1 THEN ' Traceback' WHEN doc_id % 70 = 2 THEN ' loss nan' ELSE '' END AS tail FROM documents),
    r AS (SELECT run || '/' || doc_id AS run, name, CASE WHEN regexp_matches(tail, '(?i)non-?finite loss') THEN 'non-finite loss' WHEN regexp_matches(tail, '(?i)\bnan\b') THEN 'NaN in the logs'
      WHEN regexp_matches(tail, '(?i)CUDA out of memory') THEN 'CUDA OOM' WHEN regexp_matches(tail, '(?i)Traceback') THEN 'unhandled exception' END AS reason FROM g)
    SELECT run, reason, name AS source FROM r WHERE reason IS NOT NULL""")
@@ -160,13 +160,13 @@ _PCT = "printf('%.0f', calp * 100) || '%'"
 
 
 @query("f13_template_text", "frames", f"""WITH {_SEGS}, b AS (SELECT *, {R('(clip % 97) / 97.0::DOUBLE', 4)} AS calp, {R('peak', 4)} AS hi FROM sg)
-   SELECT clip::VARCHAR AS video_id, CASE WHEN clip % 9 = 0 THEN 'No face' WHEN clip % 7 = 0 THEN 'The system is not confident enough to give a verdict here, because this video''s characteristics are unlike the data the model was trained on. Its raw estimate was ' || {_PCT} || ', which is within the inconclusive range.'
-     WHEN clip % 5 = 0 THEN 'The system is not confident enough to give a verdict here, because the score falls inside the band where the model is not reliable enough to call it. Its raw estimate was ' || {_PCT} || ', which is within the inconclusive range.'
-     WHEN (clip % 97) / 97.0::DOUBLE >= 0.4 THEN 'The detector estimates a ' || {_PCT} || ' probability that this video was manipulated.'
-     ELSE 'The detector estimates a ' || {_PCT} || ' probability of manipulation, which is below its decision threshold.' END AS opening FROM b""")
+   SELECT clip::VARCHAR AS video_id, CASE WHEN clip % 9 = 0 THEN 'No face' WHEN clip % 7 = 0 THEN 'No verdict: uncertain, as the clip looks unlike anything in the training data. Raw estimate: ' || {_PCT} || '.'
+     WHEN clip % 5 = 0 THEN 'No verdict: uncertain, as its score lies between the two limits of the undecided range. Raw estimate: ' || {_PCT} || '.'
+     WHEN (clip % 97) / 97.0::DOUBLE >= 0.4 THEN 'Manipulation is likely: ' || {_PCT} || ' by the detector''s estimate.'
+     ELSE 'No sign of manipulation above the threshold: ' || {_PCT} || ' by the detector''s estimate.' END AS opening FROM b""")
 def _(t):
     p = V.explain_payload(results(t)).select("video_id", X.template_text().alias("text"))
-    opening = F.when(F.col("text").startswith("No face"), "No face").otherwise(F.regexp_extract("text", r"^(.*?)(?: The strongest single-frame| This clip has no| The lip-sync|$)", 1))
+    opening = F.when(F.col("text").startswith("There was no face"), "No face").otherwise(F.regexp_extract("text", r"^(.*?)(?: Highest frame score| Without a sound track| Lip sync, with|$)", 1))
     return p.select("video_id", opening.alias("opening"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,11 +66,11 @@ def rate_windows(stream: DataFrame, minutes: int = 1, late: str = "10 minutes")
 class DriftMonitor:
     """Rolling drift of a result stream against a validation baseline.
 
-    State is two versioned tables in the shared folder: the newest ``window`` rows and
-    one row of all-time totals, a version per micro-batch. A micro-batch first cuts
-    itself to its own newest rows (a distributed top-k), so no task sees the whole
-    stream, and a batch that is run again reads the version before it and writes its
-    own anew. Give a fixed ``path`` to go on after a restart.
+    State is two tables in the shared folder: the newest ``window`` rows and one row of
+    all-time totals. Micro-batches write them in turn to two places, so a batch that is
+    run again finds the state before it, and no more than two versions exist. A
+    micro-batch first cuts itself to its own newest rows (a distributed top-k), so no
+    task sees the whole stream. Give a fixed ``path`` to go on after a restart.
     """
 
     ORDER = ("ts", "seq")
@@ -77,10 +78,20 @@ class DriftMonitor:
     def __init__(self, baseline: DataFrame, window: int = N.WINDOW, n_bins: int = 10, path: str | None = None):
         self.baseline, self.window, self.n_bins = baseline, window, n_bins
         self.spark = baseline.sparkSession
-        self.path, self.version = path or new_path(self.spark, "drift"), None
+        self.path = path or new_path(self.spark, "drift")
 
     def _paths(self, version: int) -> tuple[str, str]:
-        return f"{self.path}/rows/v{version}", f"{self.path}/totals/v{version}"
+        return f"{self.path}/rows/v{version % 2}", f"{self.path}/totals/v{version % 2}"
+
+    def newest(self) -> int | None:
+        """The last finished micro-batch, in this run or an earlier one; totals are written last."""
+        done = []
+        for place in (0, 1):
+            try:
+                done += [r["batch"] for r in self.spark.read.parquet(self._paths(place)[1]).select("batch").collect()]
+            except AnalysisException:  # not written yet, or cut off
+                continue
+        return max(done, default=None)
 
     def on_batch(self, df: DataFrame, batch: int) -> None:
         df = df.select("ts", "seq", "calibrated_prob", "has_audio", "n_faces_found", "ood_flag", "verdict")
@@ -93,13 +104,13 @@ class DriftMonitor:
         if batch > 0:
             rows, sums = self._paths(batch - 1)
             newest = N.last_n(newest.unionByName(self.spark.read.parquet(rows)), self.ORDER, self.window)
-            totals = totals.unionByName(self.spark.read.parquet(sums)).agg(
+            totals = totals.unionByName(self.spark.read.parquet(sums).drop("batch")).agg(
                 *[F.sum(k).alias(k) for k in ("total", "ood", "held")]
             )
+        totals = totals.withColumn("batch", F.lit(batch))
         rows, sums = self._paths(batch)
         newest.write.mode("overwrite").parquet(rows)
         totals.write.mode("overwrite").parquet(sums)
-        self.version = batch
 
     def run(self, stream: DataFrame) -> DriftMonitor:
         drain(stream, self.on_batch, offsets=f"{self.path}/offsets")
@@ -107,7 +118,10 @@ class DriftMonitor:
 
     def report(self) -> DataFrame:
         """The report of the last version; reads at most ``window`` rows."""
-        rows, sums = (self.spark.read.parquet(p) for p in self._paths(self.version))
+        version = self.newest()
+        if version is None:
+            raise ValueError("nothing was observed yet: run a stream first")
+        rows, sums = (self.spark.read.parquet(p) for p in self._paths(version))
         b = closed_open_bin(F.col("calibrated_prob"), self.n_bins)
         live = rows.agg(
             F.count("calibrated_prob").alias("n_observed"),

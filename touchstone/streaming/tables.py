@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from ..session import new_path
 
 
-def as_stream(df: DataFrame, order: str, n_files: int = 6, files_per_trigger: int = 2) -> DataFrame:
-    """Write a table out in time ranges and read it back as a file stream."""
+def as_stream(df: DataFrame, order: str, n_files: int | None = None, files_per_trigger: int = 2) -> DataFrame:
+    """Write a table out in time ranges and read it back as a file stream.
+
+    By default there are as many ranges as shuffle partitions.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, "feed")
+    n_files = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartitionByRange(n_files, order).write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
@@ -46,6 +50,8 @@ def final_counts(stream: DataFrame) -> DataFrame:
         seen.append(batch)
 
     drain(stream, write, "complete")
+    if not seen:
+        return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{out}/v{max(seen)}")
 
 
@@ -54,21 +60,31 @@ def final_updates(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Only changed keys are written per batch; the newest batch of a key wins.
     """
-    spark, out = stream.sparkSession, new_path(stream.sparkSession, "updates")
+    spark, out, seen = stream.sparkSession, new_path(stream.sparkSession, "updates"), []
     rest = [k for k in stream.columns if k not in keys]
 
     def write(df: DataFrame, batch: int) -> None:
         df.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        seen.append(batch)
 
     drain(stream, write, "update")
+    if not seen:
+        return spark.createDataFrame([], stream.select(*keys, *rest).schema)
     rows = spark.read.parquet(out).drop("batch")
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_v")).select(*keys, "_v.*")
 
 
 def appended(stream: DataFrame) -> DataFrame:
     """All rows of a stateless or append-mode stream."""
-    spark, out = stream.sparkSession, new_path(stream.sparkSession, "rows")
-    drain(stream, lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}"))
+    spark, out, seen = stream.sparkSession, new_path(stream.sparkSession, "rows"), []
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        seen.append(batch)
+
+    drain(stream, write)
+    if not seen:
+        return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
