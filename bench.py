@@ -22,6 +22,7 @@ HEADLINE = [
     "j3_near_duplicates",
     "p8_grounding",
     "w1_suspicious_segments",
+    "w7_face_track",
     "w9_offset_search",
     "r3_drift_stream",
     "r4_job_state_stream",

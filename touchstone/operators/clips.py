@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import c, clip as clamp, half_up, ratio
+from ..session import cut
 from .ordered import order_statistic, quantiles, running_sums
 
 CHUNK_S = 3600.0
@@ -203,7 +204,11 @@ def main_track(
     )
     tail = F.expr("filter(boxes, b -> b.pos = boxes[size(boxes) - 1].pos)")
     onward = Window.partitionBy(clip, "side").orderBy("chunk")
-    stretches = stretches.withColumn("entries", F.coalesce(F.lag(tail).over(onward), F.array("anchor")))
+    # Only the last frames of stretches meet in the window; their boxes stay where they are.
+    stretches = cut(stretches, "stretches")
+    ends = stretches.select(clip, "side", "chunk", tail.alias("_tail"))
+    ends = ends.select(clip, "side", "chunk", F.lag("_tail").over(onward).alias("_before"))
+    stretches = stretches.join(ends, [clip, "side", "chunk"]).withColumn("entries", F.coalesce("_before", F.array("anchor"))).drop("_before")
 
     def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
