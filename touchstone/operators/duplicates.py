@@ -52,48 +52,36 @@ def class_links(
     """Pairs of classes that match, each once, with their truncated mean distance."""
     bands = threshold + 1
     cls = cut(cls.where(F.size("phash") >= min_frames), "classes")
-    skip = min_frames - 1
+    each = f"transform(sequence(0, {bands - 1}), i -> struct(p, i, {_band('phash[p]', 'i', bands)} AS v, phash[p] AS h))"
     keys = cls.selectExpr(
-        "rep", "phash", "block", "n",
-        f"""explode(flatten(transform(sequence({skip}, size(phash) - 1),
-            p -> transform(sequence(0, {bands - 1}), i -> struct(p, i, {_band('phash[p]', 'i', bands)} AS v))))) AS k""",
+        "rep", "block", f"inline(flatten(transform(sequence({min_frames - 1}, size(phash) - 1), p -> {each})))"
     )
-    counted = keys.groupBy("block", "k").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    keys = keys.join(counted, ["block", "k"])
+    at = ["block", "p", "i", "v"]
+    counted = keys.groupBy(*at).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    keys = cut(keys.join(counted, at), "keys")
 
-    def agree(p: str, i: str) -> str:
-        return f"{_band(f'a.phash[{p}]', i, bands)} = {_band(f'b.phash[{p}]', i, bands)}"
+    def close(on: list[str], signatures: list[str]) -> str:
+        """Both sides agree on a key, and their signatures there are within the threshold."""
+        same = [f"a.{k} = b.{k}" for k in on]
+        near = [f"bit_count(a.{h} ^ b.{h}) <= {threshold}" for h in signatures]
+        return " AND ".join([*same, "a.rep < b.rep", *near])
 
-    def first_key(here: str, start: int, own: str | None = None) -> str:
-        """No earlier (position, band) past ``start`` agrees: keeps one copy of a pair."""
-        at, last = f"CAST(floor(z / {bands}) AS INT)", f"{here}.p * {bands} + {here}.i"
-        other = f" AND {at} <> {own}" if own else ""
-        return f"""NOT exists(sequence(0, {last}), z -> z >= {start * bands} AND z < {last}{other}
-            AND {agree(at, f'CAST(z % {bands} AS INT)')})"""
+    def pairs(side: DataFrame, on: list[str], signatures: list[str]) -> DataFrame:
+        met = side.alias("a").join(side.alias("b"), F.expr(close(on, signatures)))
+        return met.selectExpr("a.rep AS rep_a", "b.rep AS rep_b")
 
-    lean = ["rep", "phash", "block", "n", "k"]
+    # Rows of this join hold one signature; whole lists are attached to distinct pairs only.
     splits = min_frames >= 2
-    cold = (keys.where(F.col("m") <= hot_key) if splits else keys).select(*lean)
-    pairs = (
-        cold.alias("a")
-        .join(cold.alias("b"), F.expr("a.block = b.block AND a.k = b.k AND a.rep < b.rep"))
-        .where(F.expr(first_key("a.k", skip)))
-    )
-    cols = ["a.rep AS rep_a", "b.rep AS rep_b", "a.phash AS ha", "b.phash AS hb", "a.n AS n_a", "b.n AS n_b"]
-    found = pairs.selectExpr(*cols)
+    found = pairs(keys.where(F.col("m") <= hot_key) if splits else keys, at, ["h"])
     if splits:
-        hot = keys.where(F.col("m") > hot_key).selectExpr(
-            *lean,
-            f"""explode(flatten(transform(filter(sequence(0, size(phash) - 1), q -> q <> k.p),
-                p -> transform(sequence(0, {bands - 1}), i -> struct(p, i, {_band('phash[p]', 'i', bands)} AS v))))) AS k2""",
-        )
-        again = (
-            hot.alias("a")
-            .join(hot.alias("b"), F.expr("a.block = b.block AND a.k = b.k AND a.k2 = b.k2 AND a.rep < b.rep"))
-            .where(F.expr(first_key("a.k", skip)))
-            .where(F.expr(first_key("a.k2", 0, "a.k.p")))
+        second = f"transform(sequence(0, {bands - 1}), j -> struct(q, j, {_band('phash[q]', 'j', bands)} AS w, phash[q] AS g))"
+        hot = keys.where(F.col("m") > hot_key).drop("m").join(cls.select("rep", "phash"), "rep").selectExpr(
+            "rep", *at, "h", f"inline(flatten(transform(filter(sequence(0, size(phash) - 1), q -> q <> p), q -> {second})))"
         )
-        found = found.unionByName(again.selectExpr(*cols))
+        found = found.union(pairs(hot, [*at, "q", "j", "w"], ["h", "g"]))
+    one = cls.select(F.col("rep").alias("rep_a"), F.col("phash").alias("ha"), F.col("n").alias("n_a"))
+    two = cls.select(F.col("rep").alias("rep_b"), F.col("phash").alias("hb"), F.col("n").alias("n_b"))
+    found = found.distinct().join(one, "rep_a").join(two, "rep_b")
     dist = "filter(zip_with(ha, hb, (x, y) -> bit_count(x ^ y)), d -> d <= {t})".format(t=threshold)
     return (
         found.selectExpr("rep_a", "rep_b", "n_a", "n_b", f"{dist} AS ds")

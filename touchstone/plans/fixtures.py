@@ -113,15 +113,17 @@ class Tables:
 
     @cached_property
     def hashes(self) -> DataFrame:
-        # One signature per 200 characters of the whole text, a byte per 25 of them, so
-        # that a small edit changes a few bits of one signature.
-        n = F.ceil(F.length("text") / 200).cast("int")
-        byte = lambda k, j: F.substring(F.sha2(F.substr("text", k * 200 + j * 25 + 1, F.lit(25)), 256), 1, 2)
-        chunk = lambda k: F.conv(F.concat(*[byte(k, j) for j in range(8)]), 16, -10).cast("bigint")
-        ks = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        return self.raw("documents").select(
-            F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("video_id"), F.transform(ks, chunk).alias("phash")
+        # A byte per 25 characters of the whole text, eight bytes a signature (the last
+        # eight where fewer are left): a small edit changes a few bits of one signature.
+        pieces = F.regexp_extract_all("text", F.lit("(?s).{1,25}"), F.lit(0))
+        docs = self.raw("documents").select(
+            F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("video_id"),
+            F.transform(pieces, lambda x: F.substring(F.sha2(x, 256), 1, 2)).alias("bytes"),
         )
+        m = F.size("bytes")
+        ks = F.when(m >= 8, F.sequence(F.lit(0), F.ceil(m / 8).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+        word = lambda k: F.conv(F.array_join(F.slice("bytes", F.least(k * 8, m - 8) + 1, 8), ""), 16, -10).cast("bigint")
+        return docs.select("video_id", F.transform(ks, word).alias("phash"))
 
     @cached_property
     def doc_manifest(self) -> DataFrame:
@@ -340,10 +342,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "hashes": (
         (),
         """SELECT 'd' || doc_id AS video_id,
-            list_transform(range(0, (length(text) + 199) // 200),
-              lambda k: ('0x' || list_aggregate(list_transform(range(0, 8),
-                lambda j: substr(sha256(substring(text, (k * 200 + j * 25 + 1)::BIGINT, 25)), 1, 2)), 'string_agg', ''))::UBIGINT) AS phash
-            FROM documents""",
+            list_transform(range(0, CASE WHEN len(bytes) < 8 THEN 0 ELSE (len(bytes) + 7) // 8 END),
+              lambda k: ('0x' || array_to_string(bytes[least(k * 8, len(bytes) - 8) + 1 : least(k * 8, len(bytes) - 8) + 8], ''))::UBIGINT) AS phash
+            FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '(?s).{1,25}'), lambda x: substr(sha256(x), 1, 2)) AS bytes FROM documents)""",
     ),
     "doc_manifest": (
         (),
