@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_fraction, hash_split
 from ..functions.numeric import clip, half_up, logit
+from ..session import cut
 
 MAX_PRICE = 105000.0
 
@@ -123,7 +124,8 @@ class Tables:
         m = F.size("bytes")
         ks = F.when(m >= 8, F.sequence(F.lit(0), F.ceil(m / 8).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
         word = lambda k: F.conv(F.array_join(F.slice("bytes", F.least(k * 8, m - 8) + 1, 8), ""), 16, -10).cast("bigint")
-        return docs.select("video_id", F.transform(ks, word).alias("phash"))
+        # Signatures are a stored table; a filter on them would work them out per element.
+        return cut(docs.select("video_id", F.transform(ks, word).alias("phash")), "hashes")
 
     @cached_property
     def doc_manifest(self) -> DataFrame:
