@@ -157,6 +157,19 @@ def test_neighbours_recall(spark):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("spread", ["0.5", "uniform"])
+def test_neighbours_of_unequal_lengths(spark, spread):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 32))[rng.integers(60, size=4000)] + 0.7 * rng.normal(size=(4000, 32))
+    size = rng.uniform(0.5, 2, 4000) if spread == "uniform" else rng.lognormal(0, float(spread), 4000)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True) * size[:, None]).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(frame).groupBy("query_id").agg({"vec_id": "collect_set"}).collect()
+    assert len(got) == 200
+    found = [len(set(ids) & {i for i, _ in neighbours_by_hand(np.arange(4000), x.astype(float), q, 20)}) for q, ids in got]
+    assert sum(found) / 20 / len(found) >= 0.95
+
+
 def test_neighbours_of_odd_vectors(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(v) for v in rng.normal(size=4) * (1 + i % 5)]) for i in range(60)]

@@ -3,11 +3,12 @@
 The graph joins every distinct vector with its K best others by inner product. It starts
 from random-projection leaves and improves by joins of neighbours of neighbours, each
 round a Spark job over the whole graph, until few edges change. A search starts at a
-vector's own neighbours and keeps expanding the nearest vectors not yet expanded.
+vector's own neighbours and expands the nearest vectors until its whole beam is expanded.
 
-Inner products become distances by one more coordinate, sqrt(M^2 - |x|^2) with the
-largest norm M, so that neighbours of vectors of any length are found. Equal vectors are
-one node, whose smallest ids are kept, so copies do not crowd the graph.
+In the graph, inner products become distances by one more coordinate, sqrt(M^2 - |x|^2)
+with the largest norm M. A query has 0 there, so that a search ranks by the inner product
+itself, and it starts from the longest vectors as well, which are neighbours of many.
+Equal vectors are one node, whose smallest ids are kept, so copies do not crowd the graph.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ TREES, LEAF, EARLY = 8, 400, 12
 ROUNDS, LEAST_CHANGE = 5, 0.03
 #: Newest neighbours on either side that one join of a round uses: every edge is new once.
 SAMPLE = 16
-#: Of a search: the vectors kept, those expanded per step, and the steps at most.
-BEAM, WIDE, STEPS = 160, 40, 8
+#: Of a search: the vectors kept, those expanded per step, and the longest vectors it starts from.
+BEAM, WIDE, LONG = 160, 40, 160
 #: Reverse edges of a vector that a search follows besides its own.
 BACK = 20
 #: Vectors that one task scores against the queries that reached them.
@@ -193,8 +194,8 @@ def build(points: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame:
 def search(queries: DataFrame, graph: DataFrame, points: DataFrame, beam: int = BEAM) -> DataFrame:
     """(node, other): for each node of ``queries``, the ``beam`` nearest others that a greedy walk meets.
 
-    The walk starts at the query's own neighbours, and ends when all of its beam is
-    expanded. Vectors lie in shards; a step brings each query once to every shard that
+    The walk starts at the query's own neighbours and at the longest vectors, and ends
+    when all of its beam is expanded; a beam only improves, so it does end. Vectors lie in shards; a step brings each query once to every shard that
     holds vectors it has reached, and only scores that enter the beam come back.
     """
     shards = max(1, points.count() // SHARD)
@@ -206,7 +207,10 @@ def search(queries: DataFrame, graph: DataFrame, points: DataFrame, beam: int =
     links = ahead.join(behind, "node", "left").select("node", F.array_union("next", F.coalesce("more", F.array().cast("array<bigint>"))).alias("next"))
     links = cut(links, "links")
     placed = cut(points.withColumn("shard", shard("node")), "shards")
-    own = cut(queries.join(points, "node").select(F.col("node").alias("q"), F.col("x").alias("qx")), "queries")
+    # Without the added coordinate a query's products are those of the original vectors.
+    plain = F.concat(F.slice("x", F.lit(1), F.size("x") - 1), F.array(F.lit(0.0).cast("float")))
+    own = cut(queries.join(points, "node").select(F.col("node").alias("q"), plain.alias("qx")), "queries")
+    long_ = [r["node"] for r in points.orderBy(F.element_at("x", -1), "node").limit(LONG).collect()]
 
     def scored(pairs: DataFrame, least: DataFrame | None) -> DataFrame:
         """(q, c, s, done) of the pairs that beat the query's ``least``."""
@@ -221,12 +225,10 @@ def search(queries: DataFrame, graph: DataFrame, points: DataFrame, beam: int =
         kept = rows.withColumn("r", rank).where(F.col("r") <= beam).drop("r")
         return cut(kept.withColumn("go", (front <= WIDE) & ~F.col("done")), "beam")
 
-    first = own.select("q").join(links, F.col("q") == F.col("node")).select("q", F.explode("next").alias("c")).where("q != c")
+    begin = F.array_union("next", F.array(*map(F.lit, long_)).cast("array<bigint>"))
+    first = own.select("q").join(links, F.col("q") == F.col("node")).select("q", F.explode(begin).alias("c")).where("q != c")
     state = beamed(scored(first.distinct(), None))
-    for _ in range(STEPS):
-        front = state.where("go")
-        if not front.limit(1).count():
-            break
+    while (front := state.where("go")).limit(1).count():
         reached = front.select("q", "c").join(links, F.col("c") == F.col("node")).select("q", F.explode("next").alias("c")).where("q != c")
         fresh = reached.distinct().join(state.select("q", "c"), ["q", "c"], "left_anti")
         full = state.groupBy("q").agg(F.count("*").alias("n"), F.min("s").alias("least")).where(F.col("n") >= beam).select("q", "least")
