@@ -61,7 +61,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document; documents that the mix repeats are encoded once per pass."""
     path = vocabulary("piece_bpe_32k.model")
-    return pieces.encode(docs, path).select("doc_id", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return pieces.encode(docs, path, merges=True).select("doc_id", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [("quality", rank), ("near_duplicates", deduplicate), ("secrets", redact), ("mixing", mix), ("sentencepiece", encode)]

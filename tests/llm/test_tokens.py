@@ -105,6 +105,19 @@ def test_best_path_equals_the_library_for_a_unigram_model():
         assert abs(mine - sum(model.score[p.replace(pieces.SIGN, " ")][0] for p in best)) < 0.5
 
 
+def test_whole_documents_equal_the_library(spark):
+    import sentencepiece
+
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=MODEL), random.Random(3)
+    rows = read(spark, "/root/testdata/sf0.01")[:400]
+    rows += [(10**6 + i, made_up(rng, 60)) for i in range(60)] + [(2 * 10**6, "ab" * 700), (2 * 10**6 + 1, " " * 300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: library.encode(t) for i, t in rows}
+    for chunk in (pieces.CHUNK, 40):
+        got = {r["doc_id"]: r["ids"] for r in pieces.encode(frame, MODEL, chunk, merges=True).collect()}
+        assert sum(got[i] != ids for i, ids in want.items()) == 0
+
+
 def test_scan_of_giant_texts(spark, monkeypatch):
     monkeypatch.setattr(pieces, "FAN", 4)
     rng, model = random.Random(9), pieces.pieces(MODEL)

@@ -9,12 +9,16 @@ transfer matrix between the states at its two ends; matrices combine associative
 the (max, +) algebra, in groups of FAN per level; going down again gives every chunk its
 states, and each chunk is then traced back by itself.
 
+A model trained by merges is encoded by its merges instead (``merges``). No merge crosses
+a word mark, so giant texts are cut at marks there, and need no scan.
+
 No piece holds a word mark after another character, so within a chunk all states meet
 at the first word mark, and a word's best path can be remembered.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from functools import partial
 
@@ -202,13 +206,74 @@ class Pieces(dict):
         return out
 
 
-_LOADED: dict[str, Pieces] = {}
+class Merges(Pieces):
+    """The encoding of a merge model: the adjacent parts whose join scores best are joined first, the leftmost of equals."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        super().__init__(path)
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.rank = {p: -sp.get_score(i) for p, (_, i) in self.score.items()}
+
+    def path(self, s: str) -> list[int]:
+        n, rank, parts, heap = len(s), self.rank, list(s), []
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+
+        def offer(i: int, j: int) -> None:
+            if i >= 0 and j < n and (r := rank.get(whole := parts[i] + parts[j])) is not None:
+                heapq.heappush(heap, (r, i, j, len(whole)))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while heap:
+            _, i, j, size = heapq.heappop(heap)
+            if not parts[i] or not parts[j] or len(parts[i]) + len(parts[j]) != size:
+                continue
+            parts[i], parts[j] = parts[i] + parts[j], ""
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(before[i], i)
+            offer(i, after[i])
+        out = []
+        for part in filter(None, parts):
+            if part in self.score:
+                out.append(self.score[part][1])
+            elif self.bytes:
+                out += [self.bytes[b] for b in part.encode()]
+            else:
+                out.append(self.unk)
+        return out
+
+    def cuts(self, s: str, chunk: int) -> list[int]:
+        """Ends of parts of about ``chunk`` characters that no merge crosses; a longer word stays whole."""
+        ends = [m.start() for m in re.finditer(f"(?<=[^{MARK}]){MARK}", s)] if self.apart else []
+        out = [0]
+        for here, following in zip(ends, [*ends[1:], len(s)]):
+            if following - out[-1] > chunk:
+                out.append(here)
+        return [*out[1:], len(s)]
 
 
-def pieces(path: str) -> Pieces:
-    if path not in _LOADED:
-        _LOADED[path] = Pieces(path)
-    return _LOADED[path]
+_LOADED: dict[tuple[str, bool], Pieces] = {}
+
+
+def pieces(path: str, merges: bool = False) -> Pieces:
+    """The model of a file; with ``merges``, one that encodes by merges if the file's model does."""
+    if (path, merges) not in _LOADED:
+        _LOADED[path, merges] = Merges(path) if merges and merged(path) else Pieces(path)
+    return _LOADED[path, merges]
+
+
+def merged(path: str) -> bool:
+    """Whether the file holds a merge model."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    with open(path, "rb") as f:
+        proto.ParseFromString(f.read())
+    return proto.trainer_spec.model_type == pb.TrainerSpec.BPE
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -277,8 +342,8 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
 
 
-def _short(path: str, batches):
-    model = pieces(path)
+def _short(path: str, merges: bool, batches):
+    model = pieces(path, merges)
     for b in batches:
         texts = texts_of(b)
         ids = [model.encode(model.normal(t)) for t in texts]
@@ -301,36 +366,52 @@ def _chunks(path: str, chunk: int, batches):
                     ["doc_id", "h", "idx", "part", "size", "m"])
 
 
-def _traced(path: str, batches):
-    model = pieces(path)
+def _words(path: str, chunk: int, batches):
+    """(doc_id, h, idx, part, size, first, last): the parts of giant texts, cut where no merge crosses."""
+    model = pieces(path, True)
+    for b in batches:
+        for i, t in zip(b.column("doc_id").to_pylist(), texts_of(b)):
+            h, s, at = _key(t), model.normal(t), 0
+            for idx, end in enumerate(model.cuts(s, chunk)):
+                size, none = pa.array([end - at], pa.int32()), pa.array([0], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([h]), pa.array([idx]), pa.array([s[at:end]]), size, none, none], ["doc_id", "h", "idx", "part", "size", "first", "last"])
+                at = end
+
+
+def _traced(path: str, merges: bool, batches):
+    model = pieces(path, merges)
     for b in batches:
         rows = zip(b.column("part").to_pylist(), b.column("size").to_pylist(), b.column("first").to_pylist(), b.column("last").to_pylist())
         ids = [model.encode(p[f : n + z]) if n + z > f else np.empty(0, np.int32) for p, n, f, z in rows]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), b.column("idx"), _lists(ids)], ["doc_id", "h", "idx", "ids"])
 
 
-def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, path: str, chunk: int = CHUNK, merges: bool = False) -> DataFrame:
     """(doc_id, h, n_chars, ids) for every row; ``h`` is Spark's hash of the text.
 
+    With ``merges``, a merge model is encoded as the library does, by its merges;
+    otherwise the ids are the best path under the scores.
+
     Null and empty texts have no ids; repeated rows are all kept. Texts
     of at most ``chunk`` characters are one chunk, whose states are known; the others take
     the scan. Other columns take no part.
     """
     docs = docs.select("doc_id", "text")
-    short = map_arrow(docs.where(f"text IS NULL OR length(text) < {chunk}"), partial(_short, path), _TOKENS)
+    short = map_arrow(docs.where(f"text IS NULL OR length(text) < {chunk}"), partial(_short, path, merges), _TOKENS)
     giant = docs.where(f"length(text) >= {chunk}")
-    chunks = map_arrow(giant.where("doc_id IS NOT NULL"), partial(_chunks, path, chunk), "doc_id long, h long, idx long, part string, size int, m binary")
-    chunks = cut(chunks.dropDuplicates(["doc_id", "h", "idx"]), "chunks")
-    solved = states(chunks.select("doc_id", "h", "idx", "m"))
-    traced = map_arrow(
-        chunks.select("doc_id", "h", "idx", "part", "size").join(solved, ["doc_id", "h", "idx"]), partial(_traced, path), "doc_id long, h long, idx long, ids array<int>"
-    )
+    named, columns = giant.where("doc_id IS NOT NULL"), "doc_id long, h long, idx long, part string, size int"
+    if merges and merged(path):
+        known = map_arrow(named, partial(_words, path, chunk), f"{columns}, first int, last int").dropDuplicates(["doc_id", "h", "idx"])
+    else:
+        chunks = cut(map_arrow(named, partial(_chunks, path, chunk), f"{columns}, m binary").dropDuplicates(["doc_id", "h", "idx"]), "chunks")
+        known = chunks.drop("m").join(states(chunks.select("doc_id", "h", "idx", "m")), ["doc_id", "h", "idx"])
+    traced = map_arrow(known, partial(_traced, path, merges), "doc_id long, h long, idx long, ids array<int>")
     whole = traced.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("idx", "ids"))).alias("parts"))
     whole = whole.select("doc_id", "h", F.flatten(F.col("parts.ids")).alias("ids"))
     rows = giant.select("doc_id", text_key().alias("h"), F.length("text").cast("long").alias("n_chars"))
     long_ = rows.join(whole, ["doc_id", "h"]).select("doc_id", "h", "n_chars", "ids")
     # A row without an id cannot be named in the scan; such texts are solved in one go.
-    nameless = map_arrow(giant.where("doc_id IS NULL"), partial(_short, path), _TOKENS)
+    nameless = map_arrow(giant.where("doc_id IS NULL"), partial(_short, path, merges), _TOKENS)
     return short.union(long_).union(nameless)
 
 

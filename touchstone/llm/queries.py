@@ -86,7 +86,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("piece_bpe_32k.model")
-    return pieces.with_round_trip(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    return pieces.with_round_trip(pieces.encode(table(spark, sf_dir, "documents"), path, merges=True), path)
 
 
 @query
