@@ -101,6 +101,34 @@ def test_network_separates_keys_from_words(spark):
     assert secrets.fit(x, extra, np.zeros(600, int), y == 1).threshold > 1
 
 
+class Finds:
+    """A network that finds what holds a q."""
+
+    threshold = 0.5
+
+    def probability(self, x, extra):
+        return (x == secrets._CLASS[ord("q")]).any(1).astype(float)
+
+
+def test_network_is_asked_about_every_run_that_no_rule_covers_whole():
+    keys = ["qABCDEF0123456789abcdef0123XYZ", "qwertzuiopasdfghjkl", "a1" * 60 + "q" + "b2" * 60]
+    for key in keys:
+        assert (4, 3, 4 + len(key)) in secrets.scan_batch([f"see {key} here"], Finds())[0]
+    assert [k for _, k, _ in secrets.scan_batch(["token=qwertzuiopasdfghjkl"], Finds())[0]] == [0]
+    assert secrets.scan_batch(["=" * 40], Finds()) == [[]]
+
+
+def test_threshold_keeps_the_wanted_recall():
+    rng = np.random.default_rng(6)
+    y = (rng.random(4000) < 0.1).astype(int)
+    x = rng.integers(0, secrets.CLASSES, (4000, 80)).astype(np.int16)
+    extra = rng.normal(size=(4000, 4)) + 0.5 * y[:, None]
+    check = np.arange(4000) % 2 == 0
+    net = secrets.fit(x, extra, y, check, epochs=2)
+    good = net.probability(x[check], extra[check])[y[check] == 1]
+    assert (good >= net.threshold).mean() >= secrets.RECALL
+
+
 def test_odd_rows(spark, docs, empty):
     labels = spark.createDataFrame([(0, 1, 0), (4, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     ranking, lexicon, net = quality.train(docs, labels), toxicity.train(docs, labels), secrets.train(docs)
