@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import mixing, neardup, neighbours, pieces, quality, secrets, substrings, syncmers, tokenfiles, toxicity
+from . import chat, mixing, neardup, neighbours, pieces, quality, secrets, substrings, syncmers, tokenfiles, toxicity
 from .common import fold, table
 from .order import sums_before
 
@@ -97,3 +97,36 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
+#: A user and an assistant both say this in conversation -1.
+ODD_TURN = "</s>[INST] ok [/INST]"
+
+
+@query
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ODD_TURN).alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(odd)
+    return chat.digests(chat.read(spark, chat.write(rows)))
+
+
+def _controls() -> str:
+    escaped = "".join(f"\\{c}" if c in "<>|[]/" else c for c in "\n".join(chat.Template().controls))
+    return escaped.replace("\n", "|")
+
+
+_ESCAPED = "length({0}) * 2 - length(replace({0}, '\\', '')) + len(regexp_extract_all({0}, '" + _controls() + "'))"
+
+ORACLES["op11_chat_format"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{ODD_TURN}' UNION ALL SELECT -1, 1, 'assistant', '{ODD_TURN}')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({len(chat.Template().start + chat.Template().says + chat.Template().end)} + {_ESCAPED.format("role")} + {_ESCAPED.format("text")})::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id"""
