@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import chat, mixing, neardup, neighbours, pieces, quality, secrets, substrings, syncmers, tokenfiles, toxicity
+from . import chat, mixing, neardup, neighbours, pieces, quality, secrets, substrings, syncmers, tokenfiles, toxicity, vectorcodes
 from .common import fold, table
 from .order import sums_before
 
@@ -130,3 +130,39 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum({len(chat.Template().start + chat.Template().says + chat.Template().end)} + {_ESCAPED.format("role")} + {_ESCAPED.format("text")})::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id"""
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vectorcodes.compressed(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return vectorcodes.with_label_sums(coded).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256")
+    )
+
+
+def _codes_sql() -> str:
+    """Long-form twin: one row per vector, part and dimension; a CTE for each assignment and each new codebook."""
+    steps = []
+    for r in range(vectorcodes.ROUNDS + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT row, p, min(far * 16 + e) AS best FROM (
+            SELECT row, v.p, e, sum((x - c) * (x - c))::BIGINT AS far FROM v JOIN c{r} AS b ON v.p = b.p AND v.d = b.d GROUP BY row, v.p, e) GROUP BY row, p)""")
+        if r < vectorcodes.ROUNDS:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT o.p, o.e, o.d, coalesce(n.c, o.c) AS c FROM c{r} AS o LEFT JOIN (
+            SELECT v.p, best % 16 AS e, d, floor(sum(x)::DOUBLE / count(*))::BIGINT AS c FROM v JOIN a{r} AS a ON v.row = a.row AND v.p = a.p GROUP BY ALL
+            ) AS n ON o.p = n.p AND o.e = n.e AND o.d = n.d)""")
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (
+  SELECT row, i // (len(embedding) // 8) AS p, i % (len(embedding) // 8) AS d, floor(4096 * embedding[i + 1]::DOUBLE)::BIGINT AS x
+  FROM (SELECT row, embedding, unnest(range(len(embedding))) AS i FROM k)),
+c0 AS MATERIALIZED (SELECT p, row AS e, d, x AS c FROM v WHERE row < 16),
+{", ".join(steps)},
+s AS (SELECT row, string_agg(printf('%02x', best % 16), '' ORDER BY p) AS code, sum(best // 16)::BIGINT AS error FROM a{vectorcodes.ROUNDS} GROUP BY row)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, d)) FROM c{vectorcodes.ROUNDS}) AS codebooks_sha256
+FROM s JOIN k USING (row)"""
+
+
+ORACLES["op12_vector_codes"] = _codes_sql()
