@@ -5,7 +5,9 @@ import hashlib
 import numpy as np
 import pytest
 
-from touchstone.llm import queries, vectorcodes
+from pyspark.sql import functions as F
+
+from touchstone.llm import hardneg, queries, vectorcodes
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -117,3 +119,62 @@ def test_decoded_vectors_are_near(spark):
     error = {r["vec_id"]: r["error"] for r in coded.collect()}
     for i, v, _ in rows:
         assert abs(((back[i] - np.array(v)) ** 2).sum() * 4096**2 - error[i]) < 0.05 * error[i] + 5000
+
+
+def mined_by_hand(rows, scale=256, every=100, low=80):
+    """Hard negatives in Python integers, from every score."""
+    usable = [(i, [int(np.floor(scale * float(x))) for x in v], y) for i, v, y in rows if i is not None and y is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    anchors = sorted({(i, tuple(v), y) for i, v, y in usable if i % every == 0})
+    if anchors:
+        usable, anchors = ([r for r in some if len(r[1]) == len(anchors[0][1])] for some in (usable, anchors))
+    for i, v, y in anchors:
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), j, z) for j, w, z in usable if j != i)
+        for p, j, _ in [r for r in scored if r[2] == y][:5]:
+            fit = [(n, m) for n, m, z in scored if z != y and low * -p <= 100 * -n <= 100 * -p][:5]
+            out += [(i, j, k + 1, m, -p, -n) for k, (n, m) in enumerate(fit)]
+    return sorted(out)
+
+
+def relabelled(rows):
+    return [(i, v, (y + 1) % 10 if i % 7 == 0 else y) for i, v, y in rows]
+
+
+@pytest.mark.parametrize("tree,panel,batch", [(1024, 8192, 2048), (3, 4, 50)])
+def test_hard_negatives_equal_plain_python(spark, monkeypatch, tree, panel, batch):
+    for name, value in (("TREE", tree), ("PANEL", panel), ("ROWS", batch)):
+        monkeypatch.setattr(hardneg, name, value)
+    rows = relabelled(table(spark))
+    every = 100 if tree > 3 else 20
+    got = hardneg.mine(spark.createDataFrame(rows, SCHEMA).repartition(3), F.col("vec_id") % every == 0)
+    assert sorted(map(tuple, got.collect())) == mined_by_hand(rows, every=every)
+
+
+def test_hard_negatives_of_odd_rows(spark):
+    rng = np.random.default_rng(4)
+    grid = lambda: [float(x) / 256 for x in rng.integers(-1, 4, 4)]  # noqa: E731  many ties
+    rows = [(100 * i if i < 6 else i, grid(), int(rng.integers(0, 3))) for i in range(60)]
+    rows += [rows[20]] * 3 + [rows[2]] * 2 + [(100, grid(), 1), (200, [-x for x in rows[2][1]], 2), (-100, grid(), 0), (700, [0.0] * 4, 1)]
+    bad = [(None, grid(), 1), (800, grid(), None), (900, None, 1), (901, [None] * 4, 1), (902, [float("nan")] * 4, 1), (1000, [float("inf")] * 4, 1), (903, [], 1), (1100, [0.5] * 3, 1)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows + bad], SCHEMA + ", score int, anchor string").repartition(4)
+    is_anchor = F.col("vec_id") % 100 == 0
+    assert sorted(map(tuple, hardneg.mine(df, is_anchor).collect())) == mined_by_hand(rows + bad)
+    assert hardneg.mine(df.where("false"), is_anchor).count() == 0
+    assert hardneg.mine(df.where("vec_id % 100 <> 0"), is_anchor).count() == 0
+    assert hardneg.mine(df.where("vec_id = 100"), is_anchor).count() == 0
+
+
+def test_spanning_trees_bound_scores_and_skip_candidates():
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.integers(-5, 6, (40, 8)) + c for c in (100, -100)])
+    order, parent, edge = hardneg.spanning_tree(v)
+    assert sorted(order) == list(range(80)) and (parent[1:] < np.arange(1, 80)).all() and sorted(edge)[-1] > 400 > sorted(edge)[-2]
+    tree = hardneg.Tree(1, 0, np.arange(80), v[order], parent, edge)
+    x = rng.integers(-20, 21, (500, 8))
+    norm = np.sqrt((x**2).sum(1))
+    scored = 0
+    for k, at, score in tree.walk(x, norm, lambda k: 4000, lambda k: 5000):
+        full = x @ tree.v[k]
+        assert (score == full[at]).all() and set(np.flatnonzero((full >= 4000) & (full <= 5000))) <= set(at)
+        scored += len(at)
+    assert scored < 0.6 * 80 * 500
