@@ -1,10 +1,8 @@
-"""Deterministic hashing: splits, seeds, record hashes, file fingerprints, resampling."""
+"""Deterministic hashing: splits, seeds, record hashes, file fingerprints."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numeric import c
@@ -51,36 +49,3 @@ def fingerprint(content, length, head_bytes: int | None = None) -> Column:
     """sha-256 over the content followed by the decimal size; over ``head_bytes`` of it, if given."""
     head = F.substring(c(content), 1, head_bytes) if head_bytes else c(content)
     return F.sha2(F.concat(head, F.encode(c(length).cast("string"), "utf-8")), 256)
-
-
-def _poisson_one_edges(n: int = 14) -> list[float]:
-    total, term, edges = 0.0, math.exp(-1.0), []
-    for k in range(n):
-        total += term
-        edges.append(round(total, 12))
-        term /= k + 1
-    return edges
-
-
-#: Cumulative Poisson(1) probabilities, the resampling weight's inverse table.
-POISSON_EDGES = _poisson_one_edges()
-
-
-def with_replicates(df: DataFrame, row_id: str, n: int, seed: int = 0) -> DataFrame:
-    """Every row once per bootstrap replicate, with its Poisson(1) weight ``_w``.
-
-    One sha-256 of (seed, block, id) gives eight 32-bit words, one per replicate of the
-    block, so there is an eighth of a hash per row and replicate.
-    """
-    blocks = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 8))))
-    text = F.concat(F.lit(f"{seed}:"), F.col("_block").cast("string"), F.lit(":"), F.col(row_id).cast("string"))
-    hashed = blocks.withColumn("_d", F.sha2(text, 256))
-    words = ", ".join(
-        f"CAST(conv(substring(_d, {8 * k + 1}, 8), 16, 10) AS BIGINT) / {float(2**32)}D" for k in range(8)
-    )
-    weight = "CASE " + " ".join(f"WHEN _u < {e!r}D THEN {k}" for k, e in enumerate(POISSON_EDGES))
-    return (
-        hashed.selectExpr("*", f"posexplode(array({words})) AS (_k, _u)")
-        .selectExpr(*[f"`{k}`" for k in df.columns], "_block * 8 + _k AS replicate", f"{weight} ELSE {len(POISSON_EDGES)} END AS _w")
-        .where(f"replicate < {n}")
-    )

@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import with_replicates
 from ..functions.numeric import ratio
+from ..session import cut
+from . import bootstrap
 from .ordered import ALL, gone, keyed, running_sums, score_level
 
 TINY = 1e-12
@@ -296,9 +297,17 @@ def delong_ci(
     )
 
 
+#: A metric by name, or any function ``fn(y, s)`` of the labels and scores of rows.
+Metric = str | Callable
+
+
+def _name(metric: Metric) -> str:
+    return metric if isinstance(metric, str) else getattr(metric, "__name__", "metric").strip("<>")
+
+
 def bootstrap_values(
     df: DataFrame,
-    metrics: Sequence[str],
+    metrics: Sequence[Metric],
     label: str,
     score: str,
     row_id: str,
@@ -306,19 +315,44 @@ def bootstrap_values(
     seed: int = 0,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per (group, replicate); resampling weights are Poisson(1) by hashed id.
+    """One row per (group, replicate), with a column per metric.
 
-    Weights are drawn and summed per distinct score before the first shuffle.
+    A cell, that is rows of one group, score and label, is drawn as Poisson(its count) by
+    the hash of its smallest row id. The AUC is folded over all cells in order; other
+    metrics see the curve of a group. Groups of more than ``bootstrap.CELLS`` cells, and
+    metrics that are registered as aggregates only, go through the score table. A
+    function ``fn(y, s)`` gets a whole replicate of its group, whatever its size.
     """
-    drawn = with_replicates(df.select(*by, label, score, row_id), row_id, n_boot, seed).where("_w > 0")
-    keys = [*by, "replicate"]
-    table = score_table(drawn, label, score, keys, weight="_w")
-    return summarize(table, keys, **{m: METRICS[m]() for m in metrics})
+    data, keys = keyed(df, by)
+    cells = bootstrap.cells_of(data, keys, label, [score], row_id, seed)
+    return _values(cells, keys, metrics, score, n_boot).where("replicate >= 0").drop(*gone(by))
+
+
+def _values(cells: DataFrame, keys: list[str], metrics: Sequence[Metric], score: str, n_boot: int) -> DataFrame:
+    """``bootstrap_values`` of cells; where functions were asked for, replicate -1 has their point values."""
+    if list(metrics) == ["auc"]:
+        return bootstrap.auc_replicates(cells, keys, score, n_boot)
+    cells = cut(cells, "cells")
+    functions = {_name(m): bootstrap.CELL_METRICS.get(m) if isinstance(m, str) else bootstrap.of_rows(m) for m in metrics}
+
+    def summed(some: DataFrame) -> DataFrame:
+        names = [*keys, "replicate"]
+        table = score_table(bootstrap.exploded(some, n_boot), "y", score, names, weight="_w")
+        return summarize(table, names, **{m: METRICS[m]() for m in functions})
+
+    if any(f is None for f in functions.values()):
+        return summed(cells)
+    held = lambda some: bootstrap.cell_replicates(some, keys, score, functions, n_boot)
+    large = cells.groupBy(*keys).count().where(F.col("count") > bootstrap.CELLS).select(*keys)
+    if not all(isinstance(m, str) for m in metrics) or large.isEmpty():
+        return held(cells)
+    few, many = cells.join(large, keys, "left_anti"), cells.join(large, keys, "left_semi")
+    return held(few).unionByName(summed(many))
 
 
 def bootstrap_ci(
     df: DataFrame,
-    metric: str,
+    metric: Metric,
     label: str,
     score: str,
     row_id: str,
@@ -328,19 +362,25 @@ def bootstrap_ci(
     by: Sequence[str] = (),
     min_valid: int = 50,
 ) -> DataFrame:
-    """Percentile interval of any registered metric.
+    """Percentile interval of a metric by name, or of any function ``fn(y, s)``.
 
     Replicates with one class give null and are left out; fewer than ``min_valid``
     leave the bounds null.
     """
     data, keys = keyed(df, by)
-    values = bootstrap_values(data, [metric], label, score, row_id, n_boot, seed, keys)
-    bounds = values.groupBy(*keys).agg(
-        F.count(metric).alias("n_valid"),
-        F.percentile(metric, alpha / 2).alias("lo"),
-        F.percentile(metric, 1 - alpha / 2).alias("hi"),
+    name = _name(metric)
+    cells = bootstrap.cells_of(data, keys, label, [score], row_id, seed)
+    values = _values(cells, keys, [metric], score, n_boot)
+    if isinstance(metric, str):
+        point = summarize(score_table(data, label, score, keys), keys, point=METRICS[metric]())
+    else:
+        values = cut(values, "replicates")
+        point = values.where("replicate = -1").select(*keys, F.col(name).alias("point"))
+    bounds = values.where("replicate >= 0").groupBy(*keys).agg(
+        F.count(name).alias("n_valid"),
+        F.percentile(name, alpha / 2).alias("lo"),
+        F.percentile(name, 1 - alpha / 2).alias("hi"),
     )
-    point = summarize(score_table(data, label, score, keys), keys, point=METRICS[metric]())
     enough = F.col("n_valid") >= min_valid
     return (
         point.join(bounds, keys, "left")
@@ -354,15 +394,16 @@ def paired_auc(
 ) -> DataFrame:
     """AUC difference of two scorings of the same rows, with a two-sided p-value.
 
-    The covariance of the two AUCs comes from a paired bootstrap: both scorings use
-    the same weights, since weights hang on the row id.
+    The covariance of the two AUCs comes from a paired bootstrap: cells are rows of equal
+    label and equal scores, and one draw of a cell serves both scorings.
     """
     data, keys = keyed(df, by)
-    data = data.where(F.col(s1).isNotNull() & F.col(s2).isNotNull())
+    data = data.where(usable(label, s1) & usable(label, s2))
     one = delong(data, label, s1, keys).toDF(*keys, "a1", "v1")
     two = delong(data, label, s2, keys).toDF(*keys, "a2", "v2")
-    b1 = bootstrap_values(data, ["auc"], label, s1, row_id, n_boot, seed, keys).withColumnRenamed("auc", "x")
-    b2 = bootstrap_values(data, ["auc"], label, s2, row_id, n_boot, seed, keys).withColumnRenamed("auc", "y")
+    cells = cut(bootstrap.cells_of(data, keys, label, [s1, s2], row_id, seed), "cells")
+    b1 = bootstrap.auc_replicates(cells, keys, s1, n_boot).withColumnRenamed("auc", "x")
+    b2 = bootstrap.auc_replicates(cells, keys, s2, n_boot).withColumnRenamed("auc", "y")
     cov = (
         b1.join(b2, [*keys, "replicate"])
         .where(F.col("x").isNotNull() & F.col("y").isNotNull())

@@ -432,6 +432,7 @@ def with_views(uses: str, body: str) -> str:
     body = body.strip()
     if not ctes:
         return body
-    if body[:5].upper() == "WITH ":
-        return f"WITH {', '.join(ctes)}, {body[5:]}"
+    for word in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(word):
+            return f"{word}{', '.join(ctes)}, {body[len(word):]}"
     return f"WITH {', '.join(ctes)} {body}"

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import POISSON_EDGES
 from ..functions.numeric import half_up
 from ..operators import metrics as M
-from ..operators import roc
+from ..operators import bootstrap, roc
 from .fixtures import H, R
 from .registry import query
 
@@ -143,10 +142,59 @@ def _(t):
     return r6(roc.delong_ci(t.preds, "label", "video_score", DS, row_id="video_id"), "auc", "auc_lo", "auc_hi")
 
 
-@query("m9_paired_auc_test")
+def _mixed(x: str, src: str, keep: str) -> str:
+    """Subqueries that take ``x`` of ``src`` through the mixing steps of a draw; the result is ``x``."""
+    steps = [f"xor({x}, {x} >> 16)", f"({x} * {bootstrap.MIX[0]}) % 4294967296", f"xor({x}, {x} >> 13)", f"({x} * {bootstrap.MIX[1]}) % 4294967296", f"xor({x}, {x} >> 16)"]
+    for step in steps:
+        src = f"(SELECT {keep}, {step} AS {x} FROM {src})"
+    return src
+
+
+def boot_sql(src: str, scores: str, n_boot: int) -> str:
+    """CTE ``drawn``: cells of ``src`` with their weight ``w`` in each replicate ``rep``."""
+    keep = f"dataset, {scores}, label, n, lo, rep"
+    number = f"xor(hi, ((rep * {bootstrap.GOLDEN}) % 4294967296)::UBIGINT) AS x"
+    first = _mixed("x", f"(SELECT *, {number} FROM h, (SELECT unnest(range({n_boot})) AS rep))", keep)
+    second = _mixed("x", f"(SELECT {keep}, xor(x, lo) AS x FROM {first})", keep)
+    # The number of edges up to x; most draws end within the first few.
+    weight = "CASE " + " ".join(f"WHEN x < steps[{k + 1}] THEN {k}" for k in range(12)) + " ELSE len(list_filter(steps, lambda s: s <= x)) END"
+    return f"""h AS (SELECT dataset, {scores}, label, n, ('0x' || substr(d, 1, 8))::UBIGINT AS hi, ('0x' || substr(d, 9, 8))::UBIGINT AS lo FROM (
+      SELECT dataset, {scores}, label, count(*) AS n, sha256('0:' || min(video_id)) AS d FROM {src} GROUP BY ALL)),
+   e(n, k, term, total) AS (SELECT DISTINCT n, 0, exp(-n::DOUBLE), exp(-n::DOUBLE) FROM h
+      UNION ALL SELECT n, k + 1, term * (n::DOUBLE / (k + 1)), total + term * (n::DOUBLE / (k + 1)) FROM e WHERE total < 1 - 1e-12::DOUBLE),
+   edges AS (SELECT n, list(round(total, 12) ORDER BY k) AS steps FROM e GROUP BY n),
+   drawn AS (SELECT dataset, {scores}, label, rep, {weight} AS w FROM (SELECT * REPLACE (x / 4294967296.0::DOUBLE AS x) FROM {second}) JOIN edges USING (n))"""
+
+
+def boot_auc_sql(score: str, name: str) -> str:
+    """CTE ``name``: (dataset, rep, auc) of ``drawn`` by one of its scores."""
+    reach = lambda way: f"sum(w * label) OVER (PARTITION BY dataset, rep ORDER BY {score} {way} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    # A negative counts positives above it and half of those at its score: the mean of those not below and those above.
+    return f"""{name} AS (SELECT dataset, rep, CASE WHEN p * n > 0 THEN (u + p * n) / 2 / (p * n) END AS auc FROM (
+      SELECT dataset, rep, sum(w * label)::DOUBLE AS p, sum(w * (1 - label))::DOUBLE AS n, sum(w * (1 - label) * (up - down))::DOUBLE AS u FROM (
+        SELECT *, {reach('DESC')} AS up, {reach('ASC')} AS down FROM drawn WHERE w > 0) GROUP BY dataset, rep))"""
+
+
+def _variance_sql(score: str, pre: str) -> str:
+    return f"""{roc_sql('preds_alt', 'dataset', score, pre=pre)},
+   {pre}d AS (SELECT dataset, {AUC} AS a, {VAR} AS v FROM {pre}t GROUP BY dataset)"""
+
+
+#: erfc of ``x`` by the series of exp(x * x) * erf(x), whose terms are all positive.
+_TERM = "exp(2 * k * ln(2.0::DOUBLE) + (2 * k + 1) * ln(x) - lgamma(2 * k + 2) + lgamma(k + 1))"
+ERFC = f"CASE WHEN x = 0 THEN 1 WHEN x > 6 THEN 0 ELSE 1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(150), lambda k: {_TERM})) END"
+
+
+@query("m9_paired_auc_test", "preds_alt", f"""WITH RECURSIVE {boot_sql('preds_alt', 'video_score, alt_score', 200)},
+   {boot_auc_sql('video_score', 'b1')}, {boot_auc_sql('alt_score', 'b2')},
+   {_variance_sql('video_score', 'x')}, {_variance_sql('alt_score', 'y')},
+   cov AS (SELECT dataset, CASE WHEN count(*) > 10 THEN covar_samp(b1.auc, b2.auc) ELSE 0 END AS c FROM b1 JOIN b2 USING (dataset, rep)
+      WHERE b1.auc IS NOT NULL AND b2.auc IS NOT NULL GROUP BY dataset),
+   q AS (SELECT dataset, xd.a AS a1, yd.a AS a2, xd.a - yd.a AS diff, (xd.a - yd.a) / sqrt(greatest(xd.v + yd.v - 2 * coalesce(c, 0), 1e-12)) AS z
+      FROM xd JOIN yd USING (dataset) LEFT JOIN cov USING (dataset))
+   SELECT dataset, {R('a1', 6)} AS a1, {R('a2', 6)} AS a2, {R('diff', 6)} AS auc_diff, {R('z', 6)} AS z, {R(ERFC, 6)} AS p_value FROM (SELECT *, abs(z) / sqrt(2.0::DOUBLE) AS x FROM q)""")
 def _(t):
-    out = roc.paired_auc(t.preds_alt, "label", "video_score", "alt_score", "video_id", DS, n_boot=50)
-    return r6(out, "a1", "a2", "auc_diff", "z", "p_value")
+    return r6(roc.paired_auc(t.preds_alt, "label", "video_score", "alt_score", "video_id", DS), "a1", "a2", "auc_diff", "z", "p_value")
 
 
 @query("j9_paired_models", "preds_alt", f"""WITH {roc_sql('preds_alt', 'dataset', 'video_score', pre='x')},
@@ -178,31 +226,27 @@ def _(t):
     return r6(roc.mcnemar(p, "label", "p1", "p2", [*DS, "compression"]), "p_value")
 
 
-N_BOOT = 60
-_WORD = "substr(sha256('0:' || (rep // 8) || ':' || video_id), (rep % 8) * 8 + 1, 8)"
-_U = f"(('0x' || {_WORD})::BIGINT / 4294967296.0::DOUBLE)"
-_W = "CASE " + " ".join(f"WHEN u < {e!r}::DOUBLE THEN {k}" for k, e in enumerate(POISSON_EDGES)) + f" ELSE {len(POISSON_EDGES)} END"
-
-
-@query("m11_bootstrap_ci", "preds", f"""WITH d AS (SELECT *, {_W} AS w FROM (SELECT *, {_U} AS u FROM (
-      SELECT dataset, label, video_score, video_id, unnest(range({N_BOOT})) AS rep FROM preds))),
-   pts AS (SELECT dataset, rep, video_score AS score, sum(CASE WHEN label = 1 THEN w ELSE 0 END)::BIGINT AS pos,
-      sum(CASE WHEN label = 1 THEN 0 ELSE w END)::BIGINT AS neg FROM d WHERE w > 0 GROUP BY 1, 2, 3),
-   t AS (SELECT *, coalesce(sum(pos) OVER (PARTITION BY dataset, rep ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pb,
-      (sum(pos) OVER (PARTITION BY dataset, rep))::BIGINT AS p, (sum(neg) OVER (PARTITION BY dataset, rep))::BIGINT AS n FROM pts),
-   v AS (SELECT dataset, rep, {AUC} AS auc FROM t GROUP BY 1, 2)
+@query("m11_bootstrap_ci", "preds", f"""WITH RECURSIVE {boot_sql('preds', 'video_score', 2000)}, {boot_auc_sql('video_score', 'v')}
    SELECT dataset, count(auc) AS n_valid, {R('quantile_cont(auc, 0.025)', 6)} AS lo, {R('quantile_cont(auc, 0.975)', 6)} AS hi
    FROM v GROUP BY dataset""")
 def _(t):
-    out = roc.bootstrap_ci(t.preds, "auc", "label", "video_score", "video_id", N_BOOT, by=DS)
+    out = roc.bootstrap_ci(t.preds, "auc", "label", "video_score", "video_id", by=DS)
     return r6(out.drop("point"), "lo", "hi")
 
 
-@query("x1_pluggable_metric")
+def mean_gap(y, s):
+    """Difference of the classes' mean scores: any function of labels and scores will do."""
+    return s[y == 1].mean() - s[y == 0].mean()
+
+
+@query("x1_pluggable_metric", "preds", f"""WITH RECURSIVE {boot_sql('preds', 'video_score', 2000)},
+   v AS (SELECT dataset, rep, sum(w * label * video_score) / nullif(sum(w * label), 0) - sum(w * (1 - label) * video_score) / nullif(sum(w * (1 - label)), 0) AS gap
+      FROM drawn GROUP BY dataset, rep),
+   p AS (SELECT dataset, avg(video_score) FILTER (label = 1) - avg(video_score) FILTER (label = 0) AS point FROM preds GROUP BY dataset)
+   SELECT dataset, {R('any_value(point)', 6)} AS point, count(gap) AS n_valid, {R('quantile_cont(gap, 0.025)', 6)} AS lo, {R('quantile_cont(gap, 0.975)', 6)} AS hi
+   FROM v JOIN p USING (dataset) GROUP BY dataset""")
 def _(t):
-    roc.register_metric("tpr_at_20fpr", lambda: roc.tpr_at_fpr_agg(0.2))
-    out = roc.bootstrap_ci(t.preds, "tpr_at_20fpr", "label", "video_score", "video_id", 50, by=DS)
-    return r6(out, "point", "lo", "hi")
+    return r6(roc.bootstrap_ci(t.preds, mean_gap, "label", "video_score", "video_id", by=DS), "point", "lo", "hi")
 
 
 VAL = "v AS (SELECT 1 AS g, * FROM preds_split WHERE split = 'val')"
