@@ -23,24 +23,52 @@ def result_rows(spark, lo, hi):
     )
 
 
-def test_drift_goes_on_after_a_restart(spark):
-    """Two runs over a growing folder equal one batch report over all of it."""
-    feed, state = new_path(spark, "feed"), new_path(spark, "drift")
-    base = N.drift_baseline(spark.createDataFrame([(i / 300, True) for i in range(300)], "video_score double, has_audio boolean"))
-    schema = result_rows(spark, 0, 1).schema
-    stream = lambda: spark.readStream.schema(schema).parquet(feed)
-    result_rows(spark, 0, 400).write.mode("append").parquet(feed)
-    DriftMonitor(base, path=state).run(stream())
-    result_rows(spark, 400, 900).write.mode("append").parquet(feed)
-    got = DriftMonitor(base, path=state).run(stream()).report().first()
-    want = N.drift_report(result_rows(spark, 0, 900), base).first()
-    for k in ("n_observed", "ood_rate", "abstain_rate", "median_faces", "score_drift", "alerts"):
-        assert got[k] == want[k], k
-    assert got["score_psi"] == pytest.approx(want["score_psi"])
-    assert got["n_observed"] == 500
-    idle = DriftMonitor(base, path=state)
-    assert idle.report().first() == got  # a restart without any run
-    assert idle.run(stream()).report().first() == got  # and one without new rows
+def upload_rows(spark, lo, hi):
+    i = F.col("id")
+    return spark.range(lo, hi, 1, 2).select(
+        i.alias("ts"), i.alias("seq"), (i % 50 * 1.0).alias("duration_s"), (i * 7 % 720).cast("int").alias("height"),
+        F.when(i % 17 > 0, F.concat(F.lit("codec"), (i % 7).cast("string"))).alias("codec"),
+    )
+
+
+def with_gaps(df):
+    """Some results without a probability, audio or faces: rows, but no scores."""
+    odd = F.col("seq") % 3 == 0
+    return df.withColumns({c: F.when(odd, None).otherwise(F.col(c)) for c in ("calibrated_prob", "has_audio", "n_faces_found", "ood_flag", "verdict")})
+
+
+@pytest.mark.parametrize("shards,window", [(16, 500), (1, 120)])
+def test_drift_goes_on_after_a_restart(spark, shards, window):
+    """Two runs over growing folders equal one batch report over all of it, in every column."""
+    feeds, state = [new_path(spark, "feed"), new_path(spark, "uploads")], new_path(spark, "drift")
+    base = N.drift_baseline(spark.createDataFrame([(i / 300, True) for i in range(300)], "video_score double, has_audio boolean"), source="val")
+    rows = [lambda lo, hi: with_gaps(result_rows(spark, lo, hi)), lambda lo, hi: upload_rows(spark, lo, hi)]
+    streams = lambda: [spark.readStream.schema(make(0, 1).schema).option("maxFilesPerTrigger", 1).parquet(feed) for make, feed in zip(rows, feeds)]
+    monitor = lambda: DriftMonitor(base, path=state, shards=shards, window=window)
+    for lo, hi in ((0, 400), (400, 900)):
+        for make, feed in zip(rows, feeds):
+            make(lo, hi).write.mode("append").parquet(feed)
+        got = monitor().run(*streams()).report().first()
+    want = N.drift_report(rows[0](0, 900), base, rows[1](0, 900), window=window).first()
+    assert set(want.asDict()) == set(got.asDict())
+    for k, v in want.asDict().items():
+        assert got[k] == (pytest.approx(v) if isinstance(v, float) else v), k
+    assert got["n_observed"] == min(window, 600) and len(got["codecs"]) == 5 and got["baseline_source"] == "val"
+    assert monitor().state().where("size(ts) > " + str(window)).isEmpty()
+    assert monitor().report().first() == got  # a restart without any run
+    assert monitor().run(*streams()).report().first() == got  # and one without new rows
+
+
+def test_drift_of_results_alone_and_of_uploads_alone(spark):
+    base = N.drift_baseline(spark.createDataFrame([(0.5, True)], "video_score double, has_audio boolean"))
+    feeds = [new_path(spark, "feed"), new_path(spark, "uploads")]
+    result_rows(spark, 0, 60).write.parquet(feeds[0])
+    upload_rows(spark, 0, 60).write.parquet(feeds[1])
+    stream = lambda k, df: spark.readStream.schema(df.schema).parquet(feeds[k])
+    row = DriftMonitor(base).run(stream(0, result_rows(spark, 0, 1))).report().first()
+    assert row["ready"] and row["median_height_px"] is None and not row["codecs"]
+    row = DriftMonitor(base).run(uploads=stream(1, upload_rows(spark, 0, 1))).report().first()
+    assert not row["ready"] and row["n_observed"] == 0 and row["ood_rate"] == 0 and row["small_video_rate"] > 0
 
 
 def test_streams_without_rows(spark):

@@ -12,7 +12,7 @@ from ..functions.numeric import closed_open_bin, half_up
 # Alert limits and histogram edges.
 PSI_MODERATE, PSI_SIGNIFICANT = 0.10, 0.25
 MAX_OOD_RATE, MAX_NO_FACE_RATE, MAX_AUDIO_SHIFT, SMALL_HEIGHT = 0.30, 0.25, 0.5, 360
-WINDOW, MIN_SAMPLES = 500, 50
+WINDOW, MIN_SAMPLES, TOP_CODECS = 500, 50, 5
 PROB_EDGES = [i / 10 for i in range(11)]
 STAGE_EDGES = [0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 40.0]
 JOB_EDGES = [1.0, 2.0, 5.0, 10.0, 15.0, 20.0, 30.0, 45.0, 60.0, 120.0]
@@ -69,8 +69,8 @@ def verdict_counts(rows: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 # drift
 # --------------------------------------------------------------------------
-def drift_baseline(preds: DataFrame, n_bins: int = 10) -> DataFrame:
-    """One row of bucket counts, mean, audio rate and size from validation predictions."""
+def drift_baseline(preds: DataFrame, n_bins: int = 10, source: str | None = None) -> DataFrame:
+    """One row of bucket counts, mean, audio rate and size from validation predictions; ``source`` names them."""
     p = F.coalesce("calibrated_prob", "video_score") if "calibrated_prob" in preds.columns else F.col("video_score")
     b = preds.withColumn("_b", closed_open_bin(p, n_bins))
     counts = F.array(*[F.count(F.when(F.col("_b") == i, 1)) for i in range(n_bins)])
@@ -79,6 +79,7 @@ def drift_baseline(preds: DataFrame, n_bins: int = 10) -> DataFrame:
         F.avg(p).alias("score_mean"),
         F.avg(F.col("has_audio").cast("double")).alias("audio_rate"),
         F.count(p).alias("n"),
+        F.lit(source).alias("source"),
     )
 
 
@@ -122,48 +123,77 @@ def drift_labels(df: DataFrame) -> DataFrame:
     )
 
 
-def drift_report(
-    results: DataFrame, baseline: DataFrame, uploads: DataFrame | None = None, order: Sequence[str] = ("ts", "seq"),
-    window: int = WINDOW, n_bins: int = 10,
+def drift_of_windows(
+    scores: DataFrame, rows: DataFrame, totals: DataFrame, baseline: DataFrame, uploads: DataFrame | None = None,
+    codecs: DataFrame | None = None, n_bins: int = 10,
 ) -> DataFrame:
-    """Batch drift report: recent windows against the baseline, all-time totals beside.
+    """The drift report of what a monitor keeps.
 
-    ``results`` has calibrated_prob, has_audio, n_faces_found, ood_flag, verdict. The
-    windows are top-``window`` reports; totals are plain aggregates.
+    ``scores`` (calibrated_prob), ``rows`` (has_audio, n_faces_found) and ``uploads``
+    (duration_s, height) are the newest of each, in windows of their own: a result
+    without a probability takes no place among the scores. ``totals`` (total, ood, held)
+    and ``codecs`` (codec, n) are of all time. Before anything was seen, rates are 0.
     """
-    recent = last_n(results, order, window)
-    scores = last_n(results.where("calibrated_prob IS NOT NULL"), order, window)
     b = closed_open_bin(F.col("calibrated_prob"), n_bins)
     live = scores.agg(
         F.count("calibrated_prob").alias("n_observed"),
         F.avg("calibrated_prob").alias("score_mean_live"),
         F.array(*[F.count(F.when(b == i, 1)) for i in range(n_bins)]).alias("live_bins"),
     )
-    seen = recent.agg(
-        F.avg(F.col("has_audio").cast("double")).alias("audio_rate_live"),
-        F.avg((F.col("n_faces_found") == 0).cast("double")).alias("no_face_rate"),
-        F.percentile("n_faces_found", 0.5).alias("median_faces"),
-    )
-    totals = results.agg(
-        F.avg(F.col("ood_flag").cast("double")).alias("ood_rate"),
-        F.avg((F.col("verdict") == "inconclusive").cast("double")).alias("abstain_rate"),
+    audio = F.coalesce(F.col("has_audio"), F.lit(False)).cast("double")
+    faces = F.coalesce(F.col("n_faces_found"), F.lit(0))
+    seen = rows.agg(
+        F.coalesce(F.avg(audio), F.lit(0.0)).alias("audio_rate_live"),
+        F.avg((faces == 0).cast("double")).alias("no_face_rate"),
+        F.percentile(faces, 0.5).alias("median_faces"),
     )
+    share = lambda k: F.coalesce(F.try_divide(F.col(k).cast("double"), F.col("total")), F.lit(0.0))
+    rates = totals.select(share("ood").alias("ood_rate"), share("held").alias("abstain_rate"))
     base = baseline.select(
-        F.col("bins"), F.col("score_mean").alias("score_mean_baseline"),
-        F.col("audio_rate").alias("audio_rate_baseline"), F.col("n").alias("baseline_n"),
+        F.col("bins"), F.col("score_mean").alias("score_mean_baseline"), F.col("audio_rate").alias("audio_rate_baseline"),
+        F.col("n").alias("baseline_n"), F.col("source").alias("baseline_source"),
     )
-    row = live.crossJoin(seen).crossJoin(totals).crossJoin(base)
+    row = live.crossJoin(seen).crossJoin(rates).crossJoin(base)
     if uploads is not None:
-        ups = last_n(uploads, order, window).agg(
-            F.percentile("duration_s", 0.5).alias("median_duration_s"),
-            F.percentile("height", 0.5).alias("median_height_px"),
-            F.avg((F.col("height") < SMALL_HEIGHT).cast("double")).alias("small_video_rate"),
+        row = row.crossJoin(
+            uploads.agg(
+                F.percentile("duration_s", 0.5).alias("median_duration_s"),
+                F.percentile("height", 0.5).alias("median_height_px"),
+                F.avg((F.col("height") < SMALL_HEIGHT).cast("double")).alias("small_video_rate"),
+            )
         )
-        row = row.crossJoin(ups)
+    if codecs is not None:
+        top = codecs.orderBy(F.desc("n"), "codec").limit(TOP_CODECS).agg(F.collect_list(F.struct((-F.col("n")).alias("_o"), "codec", "n")).alias("_c"))
+        named = F.map_from_entries(F.transform(F.sort_array("_c"), lambda c: F.struct(c["codec"], c["n"])))
+        row = row.crossJoin(top.select(named.alias("codecs")))
     row = row.withColumn("score_psi", psi_of_bins(F.col("bins"), F.col("live_bins"), n_bins)).drop("bins", "live_bins")
     return drift_labels(row)
 
 
+def result_totals(results: DataFrame) -> DataFrame:
+    return results.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count(F.when(F.col("ood_flag"), 1)).alias("ood"),
+        F.count(F.when(F.col("verdict") == "inconclusive", 1)).alias("held"),
+    )
+
+
+def drift_report(
+    results: DataFrame, baseline: DataFrame, uploads: DataFrame | None = None, order: Sequence[str] = ("ts", "seq"),
+    window: int = WINDOW, n_bins: int = 10,
+) -> DataFrame:
+    """Batch drift report: recent windows against the baseline, all-time totals beside.
+
+    ``results`` has calibrated_prob, has_audio, n_faces_found, ood_flag, verdict;
+    ``uploads`` duration_s, height, codec. The windows are top-``window`` reports; totals
+    are plain aggregates.
+    """
+    scores = last_n(results.where("calibrated_prob IS NOT NULL"), order, window)
+    ups = None if uploads is None else last_n(uploads, order, window)
+    codecs = None if uploads is None else uploads.where("codec IS NOT NULL").groupBy("codec").agg(F.count(F.lit(1)).alias("n"))
+    return drift_of_windows(scores, last_n(results, order, window), result_totals(results), baseline, ups, codecs, n_bins)
+
+
 def top_codecs(uploads: DataFrame, k: int = 5) -> DataFrame:
     return uploads.groupBy("codec").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "codec").limit(k)
 

@@ -52,31 +52,48 @@ def _(t):
 
 
 _BIN = "least(len(list_filter([{}], lambda e: {{}} >= e)), 9)".format(", ".join(f"{i} * 0.1::DOUBLE" for i in range(1, 10)))
-DRIFT = f"""{RES}, base AS (SELECT * FROM preds_split WHERE split = 'val'), w AS (SELECT * FROM res ORDER BY ts DESC, event_id DESC LIMIT 500),
-  cb AS (SELECT i, (SELECT count(*) FROM base WHERE {_BIN.format('video_score')} = i) AS nb, (SELECT count(*) FROM w WHERE {_BIN.format('p')} = i) AS nl FROM (SELECT unnest(range(10)) AS i)),
+#: Every thirteenth result has no probability: it counts as a row, not as a score.
+DRIFT = f"""{RES}, rz AS (SELECT *, CASE WHEN event_id % 13 = 0 THEN NULL ELSE p END AS q FROM res), base AS (SELECT * FROM preds_split WHERE split = 'val'),
+  w AS (SELECT * FROM rz WHERE q IS NOT NULL ORDER BY ts DESC, event_id DESC LIMIT 500), rw AS (SELECT * FROM rz ORDER BY ts DESC, event_id DESC LIMIT 500),
+  uw AS (SELECT * FROM uploads ORDER BY ts DESC, seq DESC LIMIT 500),
+  cb AS (SELECT i, (SELECT count(*) FROM base WHERE {_BIN.format('video_score')} = i) AS nb, (SELECT count(*) FROM w WHERE {_BIN.format('q')} = i) AS nl FROM (SELECT unnest(range(10)) AS i)),
   sh AS (SELECT (nb + 1e-6::DOUBLE) / (sum(nb) OVER () + 1e-5::DOUBLE) AS b, (nl + 1e-6::DOUBLE) / (sum(nl) OVER () + 1e-5::DOUBLE) AS l FROM cb),
-  ps AS (SELECT sum((l - b) * ln(l / b)) AS psi FROM sh)
-  SELECT (SELECT count(*) FROM w) AS n_observed, (SELECT count(*) FROM base) AS baseline_n, {R('psi', 6)} AS score_psi,
-    CASE WHEN psi > 0.25 THEN 'significant' WHEN psi > 0.1 THEN 'moderate' ELSE 'stable' END AS score_drift,
-    {R('(SELECT avg(p) FROM w)', 6)} AS score_mean_live, {R('(SELECT avg(has_audio::INT) FROM w)', 6)} AS audio_rate_live,
-    {R('(SELECT avg((n_faces_found = 0)::INT) FROM w)', 6)} AS no_face_rate, (SELECT quantile_cont(n_faces_found, 0.5) FROM w)::DOUBLE AS median_faces,
-    {R('(SELECT avg(ood::INT) FROM res)', 6)} AS ood_rate, {R("(SELECT avg((verdict = 'inconclusive')::INT) FROM res)", 6)} AS abstain_rate FROM ps"""
-DRIFT_COLS = ["n_observed", "baseline_n", "score_psi", "score_drift", "score_mean_live", "audio_rate_live", "no_face_rate", "median_faces", "ood_rate", "abstain_rate"]
-DRIFT_FLOATS = ["score_psi", "score_mean_live", "audio_rate_live", "no_face_rate", "ood_rate", "abstain_rate"]
+  st AS (SELECT (SELECT sum((l - b) * ln(l / b)) FROM sh) AS psi, (SELECT count(*) FROM w) AS n, (SELECT avg(ood::INT) FROM rz) AS ood_rate,
+    (SELECT avg((n_faces_found = 0)::INT) FROM rw) AS no_face, (SELECT avg(has_audio::INT) FROM rw) AS audio, (SELECT avg(has_audio::INT) FROM base) AS base_audio)
+  SELECT n AS n_observed, (SELECT count(*) FROM base) AS baseline_n, 'val' AS baseline_source, n >= 50 AS ready, {R('psi', 6)} AS score_psi,
+    CASE WHEN n >= 50 THEN CASE WHEN psi > 0.25 THEN 'significant' WHEN psi > 0.1 THEN 'moderate' ELSE 'stable' END END AS score_drift,
+    {R('(SELECT avg(q) FROM w)', 6)} AS score_mean_live, {R('audio', 6)} AS audio_rate_live, {R('base_audio', 6)} AS audio_rate_baseline,
+    {R('no_face', 6)} AS no_face_rate, (SELECT quantile_cont(n_faces_found, 0.5) FROM rw)::DOUBLE AS median_faces,
+    {R('ood_rate', 6)} AS ood_rate, {R("(SELECT avg((verdict = 'inconclusive')::INT) FROM rz)", 6)} AS abstain_rate,
+    (SELECT quantile_cont(duration_s, 0.5) FROM uw)::DOUBLE AS median_duration_s, (SELECT quantile_cont(height, 0.5) FROM uw)::DOUBLE AS median_height_px,
+    {R('(SELECT avg((height < 360)::INT) FROM uw)', 6)} AS small_video_rate,
+    (SELECT string_agg(codec || '=' || n, ',' ORDER BY n DESC, codec) FROM (SELECT codec, count(*) AS n FROM uploads WHERE codec IS NOT NULL GROUP BY codec ORDER BY n DESC, codec LIMIT 5)) AS codecs,
+    CASE WHEN n >= 50 THEN array_to_string(list_filter([CASE WHEN psi > 0.25 THEN 'score distribution' END, CASE WHEN ood_rate > 0.3 THEN 'out of distribution' END,
+      CASE WHEN no_face > 0.25 THEN 'no face' END, CASE WHEN abs(audio - base_audio) > 0.5 THEN 'audio presence' END], lambda x: x IS NOT NULL), ',') END AS alerts FROM st"""
+DRIFT_FLOATS = ["score_psi", "score_mean_live", "audio_rate_live", "audio_rate_baseline", "no_face_rate", "ood_rate", "abstain_rate", "small_video_rate"]
 
 
-@query("r3_drift_stream", "preds_logit", f"WITH {DRIFT}")
+def drift_rows(report):
+    flat = F.array_join(F.transform(F.map_entries("codecs"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return r6(report.drop("score_mean_baseline").withColumns({"codecs": flat, "alerts": F.array_join("alerts", ",")}), *DRIFT_FLOATS)
+
+
+def _drift_inputs(t):
+    base = N.drift_baseline(t.preds_split.where("split = 'val'"), source="val")
+    rows = results(t).withColumn("calibrated_prob", F.when(F.col("seq") % 13 == 0, None).otherwise(F.col("calibrated_prob")))
+    return base, rows, t.uploads
+
+
+@query("r3_drift_stream", "preds_logit uploads", f"WITH {DRIFT}")
 def _(t):
-    base = N.drift_baseline(t.preds_split.where("split = 'val'"))
-    out = L.DriftMonitor(base).run(as_stream(results(t), "ts")).report()
-    return r6(out.select(*DRIFT_COLS), *DRIFT_FLOATS)
+    base, rows, ups = _drift_inputs(t)
+    return drift_rows(L.DriftMonitor(base).run(as_stream(rows, "ts"), as_stream(ups, "ts")).report())
 
 
 @query("r3_drift_batch", "preds_logit uploads", f"WITH {DRIFT}")
 def _(t):
-    base = N.drift_baseline(t.preds_split.where("split = 'val'"))
-    out = N.drift_report(results(t), base, t.uploads)
-    return r6(out.select(*DRIFT_COLS), *DRIFT_FLOATS)
+    base, rows, ups = _drift_inputs(t)
+    return drift_rows(N.drift_report(rows, base, ups))
 
 
 @query("w4_rolling_last_n", "preds_logit", """SELECT dataset, video_id FROM preds_logit QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY ts DESC, event_id DESC) <= 500""")

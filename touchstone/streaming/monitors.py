@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.media import upload_policy
-from ..functions.numeric import closed_open_bin
 from ..operators import monitor as N
 from ..session import new_path
 from .tables import drain
@@ -63,79 +64,118 @@ def rate_windows(stream: DataFrame, minutes: int = 1, late: str = "10 minutes")
     )
 
 
-class DriftMonitor:
-    """Rolling drift of a result stream against a validation baseline.
+#: What a monitor keeps of one key: a window as arrays, newest first, and all-time counts.
+KEPT = "ts array<bigint>, seq array<bigint>, a array<double>, b array<double>, total bigint, ood bigint, held bigint"
+
+
+def observations(results: DataFrame | None, uploads: DataFrame | None, shards: int) -> DataFrame:
+    """Results and uploads as rows of one stream: (kind, shard, ts, seq, a, b, ood, held).
+
+    Kinds are ``score`` (only where there is a probability), ``row``, ``upload`` and
+    ``codec``. The first three are dealt to shards by hash, so that no key is hot; a
+    codec is its own shard.
+    """
+
+    def micros(df: DataFrame):
+        return F.unix_micros("ts") if df.schema["ts"].dataType.typeName().startswith("timestamp") else F.col("ts").cast("bigint")
+
+    def kinds(df: DataFrame, *rows) -> DataFrame:
+        made = F.array(*[F.struct(F.lit(k).alias("kind"), s.alias("shard"), a.cast("double").alias("a"), b.cast("double").alias("b"), o.cast("int").alias("ood"), h.cast("int").alias("held"), f.alias("keep")) for k, s, a, b, o, h, f in rows])
+        flat = df.select(micros(df).alias("ts"), F.col("seq").cast("bigint").alias("seq"), F.inline(made))
+        return flat.where("keep").select("kind", "shard", "ts", "seq", "a", "b", "ood", "held")
+
+    shard, no, yes = F.pmod(F.xxhash64("ts", "seq"), F.lit(shards)).cast("string"), F.lit(0), F.lit(True)
+    parts = []
+    if results is not None:
+        audio, faces = F.coalesce(F.col("has_audio"), F.lit(False)), F.coalesce(F.col("n_faces_found"), F.lit(0))
+        ood, held = F.coalesce(F.col("ood_flag"), F.lit(False)), F.coalesce(F.col("verdict") == "inconclusive", F.lit(False))
+        parts.append(kinds(results, ("score", shard, F.col("calibrated_prob"), no, no, no, F.col("calibrated_prob").isNotNull()), ("row", shard, audio, faces, ood, held, yes)))
+    if uploads is not None:
+        parts.append(kinds(uploads, ("upload", shard, F.col("duration_s"), F.col("height"), no, no, yes), ("codec", F.col("codec"), no, no, no, no, F.col("codec").isNotNull())))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def newest_kept(rows: DataFrame, window: int) -> DataFrame:
+    """Per (kind, shard): the newest ``window`` rows and all-time counts, held in Spark's state store.
 
-    State is two tables in the shared folder: the newest ``window`` rows and one row of
-    all-time totals. Micro-batches write them in turn to two places, so a batch that is
-    run again finds the state before it, and no more than two versions exist. A
-    micro-batch first cuts itself to its own newest rows (a distributed top-k), so no
-    task sees the whole stream. Give a fixed ``path`` to go on after a restart.
+    A key's state is bounded by ``window``. The newest rows of all shards together hold
+    the newest of the stream.
     """
 
-    ORDER = ("ts", "seq")
+    def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ts, seq, a, b, total, ood, held = state.get if state.exists else ([], [], [], [], 0, 0, 0)
+        now = pd.DataFrame({"ts": ts, "seq": seq, "a": a, "b": b}).astype({"ts": "int64", "seq": "int64", "a": "float64", "b": "float64"})
+        for part in parts:
+            total, ood, held = total + len(part), ood + int(part["ood"].sum()), held + int(part["held"].sum())
+            if key[0] != "codec":
+                now = pd.concat([now, part[["ts", "seq", "a", "b"]]]).sort_values(["ts", "seq"], ascending=False, kind="stable").head(window)
+        kept = [[int(v) for v in now["ts"]], [int(v) for v in now["seq"]], *[[None if v != v else float(v) for v in now[c]] for c in "ab"]]
+        state.update((*kept, total, ood, held))
+        yield pd.DataFrame([[*key, *kept, total, ood, held]], columns=["kind", "shard", "ts", "seq", "a", "b", "total", "ood", "held"])
 
-    def __init__(self, baseline: DataFrame, window: int = N.WINDOW, n_bins: int = 10, path: str | None = None):
-        self.baseline, self.window, self.n_bins = baseline, window, n_bins
+    return rows.groupBy("kind", "shard").applyInPandasWithState(keep, f"kind string, shard string, {KEPT}", KEPT, "update", GroupStateTimeout.NoTimeout)
+
+
+class DriftMonitor:
+    """Rolling drift of results and uploads against a validation baseline.
+
+    Windows of scores, of rows and of uploads are kept apart, in the state store, dealt
+    over ``shards``. Micro-batches write what changed over a small table of the newest
+    state per key, in turn to two places, so a batch that is run again finds the table
+    before it. Give a fixed ``path`` to go on after a restart.
+    """
+
+    def __init__(self, baseline: DataFrame, window: int = N.WINDOW, n_bins: int = 10, path: str | None = None, shards: int = 16):
+        self.baseline, self.window, self.n_bins, self.shards = baseline, window, n_bins, shards
         self.spark = baseline.sparkSession
         self.path = path or new_path(self.spark, "drift")
 
-    def _paths(self, version: int) -> tuple[str, str]:
-        return f"{self.path}/rows/v{version % 2}", f"{self.path}/totals/v{version % 2}"
+    def _place(self, version: int) -> str:
+        return f"{self.path}/kept/v{version % 2}"
 
     def newest(self) -> int | None:
-        """The last finished micro-batch, in this run or an earlier one; totals are written last."""
+        """The last finished micro-batch, in this run or an earlier one."""
         done = []
         for place in (0, 1):
             try:
-                done += [r["batch"] for r in self.spark.read.parquet(self._paths(place)[1]).select("batch").collect()]
+                done += [r["batch"] for r in self.spark.read.parquet(self._place(place)).select("batch").distinct().collect()]
             except AnalysisException:  # not written yet, or cut off
                 continue
         return max(done, default=None)
 
-    def on_batch(self, df: DataFrame, batch: int) -> None:
-        df = df.select("ts", "seq", "calibrated_prob", "has_audio", "n_faces_found", "ood_flag", "verdict")
-        newest = N.last_n(df, self.ORDER, self.window)
-        totals = df.agg(
-            F.count(F.lit(1)).alias("total"),
-            F.count(F.when(F.col("ood_flag"), 1)).alias("ood"),
-            F.count(F.when(F.col("verdict") == "inconclusive", 1)).alias("held"),
-        )
+    def on_batch(self, changed: DataFrame, batch: int) -> None:
+        # Written once, so that the state store is asked once per batch.
+        changed.write.mode("overwrite").parquet(f"{self.path}/changed")
+        changed = self.spark.read.schema(changed.schema).parquet(f"{self.path}/changed")
         if batch > 0:
-            rows, sums = self._paths(batch - 1)
-            newest = N.last_n(newest.unionByName(self.spark.read.parquet(rows)), self.ORDER, self.window)
-            totals = totals.unionByName(self.spark.read.parquet(sums).drop("batch")).agg(
-                *[F.sum(k).alias(k) for k in ("total", "ood", "held")]
-            )
-        totals = totals.withColumn("batch", F.lit(batch))
-        rows, sums = self._paths(batch)
-        newest.write.mode("overwrite").parquet(rows)
-        totals.write.mode("overwrite").parquet(sums)
-
-    def run(self, stream: DataFrame) -> DriftMonitor:
-        drain(stream, self.on_batch, offsets=f"{self.path}/offsets")
+            before = self.spark.read.parquet(self._place(batch - 1)).drop("batch")
+            changed = changed.unionByName(before.join(changed.select("kind", "shard"), ["kind", "shard"], "left_anti"))
+        # At least one row says which batch this is, even if it brought none.
+        mark = self.spark.range(1).select(F.lit("mark").alias("kind"), F.lit("").alias("shard"))
+        changed = changed.where("kind <> 'mark'").unionByName(mark, allowMissingColumns=True)
+        changed.withColumn("batch", F.lit(batch)).coalesce(1).write.mode("overwrite").parquet(self._place(batch))
+
+    def run(self, results: DataFrame | None = None, uploads: DataFrame | None = None) -> DriftMonitor:
+        kept = newest_kept(observations(results, uploads, self.shards), self.window)
+        drain(kept, self.on_batch, "update", offsets=f"{self.path}/offsets")
         return self
 
-    def report(self) -> DataFrame:
-        """The report of the last version; reads at most ``window`` rows."""
+    def kept(self, kind: str, a: str, b: str = "b") -> DataFrame:
+        """The newest ``window`` rows of a kind, out of those of its shards."""
+        rows = self.state().where(F.col("kind") == kind)
+        flat = rows.select(F.inline(F.arrays_zip("ts", "seq", "a", "b"))).toDF("ts", "seq", a, b)
+        return N.last_n(flat, ("ts", "seq"), self.window)
+
+    def state(self) -> DataFrame:
         version = self.newest()
         if version is None:
             raise ValueError("nothing was observed yet: run a stream first")
-        rows, sums = (self.spark.read.parquet(p) for p in self._paths(version))
-        b = closed_open_bin(F.col("calibrated_prob"), self.n_bins)
-        live = rows.agg(
-            F.count("calibrated_prob").alias("n_observed"),
-            F.avg("calibrated_prob").alias("score_mean_live"),
-            F.avg(F.col("has_audio").cast("double")).alias("audio_rate_live"),
-            F.avg((F.col("n_faces_found") == 0).cast("double")).alias("no_face_rate"),
-            F.percentile("n_faces_found", 0.5).alias("median_faces"),
-            F.array(*[F.count(F.when(b == i, 1)) for i in range(self.n_bins)]).alias("live_bins"),
-        )
-        rates = sums.select((F.col("ood") / F.col("total")).alias("ood_rate"), (F.col("held") / F.col("total")).alias("abstain_rate"))
-        base = self.baseline.select(
-            "bins", F.col("score_mean").alias("score_mean_baseline"),
-            F.col("audio_rate").alias("audio_rate_baseline"), F.col("n").alias("baseline_n"),
-        )
-        row = live.crossJoin(rates).crossJoin(base)
-        row = row.withColumn("score_psi", N.psi_of_bins(F.col("bins"), F.col("live_bins"), self.n_bins))
-        return N.drift_labels(row.drop("bins", "live_bins"))
+        return self.spark.read.parquet(self._place(version))
+
+    def report(self) -> DataFrame:
+        """The report of the last version; reads at most ``window`` rows of each kind and shard."""
+        state = self.state()
+        rows = self.kept("row", "has_audio", "n_faces_found").withColumn("has_audio", F.col("has_audio") == 1).withColumn("n_faces_found", F.col("n_faces_found").cast("int"))
+        sums = state.where("kind = 'row'").agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("total", "ood", "held")])
+        codecs = state.where("kind = 'codec'").select(F.col("shard").alias("codec"), F.col("total").alias("n"))
+        return N.drift_of_windows(self.kept("score", "calibrated_prob"), rows, sums, self.baseline, self.kept("upload", "duration_s", "height"), codecs, self.n_bins)
