@@ -10,8 +10,9 @@ from touchstone.session import new_path
 from touchstone.sources import files, logs
 from touchstone.sources import predictions as P
 from touchstone.sources import runs as RT
+from touchstone.streaming import jobs as J
 from touchstone.streaming import tables as T
-from touchstone.streaming.monitors import DriftMonitor
+from touchstone.streaming.monitors import DriftMonitor, rate_windows
 
 
 def result_rows(spark, lo, hi):
@@ -71,6 +72,52 @@ def test_drift_of_results_alone_and_of_uploads_alone(spark):
     assert not row["ready"] and row["n_observed"] == 0 and row["ood_rate"] == 0 and row["small_video_rate"] > 0
 
 
+US = 1_000_000
+
+
+def changes(spark, rows):
+    """rows of (batch, job, minute, state, stage), as a stream of these batches."""
+    out = [(b, job, m * 60 * US, k, state, stage) for k, (b, job, m, state, stage) in enumerate(rows)]
+    df = spark.createDataFrame(out, "b int, job_id long, updated_us long, seq long, state string, stage string")
+    return T.as_arrivals(df.withColumn("ts", F.timestamp_micros("updated_us")), "b")
+
+
+def test_progress_feed_over_many_batches_and_its_state_ends(spark):
+    """One job changes in four batches; what follows its end is ignored, and then forgotten."""
+    rows = [
+        (0, 1, 0, "queued", "a"), (0, 1, 1, "queued", "a"), (0, 2, 2, "running", "x"), (1, 1, 3, "running", "a"), (1, 1, 4, "running", "b"),
+        (2, 1, 5, "running", "b"), (2, 1, 6, "done", "b"), (2, 1, 7, "running", "c"), (3, 1, 8, "done", "b"), (3, 2, 9, "running", "y"),
+        (4, 3, 60, "queued", None), (5, 3, 61, "failed", "z"), (6, 4, 500, "queued", "q"), (7, 4, 501, "queued", "q"), (8, 1, 502, "queued", "again"),
+    ]
+    ran = []
+    got = T.appended(J.progress_feed(changes(spark, rows), late="1 minute", keep="30 minutes", idle="3 hours"), ran)
+    sent = {}
+    for r in got.orderBy("seq").collect():
+        sent.setdefault(r["job_id"], []).append((r["state"], r["stage"]))
+    assert sent == {
+        1: [("queued", "a"), ("running", "a"), ("running", "b"), ("done", "b"), ("queued", "again")], 2: [("running", "x"), ("running", "y")],
+        3: [("queued", None), ("failed", "z")], 4: [("queued", "q")],
+    }
+    kept = [op.numRowsTotal for p in ran[0].recentProgress for op in p.stateOperators]
+    assert max(kept) == 3 and kept[-1] == 2  # job 2 went idle, 3 ended; 4 and the new 1 are left
+    assert len(ran[0].recentProgress) >= 9
+
+
+def test_rate_windows_come_once_and_late_rows_are_counted(spark):
+    minutes = [(0, "a", 0), (0, "a", 0), (0, "b", 0), (1, "a", 30), (2, "a", 60), (3, "a", 0), (3, "b", 61), (3, "b", 61), (4, "a", 90)]
+    df = spark.createDataFrame(minutes, "b int, client string, m long").select("b", "client", F.timestamp_seconds(F.col("m") * 60 + 5).alias("ts"))
+    ran = []
+    got = T.appended(minute_windows(T.as_arrivals(df, "b")), ran)
+    assert sorted((r["client"], r["start"].minute + 60 * r["start"].hour, r["n"]) for r in got.collect()) == [("a", 0, 2), ("a", 30, 1), ("a", 60, 1), ("b", 0, 1), ("b", 61, 2)]
+    assert T.late_groups(ran[0]) == 1
+    many = T.appended(minute_windows(T.as_arrivals(df, "b"), limit=1))
+    assert many.count() == 2
+
+
+def minute_windows(stream, limit=None):
+    return rate_windows(stream, 1, "10 minutes", limit)
+
+
 def test_streams_without_rows(spark):
     feed = new_path(spark, "feed")
     result_rows(spark, 0, 2).limit(0).write.parquet(feed)

@@ -9,7 +9,7 @@ from ..functions.numeric import half_up
 from ..operators import monitor as N
 from ..streaming import jobs as J
 from ..streaming import monitors as L
-from ..streaming.tables import appended, as_stream, final_counts, final_updates
+from ..streaming.tables import appended, as_arrivals, as_stream, final_counts, final_updates, late_groups
 from .fixtures import R
 from .metric_queries import r6
 from .registry import query
@@ -149,13 +149,36 @@ def _(t):
 @query("r7_progress_feed", "changes", """WITH o AS (SELECT *, lag(state) OVER w AS ps, lag(stage) OVER w AS pg, count(*) FILTER (state IN ('done', 'failed', 'cancelled')) OVER (PARTITION BY job_id ORDER BY updated_us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over
      FROM changes WINDOW w AS (PARTITION BY job_id ORDER BY updated_us, seq)) SELECT job_id, seq, state, stage FROM o WHERE over = 0 AND (ps IS NULL OR ps <> state OR pg <> stage)""")
 def _(t):
-    return appended(J.progress_feed(as_stream(t.changes, "ts", files_per_trigger=6)))
+    return appended(J.progress_feed(by_week(t.changes)))
 
 
-@query("r8_rate_breaches", "requests", "SELECT client, date_trunc('minute', ts)::VARCHAR AS start, count(*) AS n FROM requests GROUP BY 1, 2 HAVING count(*) > 1")
+def by_week(rows, delayed=None):
+    """A stream of weekly micro-batches; rows that ``delayed`` names come two weeks late."""
+    week = F.floor((F.unix_micros("ts") - F.lit(rows.agg(F.min(F.unix_micros("ts"))).first()[0] or 0)) / 604_800_000_000)
+    late = F.lit(0) if delayed is None else F.when(delayed, 2).otherwise(0)
+    return as_arrivals(rows.withColumn("arrival", week + late), "arrival")
+
+
+#: Every fortieth request comes two weeks late. A batch drops the windows that ended
+#: before the watermark of the batch before it; at the end, closed windows are out.
+_ARRIVALS = """a AS (SELECT *, floor((epoch_us(ts) - min(epoch_us(ts)) OVER ()) / 604800000000) + CASE WHEN seq % 40 = 0 THEN 2 ELSE 0 END AS arrival FROM requests),
+   d AS (SELECT *, dense_rank() OVER (ORDER BY arrival) AS k, date_trunc('hour', ts) AS start FROM a),
+   m AS (SELECT k, max(ts) AS top FROM d GROUP BY k),
+   wm AS (SELECT k, max(top) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL 10 MINUTE AS w FROM m),
+   r AS (SELECT *, coalesce(start + INTERVAL 1 HOUR <= w, false) AS late, start + INTERVAL 1 HOUR <= max(ts) OVER () - INTERVAL 10 MINUTE AS closed FROM d JOIN wm USING (k))"""
+
+
+@query("r8_rate_breaches", "requests", f"WITH {_ARRIVALS} SELECT client, start::VARCHAR AS start, count(*) AS n FROM r WHERE closed AND NOT late GROUP BY 1, 2 HAVING count(*) > 1")
+def _(t):
+    out = appended(L.rate_windows(by_week(t.requests, F.col("seq") % 40 == 0), 60, limit=1))
+    return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("r8_late_windows", "requests", f"WITH {_ARRIVALS} SELECT count(DISTINCT (client, start, k)) FILTER (late) AS late_windows, (SELECT count(*) FROM (SELECT DISTINCT client, start FROM r WHERE closed AND NOT late)) AS closed_windows FROM r")
 def _(t):
-    out = final_updates(L.rate_windows(as_stream(t.requests, "ts"), late="120 days"), ["client", "start"])
-    return out.where("n > 1").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+    ran = []
+    out = appended(L.rate_windows(by_week(t.requests, F.col("seq") % 40 == 0), 60), ran)
+    return out.agg(F.count(F.lit(1)).alias("closed_windows")).select(F.lit(late_groups(ran[0])).cast("long").alias("late_windows"), "closed_windows")
 
 
 @query("r8_rate_breaches_batch", "requests", "SELECT client, date_trunc('hour', ts)::VARCHAR AS start, count(*) AS n FROM requests GROUP BY 1, 2 HAVING count(*) > 2")

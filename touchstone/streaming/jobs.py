@@ -19,27 +19,38 @@ def latest_state(changes: DataFrame) -> DataFrame:
     return job_state(changes)
 
 
-def progress_feed(changes: DataFrame) -> DataFrame:
+def progress_feed(changes: DataFrame, late: str = "10 minutes", keep: str = "1 day", idle: str = "7 days", at: str = "ts") -> DataFrame:
     """State or stage changes per job, repeats left out, ending at a terminal state.
 
-    The state per job is the last pair sent and whether it was terminal.
+    The state per job is the last pair sent and whether it was terminal. It is dropped
+    when the watermark is ``keep`` past a terminal change, or ``idle`` past the last one;
+    until then, changes after the terminal one are ignored. A change that comes later
+    opens the job anew. Rows behind the watermark, ``late`` after the newest, are lost.
     """
+    after = {over: int(pd.Timedelta(span).total_seconds() * 1000) for over, span in ((True, keep), (False, idle))}
 
     def emit(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else ("", "", False)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        old_state, old_stage, over, newest = state.get if state.exists else ("", "", False, 0)
         rows = pd.concat(list(parts)).sort_values(["updated_us", "seq"])
-        sent, (old_state, old_stage, over) = [], last
-        for r in rows.itertuples():
-            if over:
-                break
-            if (r.state, r.stage) != (old_state, old_stage):
-                sent.append((key[0], r.seq, r.state, r.stage))
-                old_state, old_stage, over = r.state, r.stage, r.state in TERMINAL
-        state.update((old_state, old_stage, over))
-        yield pd.DataFrame(sent, columns=["job_id", "seq", "state", "stage"])
-
-    return changes.select("job_id", "updated_us", "seq", "state", "stage").groupBy("job_id").applyInPandasWithState(
-        emit, PROGRESS, "state string, stage string, over boolean", "append", GroupStateTimeout.NoTimeout
+        newest = max(newest, int(rows["at_ms"].max()))
+        if not over:
+            pair = rows[["state", "stage"]].fillna("")
+            before = pair.shift().fillna({"state": old_state, "stage": old_stage})
+            ends = pair["state"].isin(TERMINAL).to_numpy()
+            open_still = ends.cumsum() - ends == 0
+            rows = rows[(pair != before).any(axis=1).to_numpy() & open_still]
+            over = bool(ends.any())
+            old_state, old_stage = pair.iloc[int(ends.argmax()) if over else -1]
+            yield rows.assign(job_id=key[0])[["job_id", "seq", "state", "stage"]]
+        state.update((old_state, old_stage, over, newest))
+        state.setTimeoutTimestamp(max(newest + after[over], state.getCurrentWatermarkMs() + 1))
+
+    rows = changes.withWatermark(at, late).select("job_id", "updated_us", "seq", "state", "stage", at, F.unix_millis(at).alias("at_ms"))
+    return rows.groupBy("job_id").applyInPandasWithState(
+        emit, PROGRESS, "state string, stage string, over boolean, newest bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -54,14 +54,21 @@ def reject_counts(stream: DataFrame) -> DataFrame:
     return upload_policy(stream).where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def rate_windows(stream: DataFrame, minutes: int = 1, late: str = "10 minutes") -> DataFrame:
-    """Requests per client and window; the watermark bounds the state kept."""
-    return (
+def rate_windows(stream: DataFrame, minutes: int = 1, late: str = "10 minutes", limit: int | None = None) -> DataFrame:
+    """Requests per client and window, more than ``limit`` of them if given.
+
+    In append mode a window comes once, when the watermark has passed its end, and its
+    state goes; rows for a window that is gone are dropped and counted by the query
+    (``tables.late_groups``).
+    """
+    counts = (
         stream.withWatermark("ts", late)
         .groupBy("client", F.window("ts", f"{minutes} minute").alias("w"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .select("client", F.col("w.start").alias("start"), "n")
     )
+    if limit is not None:
+        counts = counts.where(F.col("n") > limit)
+    return counts.select("client", F.col("w.start").alias("start"), "n")
 
 
 #: What a monitor keeps of one key: a window as arrays, newest first, and all-time counts.

@@ -6,8 +6,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from ..session import new_path
+from ..session import cut, new_path
 
 
 def as_stream(df: DataFrame, order: str, n_files: int | None = None, files_per_trigger: int = 2) -> DataFrame:
@@ -21,9 +22,33 @@ def as_stream(df: DataFrame, order: str, n_files: int | None = None, files_per_t
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def as_arrivals(df: DataFrame, arrival: str) -> DataFrame:
+    """A file stream with one micro-batch per value of ``arrival``, in their order.
+
+    Files are written one after another, as they would come in; a file stream takes the
+    oldest first. Meant for feeds of a few batches.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, "arrivals")
+    rows = cut(df, "arrivals")
+    for r in rows.select(arrival).distinct().orderBy(arrival).collect():
+        rows.where(F.col(arrival).eqNullSafe(r[0])).drop(arrival).coalesce(1).write.mode("append").parquet(path)
+    schema = df.drop(arrival).schema
+    if not rows.limit(1).count():
+        rows.drop(arrival).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def late_groups(query: StreamingQuery) -> int:
+    """State keys that a query dropped because their rows came after the watermark.
+
+    Counts the batches that the session remembers (``spark.sql.streaming.numRecentProgressUpdates``).
+    """
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
 def drain(
     stream: DataFrame, on_batch: Callable[[DataFrame, int], None], mode: str = "append", offsets: str | None = None
-) -> None:
+) -> StreamingQuery:
     """Process all that is available, one checkpointed micro-batch after another.
 
     Name ``offsets`` to take up a stream where an earlier run left it.
@@ -36,6 +61,7 @@ def drain(
         .start()
     )
     q.awaitTermination()
+    return q
 
 
 def final_counts(stream: DataFrame) -> DataFrame:
@@ -74,15 +100,17 @@ def final_updates(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_v")).select(*keys, "_v.*")
 
 
-def appended(stream: DataFrame) -> DataFrame:
-    """All rows of a stateless or append-mode stream."""
+def appended(stream: DataFrame, query: list | None = None) -> DataFrame:
+    """All rows of a stateless or append-mode stream; the query that ran is added to ``query``."""
     spark, out, seen = stream.sparkSession, new_path(stream.sparkSession, "rows"), []
 
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
         seen.append(batch)
 
-    drain(stream, write)
+    ran = drain(stream, write)
+    if query is not None:
+        query.append(ran)
     if not seen:
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
