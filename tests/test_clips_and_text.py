@@ -73,7 +73,7 @@ def brute_track(boxes, wh):
     return out
 
 
-@pytest.mark.parametrize("chunk", [3, 4096])
+@pytest.mark.parametrize("chunk", [1, 3, 4096])
 def test_track_equals_a_plain_walk(spark, chunk):
     rng = np.random.default_rng(4)
     boxes, rows, seq = {}, [], 0
@@ -90,6 +90,19 @@ def test_track_equals_a_plain_walk(spark, chunk):
     assert got == brute_track(boxes, (1280.0, 720.0))
 
 
+def test_prefixes_are_composed_by_doubling(spark):
+    rng = np.random.default_rng(9)
+    sizes = [3, 2, 4, 1, 3, 3, 2, 5, 4, 2, 3, 3]
+    maps = [[int(x) for x in rng.integers(0, sizes[k + 1], sizes[k])] for k in range(11)]
+    df = spark.createDataFrame([("c", k + 1, m) for k, m in enumerate(maps)] + [("d", 1, [1, 0])], "key string, place int, m array<int>")
+    got = {(r["key"], r["place"]): r["m"] for r in K.composed_prefixes(df, ["key"], "place", "m").collect()}
+    held = list(range(3))
+    for k, m in enumerate(maps):
+        held = [m[s] for s in held]
+        assert got["c", k + 1] == held
+    assert got["d", 1] == [1, 0] and len(got) == 12
+
+
 def test_frame_sampling(spark):
     n = spark.createDataFrame([(5,), (16,), (100,)], "n int")
     rows = n.select(

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from itertools import groupby
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,19 +147,37 @@ def localisation(frames: DataFrame, intervals: DataFrame, thr: float, clip: str
 BOX = ["seq", "x0", "y0", "x1", "y1", "conf"]
 
 
-def _walk(boxes: list, entry, max_jump: float) -> list:
-    """Boxes chosen frame by frame, starting after ``entry``; ``boxes`` sorted by (pos, seq)."""
-    mid = lambda b: ((b["x0"] + b["x1"]) / 2, (b["y0"] + b["y1"]) / 2)
-    area = lambda b: (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
-    out, prev = [], entry
-    for _, group in groupby(boxes, key=lambda b: b["pos"]):
-        frame = list(group)
-        px, py = mid(prev)
-        gaps = [float(np.hypot(mid(b)[0] - px, mid(b)[1] - py)) for b in frame]
-        near = min(range(len(frame)), key=gaps.__getitem__)
-        prev = frame[near] if gaps[near] <= max_jump else max(frame, key=area)
-        out.append(prev)
-    return out
+def _successors(before: str, now: str, max_jump: float) -> str:
+    """SQL: for each box of the frame ``before``, the index of its box in the frame ``now``.
+
+    That is the nearest one, or the largest where even that is more than ``max_jump`` away;
+    earlier boxes win ties.
+    """
+    # The field names keep the lambdas of both levels apart.
+    gap = "sqrt(pow((b.x0 + b.x1) / 2 - (p.x0 + p.x1) / 2, 2) + pow((b.y0 + b.y1) / 2 - (p.y0 + p.y1) / 2, 2))"
+    near = f"array_min(transform({now}, (b, j) -> struct({gap} AS gap, j AS j)))"
+    largest = f"-array_max(transform({now}, (b, j) -> struct((b.x1 - b.x0) * (b.y1 - b.y0) AS area, -j AS j))).j"
+    chosen = f"aggregate(array({near}), CAST(0 AS INT), (s, n) -> IF(n.gap <= {max_jump!r}D, n.j, {largest}))"
+    return f"transform({before}, p -> {chosen})"
+
+
+def composed_prefixes(maps: DataFrame, keys: list[str], place: str, mapping: str) -> DataFrame:
+    """(keys, place, mapping): each mapping after all those before it, by doubling.
+
+    ``place`` counts 1, 2, 3 ... per key and ``mapping`` gives, for every way in, the index
+    of the way out. Step j joins each row with the one 2^j places before it, so that
+    log2(places) equi joins do, and no task walks a key.
+    """
+    done = maps.select(*keys, place, mapping)
+    longest = done.agg(F.max(place)).first()[0] or 0
+    reach = 1
+    while reach < longest:
+        done = cut(done, "prefixes")
+        earlier = done.select(*keys, (F.col(place) + reach).alias(place), F.col(mapping).alias("_earlier"))
+        both = F.expr(f"IF(_earlier IS NULL, `{mapping}`, transform(_earlier, s -> `{mapping}`[s]))")
+        done = done.join(earlier, [*keys, place], "left").withColumn(mapping, both).drop("_earlier")
+        reach *= 2
+    return done
 
 
 def main_track(
@@ -173,80 +189,53 @@ def main_track(
 ) -> DataFrame:
     """One box per frame: follow the nearest face outward from the largest one.
 
-    Each choice hangs on the one before it, yet a stretch of frames only maps "box held
-    on entry" to "box held on exit", and there are as many entries as faces in one
-    frame. So clips are cut into stretches of ``chunk`` frames: every stretch works out
-    its map on its own, the maps (a few numbers each) are chained per clip, and every
-    stretch is walked once more from its true entry.
+    Each choice hangs on the one before it, yet a frame only maps "box held before" to
+    "box held after". Clips are cut into stretches of ``chunk`` frames on either side of
+    the largest face. A stretch composes its frames' maps into one, the maps of stretches
+    are composed by doubling, and each stretch is then followed from its true entry. All
+    of it is column expressions; no task holds more than a stretch.
     """
     max_jump = 0.25 * float(np.hypot(*wh))
-    kind = {f.name: f.dataType.simpleString() for f in boxes.schema}
-    box = f"struct<pos:bigint,{','.join(f'{k}:{kind[k]}' for k in BOX)}>"
-    key = f"{clip} {kind[clip]}, side int, chunk bigint"
-
-    top = boxes.groupBy(clip).agg(
-        F.expr(
-            f"max(struct((x1 - x0) * (y1 - y0) AS area, -`{frame}` AS f, -seq AS s, "
-            f"named_struct('pos', 0L, {', '.join(f'{chr(39)}{k}{chr(39)}, {k}' for k in BOX)}) AS box)) AS top"
-        )
+    fields = ", ".join(f"'{k}', {k}" for k in BOX)
+    per_frame = boxes.groupBy(clip, frame).agg(F.expr(f"sort_array(collect_list(named_struct({fields})))").alias("boxes"))
+    largest = "array_max(transform(boxes, b -> struct((b.x1 - b.x0) * (b.y1 - b.y0) AS area, -b.seq AS s, b AS box)))"
+    tops = per_frame.selectExpr(f"`{clip}`", f"`{frame}`", f"{largest} AS top")
+    top = tops.groupBy(clip).agg(F.expr(f"max(struct(top.area, -`{frame}` AS f, top.s, top.box AS box))").alias("top"))
+    anchors = top.selectExpr(f"`{clip}`", "-top.f AS anchor", "top.box AS box")
+
+    key = [clip, "side", "chunk"]
+    placed = per_frame.join(anchors, clip).selectExpr(
+        f"`{clip}`", "anchor", "box", f"CAST(sign(`{frame}` - anchor) AS INT) AS side",
+        f"CAST(floor(abs(`{frame}` - anchor) / {chunk}) AS BIGINT) AS chunk", f"struct(CAST(abs(`{frame}` - anchor) AS BIGINT) AS pos, boxes) AS f",
     )
-    placed = boxes.join(top, clip).selectExpr(
-        f"`{clip}`",
-        f"CAST(sign(`{frame}` + top.f) AS INT) AS side",
-        f"CAST(floor(abs(`{frame}` + top.f) / {chunk}) AS BIGINT) AS chunk",
-        f"named_struct('pos', CAST(abs(`{frame}` + top.f) AS BIGINT), {', '.join(f'{chr(39)}{k}{chr(39)}, {k}' for k in BOX)}) AS box",
-        "top.box AS anchor",
+    stretches = placed.where("side <> 0").groupBy(*key).agg(
+        F.sort_array(F.collect_list("f")).alias("frames"), F.first("box").alias("box"), F.first("anchor").alias("anchor")
     )
-    stretches = (
-        placed.where("side <> 0")
-        .groupBy(clip, "side", "chunk")
-        .agg(F.sort_array(F.collect_list("box")).alias("boxes"), F.first("anchor").alias("anchor"))
-    )
-    tail = F.expr("filter(boxes, b -> b.pos = boxes[size(boxes) - 1].pos)")
-    onward = Window.partitionBy(clip, "side").orderBy("chunk")
-    # Only the last frames of stretches meet in the window; their boxes stay where they are.
     stretches = cut(stretches, "stretches")
-    ends = stretches.select(clip, "side", "chunk", tail.alias("_tail"))
-    ends = ends.select(clip, "side", "chunk", F.lag("_tail").over(onward).alias("_before"))
-    stretches = stretches.join(ends, [clip, "side", "chunk"]).withColumn("entries", F.coalesce("_before", F.array("anchor"))).drop("_before")
-
-    def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            exits = [
-                [_walk(list(bs), e, max_jump)[-1]["seq"] for e in es] for bs, es in zip(b["boxes"], b["entries"])
-            ]
-            ins = [[e["seq"] for e in es] for es in b["entries"]]
-            yield b[[clip, "side", "chunk"]].assign(ins=ins, outs=exits)
-
-    maps = stretches.mapInPandas(transfer, f"{key}, ins array<bigint>, outs array<bigint>")
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, entered = None, []
-        for ins, outs in zip(*(pdf.sort_values("chunk")[k] for k in ("ins", "outs"))):
-            at = 0 if held is None else list(ins).index(held)
-            entered.append(ins[at])
-            held = outs[at]
-        return pdf.sort_values("chunk")[[clip, "side", "chunk"]].assign(entry=entered)
-
-    entries = maps.groupBy(clip, "side").applyInPandas(chain, f"{key}, entry bigint")
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            picked = [
-                _walk(list(bs), next(e for e in es if e["seq"] == held), max_jump)
-                for bs, es, held in zip(b["boxes"], b["entries"], b["entry"])
-            ]
-            yield b[[clip, "side", "anchor_frame"]].assign(picked=picked)
-
-    anchors = top.selectExpr(f"`{clip}`", "-top.f AS anchor_frame", "top.box AS box")
+    # Only the last frames of stretches meet in this window; their other boxes stay where they are.
+    onward = Window.partitionBy(clip, "side").orderBy("chunk")
+    ends = stretches.select(*key, F.expr("element_at(frames, -1).boxes").alias("_tail"))
+    ends = ends.select(*key, F.lag("_tail").over(onward).alias("_before"), F.row_number().over(onward).alias("place"))
+    steps = _successors("IF(i = 0, entries, frames[i - 1].boxes)", "frames[i].boxes", max_jump)
+    followed = stretches.join(ends, key).withColumn("entries", F.coalesce("_before", F.array("box"))).withColumn(
+        "steps", F.expr(f"transform(sequence(0, size(frames) - 1), i -> {steps})")
+    )
+    followed = cut(followed.drop("_before", "box", "entries"), "followed")
+    whole = F.expr("aggregate(slice(steps, 2, size(steps)), steps[0], (held, m) -> transform(held, s -> m[s]))")
+    exits = composed_prefixes(followed.select(clip, "side", "place", whole.alias("exits")), [clip, "side"], "place", "exits")
+    entry = exits.select(clip, "side", (F.col("place") + 1).alias("place"), F.col("exits")[0].alias("entry"))
+
+    path = """aggregate(steps, named_struct('at', coalesce(entry, 0), 'path', CAST(array() AS ARRAY<INT>)),
+        (held, m) -> named_struct('at', m[held.at], 'path', array_append(held.path, m[held.at])), held -> held.path)"""
     walked = (
-        stretches.join(entries, [clip, "side", "chunk"])
-        .join(anchors.select(clip, "anchor_frame"), clip)
-        .mapInPandas(choose, f"{clip} {kind[clip]}, side int, anchor_frame {kind[frame]}, picked array<{box}>")
-        .select(clip, "side", "anchor_frame", F.explode("picked").alias("box"))
-        .selectExpr(f"`{clip}`", f"CAST(anchor_frame + side * box.pos AS {kind[frame]}) AS `{frame}`", "box")
+        followed.join(entry, [clip, "side", "place"], "left")
+        .withColumn("path", F.expr(path))
+        .selectExpr(f"`{clip}`", "side", "anchor", "inline(transform(path, (at, i) -> struct(frames[i].pos AS pos, frames[i].boxes[at] AS box)))")
+    )
+    kind = boxes.schema[frame].dataType.simpleString()
+    both = walked.selectExpr(f"`{clip}`", f"CAST(anchor + side * pos AS {kind}) AS `{frame}`", "box").unionByName(
+        anchors.selectExpr(f"`{clip}`", f"CAST(anchor AS {kind}) AS `{frame}`", "box")
     )
-    both = walked.unionByName(anchors.selectExpr(f"`{clip}`", f"CAST(anchor_frame AS {kind[frame]}) AS `{frame}`", "box"))
     return both.select(clip, frame, *[f"box.{k}" for k in BOX])
 
 

@@ -162,7 +162,21 @@ def _(t):
     return r6(K.localisation(t.frames, t.intervals, 0.2), "iou")
 
 
-@query("w7_face_track")
+_GAP = "sqrt(pow((b.x0 + b.x1) / 2 - w.cx, 2) + pow((b.y0 + b.y1) / 2 - w.cy, 2))"
+
+
+@query("w7_face_track", "boxes", f"""WITH RECURSIVE bx AS (SELECT *, (x1 - x0) * (y1 - y0) AS area FROM boxes),
+   an AS (SELECT clip, frame, seq, x0, y0, x1, y1 FROM bx QUALIFY row_number() OVER (PARTITION BY clip ORDER BY area DESC, frame, seq) = 1),
+   fr AS (SELECT b.*, sign(b.frame - an.frame) AS side, dense_rank() OVER (PARTITION BY b.clip, sign(b.frame - an.frame) ORDER BY abs(b.frame - an.frame)) AS k
+     FROM bx b JOIN an USING (clip) WHERE b.frame <> an.frame),
+   w(clip, side, k, frame, seq, cx, cy) AS (
+     SELECT clip, side, 0::BIGINT, frame, seq, (x0 + x1) / 2, (y0 + y1) / 2 FROM an, (SELECT unnest([-1, 1]) AS side)
+     UNION ALL SELECT clip, side, k, frame, pick.seq, pick.cx, pick.cy FROM (
+       SELECT w.clip, w.side, w.k + 1 AS k, any_value(b.frame) AS frame, CASE WHEN min({_GAP}) <= {0.25 * (1280.0**2 + 720.0**2) ** 0.5!r}::DOUBLE
+         THEN arg_min({{'seq': b.seq, 'cx': (b.x0 + b.x1) / 2, 'cy': (b.y0 + b.y1) / 2}}, {{'g': {_GAP}, 's': b.seq}})
+         ELSE arg_min({{'seq': b.seq, 'cx': (b.x0 + b.x1) / 2, 'cy': (b.y0 + b.y1) / 2}}, {{'a': -b.area, 's': b.seq}}) END AS pick
+       FROM w JOIN fr b ON b.clip = w.clip AND b.side = w.side AND b.k = w.k + 1 GROUP BY w.clip, w.side, w.k))
+   SELECT DISTINCT clip, frame, seq FROM w""")
 def _(t):
     return K.main_track(t.boxes).select("clip", "frame", "seq")
 
