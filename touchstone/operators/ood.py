@@ -7,8 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import c
 
@@ -73,15 +76,36 @@ def fit_mahalanobis(df: DataFrame, vec: str, shrinkage: float = 0.1) -> Mahalano
     return Mahalanobis(mean.tolist(), np.linalg.pinv(cov).tolist(), n)
 
 
+def whitening(state: Mahalanobis) -> np.ndarray:
+    """``w`` with precision = w w', so that a distance is the squared length of (x - mean) w.
+
+    By Cholesky where the precision is definite, else by its eigenvectors.
+    """
+    p = np.asarray(state.precision, float)
+    p = (p + p.T) / 2
+    try:
+        return np.linalg.cholesky(p)
+    except np.linalg.LinAlgError:
+        values, vectors = np.linalg.eigh(p)
+        return vectors * np.sqrt(np.clip(values, 0, None))
+
+
 def mahalanobis(vec, state: Mahalanobis | None) -> Column:
     """Squared distance of a vector from the fitted centre; 0 where nothing was fitted.
 
-    Evaluated as nested array expressions in the JVM, one row at a time, no shuffle.
+    One matrix product per Arrow batch, no shuffle; the plan has the same size for any
+    dimension. Null for a null vector, one of another length, or one with null or NaN parts.
     """
     if state is None:
         return F.lit(0.0)
-    mean = F.lit([float(m) for m in state.mean])
-    x = F.zip_with(c(vec), mean, lambda a, b: a - b)
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
-    rows = F.array(*[F.lit([float(v) for v in r]) for r in state.precision])
-    return dot(F.transform(rows, lambda r: dot(r, x)), x)
+    mean, w = np.asarray(state.mean, float), whitening(state)
+
+    @F.arrow_udf(T.DoubleType())
+    def distance(v: pa.Array) -> pa.Array:
+        good = pc.fill_null(pc.equal(pc.list_value_length(v), len(mean)), False)
+        x = v.filter(good).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(mean))
+        found = np.full(len(v), np.nan)
+        found[good.to_numpy(zero_copy_only=False)] = (((x - mean) @ w) ** 2).sum(1)
+        return pa.array(found, mask=np.isnan(found))
+
+    return distance(c(vec).cast("array<double>"))

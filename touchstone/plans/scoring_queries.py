@@ -89,7 +89,16 @@ def _(t):
     return C.apply_calibration(t.preds_logit, CAL).groupBy("abstain").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c9_fit_mahalanobis")
+@query("c9_fit_mahalanobis", "vec", f"""WITH RECURSIVE x AS (SELECT vec_id, unnest(vec) AS v, unnest(range(len(vec))) + 1 AS j FROM vec WHERE label < 5),
+   z AS MATERIALIZED (SELECT vec_id, j, v - avg(v) OVER (PARTITION BY j) AS v FROM x),
+   g AS MATERIALIZED (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) / (count(*) - 1) AS s FROM z a JOIN z b USING (vec_id) GROUP BY 1, 2),
+   d AS (SELECT count(*) AS d, avg(s) AS t FROM g WHERE i = j),
+   r AS (SELECT i, list(0.9::DOUBLE * s + CASE WHEN i = j THEN 0.1::DOUBLE * t ELSE 0 END ORDER BY j) || list(CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0 END ORDER BY j) AS row FROM g, d GROUP BY i),
+   gj(k, m) AS (SELECT 1::BIGINT, list(row ORDER BY i) FROM r UNION ALL
+     SELECT k + 1, list_transform(m, lambda row, i: CASE WHEN i = k THEN p ELSE list_transform(row, lambda e, j: e - row[k] * p[j]) END)
+     FROM (SELECT k, m, list_transform(m[k], lambda e: e / m[k][k]) AS p FROM gj WHERE k <= len(m)))
+   SELECT (SELECT count(DISTINCT vec_id) FROM x) AS n_fit, len(m)::INT AS dim,
+     {R('list_sum(list_transform(m, lambda row, i: row[len(m) + i]))', 4)} AS trace FROM gj ORDER BY k DESC LIMIT 1""")
 def _(t):
     s = ood.fit_mahalanobis(t.vec.where("label < 5"), "vec")
     return t.spark.range(1).select(
