@@ -347,25 +347,28 @@ def _(t):
     return m.select(F.regexp_extract("path", r"(\d+)\.mp4$", 1).cast("bigint").alias("k"), "source_identity", "split")
 
 
+#: Records of a metadata file that a query makes.
+PER_FILE = 1000
+
+
+def _folded(t, container, *by):
+    """Metadata files of about PER_FILE records, as many as the table asks for."""
+    orders = t.raw("orders")
+    files = max(1, -(-orders.count() // PER_FILE))
+    cells = orders.groupBy(*by, F.pmod(F.xxhash64("o_orderkey"), F.lit(files)).alias("_file")).agg(container.alias("value"))
+    return cells.drop("_file")
+
+
 @query("s6_dfdc_metadata", "", """SELECT 'dfdc_part_' || (o_orderkey % 4) || '_' || o_orderkey AS video_id, (o_orderkey % 2)::INT AS label, CASE WHEN o_orderkey % 2 = 1 THEN 'dfdc_' || (o_orderkey - 1) ELSE 'dfdc_' || o_orderkey END AS source_identity,
    CASE o_orderkey % 4 WHEN 3 THEN 'test' WHEN 2 THEN 'val' ELSE 'train' END AS split FROM orders""")
 def _(t):
     file = F.concat(key().cast("string"), F.lit(".mp4"))
     info = F.when(key() % 2 == 1, F.struct(F.lit("FAKE").alias("label"), F.concat((key() - 1).cast("string"), F.lit(".mp4")).alias("original"))).otherwise(F.struct(F.lit("REAL").alias("label"), F.lit(None).cast("string").alias("original")))
     part = F.concat(F.lit("part_"), (key() % 4).cast("string"))
-    bodies = t.raw("orders").groupBy(part.alias("exp"), (key() % 8).alias("seed")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(file, info)))).alias("value"))
     root = new_path(t.spark, "dfdc")
-    jvm, conf = t.spark._jvm, t.spark._jsc.hadoopConfiguration()
-    p = lambda x: jvm.org.apache.hadoop.fs.Path(x)
-    fs = p(root).getFileSystem(conf)
-    tmp = new_path(t.spark, "parts")
-    bodies.repartition("exp", "seed").write.partitionBy("exp", "seed").text(tmp)
-    for st in fs.globStatus(p(f"{tmp}/exp=*/seed=*/part-*")):
-        src = st.getPath()
-        folder = f"{root}/{src.getParent().getName()}/{src.getParent().getParent().getName().split('=')[1]}"
-        fs.mkdirs(p(folder))
-        fs.rename(src, p(f"{folder}/metadata.json"))
-    meta = S.read_dfdc_metadata(t.spark, f"{root}/*/*/metadata.json")
+    bodies = _folded(t, F.to_json(F.map_from_entries(F.collect_list(F.struct(file, info)))), part.alias("part"))
+    bodies.write.partitionBy("part").option("maxRecordsPerFile", 1).text(root)
+    meta = S.read_dfdc_metadata(t.spark, f"{root}/*/part-*")
     listing = _paths(t, F.concat_ws("/", F.lit("/dfdc"), part, file))
     return S.parse_dataset("dfdc", listing, meta).select("video_id", "label", "source_identity", "split")
 
@@ -378,8 +381,9 @@ def _lavdf(t):
         (key() % 4 >= 2).alias("modify_audio"),
         F.when(key() % 4 == 3, F.array(F.array(F.lit(1.0), F.lit(2.5)), F.array(F.lit(4.0), key() % 10 + 4.5))).alias("fake_periods"),
     )
-    bodies = t.raw("orders").groupBy((key() % 8).alias("g")).agg(F.to_json(F.collect_list(rec)).alias("value")).select("value")
-    meta = S.read_lavdf_metadata(t.spark, _text_file(t, bodies.repartition(8), "lavdf") + "/part-*")
+    root = new_path(t.spark, "lavdf")
+    _folded(t, F.to_json(F.collect_list(rec))).write.option("maxRecordsPerFile", 1).text(root)
+    meta = S.read_lavdf_metadata(t.spark, f"{root}/part-*")
     return S.parse_dataset("lavdf", _paths(t, F.concat(F.lit("/lav/test/"), key().cast("string"), F.lit(".mp4"))), meta)
 
 

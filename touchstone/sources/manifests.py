@@ -17,6 +17,7 @@ from ..functions.hashing import hash_split
 from ..functions.numeric import c
 from ..operators.manifest import require_valid
 from ..schemas import MANIFEST, MANIFEST_VERSION, SchemaError, read_version, require_columns, stamp_version
+from .json_records import read_records
 
 
 def read_manifest(
@@ -223,15 +224,14 @@ def celebdf_manifest(listing: DataFrame, test: DataFrame | None = None, test_onl
 
 
 def read_dfdc_metadata(spark: SparkSession, pattern: str) -> DataFrame:
-    """(part, file, is_fake, original) from JSON objects keyed by file name."""
+    """(part, file, is_fake, original) from JSON objects keyed by file name; large ones are read in parts.
+
+    A part is the folder that its metadata lies in; of ``name=value`` folders, the value.
+    """
     entry = T.StructType([T.StructField("label", T.StringType()), T.StructField("original", T.StringType())])
-    return (
-        spark.read.text(pattern, wholetext=True)
-        .select(
-            F.regexp_extract(F.input_file_name(), r"([^/]+)/metadata\.json$", 1).alias("part"),
-            F.explode(F.from_json("value", T.MapType(T.StringType(), entry))).alias("file", "m"),
-        )
-        .select("part", "file", (F.upper("m.label") == "FAKE").alias("is_fake"), F.col("m.original").alias("original"))
+    folder = F.regexp_replace(F.element_at(F.split("file", "/"), -2), "^[^=]*=", "")
+    return read_records(spark, pattern, entry).select(
+        folder.alias("part"), F.col("key").alias("file"), (F.upper("r.label") == "FAKE").alias("is_fake"), F.col("r.original").alias("original")
     )
 
 
@@ -261,7 +261,7 @@ def dfdc_manifest(
 
 
 def read_lavdf_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Records from a JSON array, or from an object whose values are the records."""
+    """Records from a JSON array, or from an object whose values are the records; large ones are read in parts."""
     record = T.StructType(
         [
             T.StructField("file", T.StringType()),
@@ -273,13 +273,7 @@ def read_lavdf_metadata(spark: SparkSession, path: str) -> DataFrame:
             T.StructField("fake_periods", T.ArrayType(T.ArrayType(T.DoubleType()))),
         ]
     )
-    text = spark.read.text(path, wholetext=True)
-    array = F.from_json("value", T.ArrayType(record))
-    keyed = F.map_values(F.from_json("value", T.MapType(T.StringType(), record)))
-    records = F.when(F.ltrim("value").startswith("["), array).otherwise(keyed)
-    return text.select(F.explode(records).alias("r")).select("r.*").withColumn(
-        "file", F.coalesce(F.nullif("file", F.lit("")), "filename")
-    )
+    return read_records(spark, path, record).select("r.*").withColumn("file", F.coalesce(F.nullif("file", F.lit("")), "filename"))
 
 
 def lavdf_manifest(listing: DataFrame, meta: DataFrame, test_only: bool = True) -> tuple[DataFrame, DataFrame]:
