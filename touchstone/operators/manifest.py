@@ -94,6 +94,11 @@ def summarise(m: DataFrame) -> DataFrame:
     return per_split
 
 
+def totals(m: DataFrame) -> DataFrame:
+    """One row: clips and datasets of a whole manifest."""
+    return m.agg(F.count(F.lit(1)).alias("videos"), F.countDistinct("dataset").alias("datasets"))
+
+
 def method_counts(m: DataFrame) -> DataFrame:
     return m.where("label = 1").groupBy("forgery_method").agg(F.count(F.lit(1)).alias("n")).orderBy(
         F.desc("n"), "forgery_method"

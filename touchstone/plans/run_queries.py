@@ -19,6 +19,8 @@ from .fixtures import R, SPLIT
 from .metric_queries import AUC, r6, roc_sql
 from .registry import query
 from .scoring_queries import CAL, SIG
+from .text_queries import DIVERGED as _DIVERGED_SQL
+from .text_queries import logged
 
 # ---- run tables ------------------------------------------------------------------
 _SEEDS = """ag AS (SELECT exp, split, count(DISTINCT seed) AS n_seeds, arg_min(n, seed) AS n, avg(auc) AS auc_mean, avg(accuracy) AS accuracy_mean, avg(f1) AS f1_mean, avg(eer) AS eer_mean, avg(ece) AS ece_mean,
@@ -65,11 +67,18 @@ def _(t):
     return RN.untrustworthy(r)
 
 
-@query("a10_run_status", "changes", """WITH l AS (SELECT DISTINCT job_id % 1000 AS run, CASE state WHEN 'done' THEN 'preds_val.csv' WHEN 'failed' THEN 'summary.json' WHEN 'running' THEN 'metrics.jsonl' ELSE 'x' END AS name FROM changes)
-   SELECT run, CASE WHEN bool_or(name = 'preds_val.csv') AND bool_or(name = 'summary.json') THEN 'done' WHEN bool_or(name = 'metrics.jsonl') THEN 'running' ELSE 'failed' END AS status FROM l GROUP BY run""")
-def _(t):
+_STATUS_SQL = """SELECT run, CASE WHEN bool_or(name = 'preds_val.csv') AND bool_or(name = 'summary.json') THEN 'done' WHEN bool_or(name = 'metrics.jsonl') THEN 'running' ELSE 'failed' END AS status FROM (
+     SELECT DISTINCT job_id % 1000 AS run, CASE state WHEN 'done' THEN 'preds_val.csv' WHEN 'failed' THEN 'summary.json' WHEN 'running' THEN 'metrics.jsonl' ELSE 'x' END AS name FROM changes) GROUP BY run"""
+
+
+def _run_files(t):
     name = F.when(F.col("state") == "done", "preds_val.csv").when(F.col("state") == "failed", "summary.json").when(F.col("state") == "running", "metrics.jsonl").otherwise("x")
-    return RN.run_status(t.changes.select((F.col("job_id") % 1000).alias("run"), name.alias("name")))
+    return t.changes.select((F.col("job_id") % 1000).alias("run"), name.alias("name"))
+
+
+@query("a10_run_status", "changes", _STATUS_SQL)
+def _(t):
+    return RN.run_status(_run_files(t))
 
 
 @query("a11_validation_trend", "epochs", """WITH b AS (SELECT run, count(*) AS epochs, max({'v': val_auc, 'e': -epoch}) AS best, max(epoch) AS last FROM epochs GROUP BY run)
@@ -144,15 +153,16 @@ def _(t):
     return RN.cross_table(RN.aggregate_seeds(runs), base).select("exp", "test_set", "gap")
 
 
-@query("q9_run_monitoring", "epochs", """WITH b AS (SELECT run, max({'v': val_auc, 'e': -epoch}) AS best, max(epoch) AS last FROM epochs GROUP BY run)
-   SELECT 'e' || run || '/seed' || (run % 3) AS run, 'warn' AS severity, 'stalled' AS title FROM b WHERE last + best.e >= 4""")
+@query("q9_run_monitoring", "epochs changes", f"""WITH b AS (SELECT run, count(*) AS epochs, max({{'v': val_auc, 'e': -epoch}}) AS best, max(epoch) AS last FROM epochs GROUP BY run),
+   l AS ({_STATUS_SQL}), dv AS ({_DIVERGED_SQL})
+   SELECT 'blocker' AS severity, 'run failed' AS title, run::VARCHAR AS subject FROM l WHERE status = 'failed'
+   UNION ALL SELECT 'warn', 'stalled', 'e' || run || '/seed' || (run % 3) FROM b WHERE last + best.e >= 4
+   UNION ALL SELECT 'blocker', 'too good too early', 'e' || run || '/seed' || (run % 3) FROM b WHERE best.v > 0.995 AND -best.e <= 1 AND epochs > 1
+   UNION ALL SELECT 'blocker', reason, run || ':' || source FROM dv""")
 def _(t):
-    trend = RN.val_trend(RT.read_epochs(t.spark, write_tree(t)))
-    flag = F.array_compact(F.array(
-        F.when(F.col("stall_warning"), F.struct(F.lit("warn").alias("severity"), F.lit("stalled").alias("title"))),
-        F.when(F.col("suspiciously_high"), F.struct(F.lit("blocker").alias("severity"), F.lit("too good too early").alias("title"))),
-    ))
-    return trend.select("run", F.inline(flag))
+    from .reports import run_findings
+
+    return run_findings(_run_files(t), RT.read_epochs(t.spark, write_tree(t)), logged(t))
 
 
 # ---- predictions --------------------------------------------------------------------
@@ -446,28 +456,45 @@ def _(t):
     return G.claim_verdicts(_claims(t), _cells(t)).select("claim_id", "verdict")
 
 
-@query("q10_reconciliation", "runs", """WITH v AS (SELECT CASE WHEN seed = 2 THEN 'u' WHEN split = '1995' THEN 'm' ELSE 'v' END AS k FROM runs)
-   SELECT * FROM (SELECT 'blocker' AS severity, 'claims disagree with results' AS title, count(*) FILTER (k = 'm') AS n FROM v UNION ALL SELECT 'blocker', 'claims without a number', count(*) FILTER (k = 'u') FROM v UNION ALL SELECT 'info', 'claims verified', count(*) FILTER (k = 'v') FROM v) WHERE n > 0""")
+@query("q10_reconciliation", "runs", r"""WITH v AS (SELECT CASE WHEN seed = 2 THEN 'u' WHEN split = '1995' THEN 'm' ELSE 'v' END AS k FROM runs),
+   oc AS (SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '[À-ÖØ-öø-ɏ]', 'x', 'g'), '(?i)\b(solves?|solved|robust to all|state[- ]of[- ]the[- ]art|significantly outperforms|proves?|guarantees?|eliminates?|fully generaliz|completely|the|le|der)\b')) AS n FROM documents)
+   SELECT severity, title, 'all' AS subject, n FROM (SELECT 'blocker' AS severity, 'claims disagree with results' AS title, count(*) FILTER (k = 'm') AS n FROM v UNION ALL SELECT 'blocker', 'claims without a number', count(*) FILTER (k = 'u') FROM v UNION ALL SELECT 'info', 'claims verified', count(*) FILTER (k = 'v') FROM v) WHERE n > 0
+   UNION ALL SELECT 'warn', 'over-claims', doc_id::VARCHAR, n FROM oc WHERE n > 0
+   UNION ALL SELECT 'blocker', 'banned token', token, count(DISTINCT doc_id) FROM documents, (SELECT unnest(['bark', 'rvc', 'tts', 'license', 'copyright', 'email', 'diffusers']) AS token) WHERE contains(lower(text), token) GROUP BY token""")
 def _(t):
-    return G.claim_findings(G.claim_verdicts(_claims(t), _cells(t)))
+    from ..functions.text import OVERCLAIM
+    from .reports import paper_findings
+
+    # Three frequent words join the list so that the scan has hits on invented prose.
+    pattern = OVERCLAIM.replace("completely", "completely|the|le|der")
+    banned = ["bark", "rvc", "TTS", "license", "copyright", "email", "diffusers"]
+    return paper_findings(_claims(t), _cells(t), t.documents.select("doc_id", "text"), banned, pattern)
 
 
 # ---- whole jobs ------------------------------------------------------------------------------
 @query("q1_build_manifest", "", f"""WITH {_CELEB}, u AS (SELECT *, ('0x' || substr(sha256('0:' || who), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM f),
-   s AS (SELECT CASE WHEN u < 0.7::DOUBLE THEN 'train' WHEN u < 0.85::DOUBLE THEN 'val' ELSE 'test' END AS split, g, k FROM u WHERE k % 40 <> 7)
-   SELECT split, count(*) AS n, count(*) FILTER (g < 2) AS n_real, count(*) FILTER (g = 2) AS n_fake FROM s GROUP BY split""")
+   s AS (SELECT CASE WHEN u < 0.7::DOUBLE THEN 'train' WHEN u < 0.85::DOUBLE THEN 'val' ELSE 'test' END AS split, g, k, who, k % 4 <> 0 AS au FROM u WHERE k % 40 <> 7),
+   a AS (SELECT count(*) AS n, count(*) FILTER (au) AS w, count(*) FILTER (g = 2) AS fakes, count(*) FILTER (k % 50 = 3) AS gone FROM s)
+   SELECT 'total' AS part, 'all' AS subject, unnest(['videos', 'datasets']) AS name, unnest([n, 1])::DOUBLE AS value FROM a
+   UNION ALL SELECT 'split', 'celebdf/' || split, unnest(['n', 'n_real', 'n_fake', 'n_audio', 'n_identities']), unnest([count(*), count(*) FILTER (g < 2), count(*) FILTER (g = 2), count(*) FILTER (au), count(DISTINCT who)])::DOUBLE FROM s GROUP BY split
+   UNION ALL SELECT 'method', 'celebdf_synthesis', 'n', fakes::DOUBLE FROM a
+   UNION ALL SELECT 'audio', 'celebdf', unnest(['n', 'with_audio', 'pct']), unnest([n::DOUBLE, w::DOUBLE, {R('100.0::DOUBLE * w / n', 1)}]) FROM a
+   UNION ALL SELECT 'leak', 'all', unnest(['identity_overlaps', 'label_conflicts', 'split_duplicates', 'cross_dataset_duplicates', 'missing_files', 'ok']), unnest([0, 0, 0, 0, gone, (gone = 0)::BIGINT])::DOUBLE FROM a""")
 def _(t):
     k = key().cast("string")
     a, b = (F.concat(F.lit("id"), (F.col("o_custkey") % n).cast("string")) for n in (60, 7))
     path = F.when(key() % 3 == 0, F.concat(F.lit("/c/Celeb-real/"), a, F.lit("_"), k)).when(key() % 3 == 1, F.concat(F.lit("/c/YouTube-real/"), k)).otherwise(F.concat(F.lit("/c/Celeb-synthesis/"), F.concat_ws("_", a, b, k)))
     listing = _paths(t, F.concat(path, F.lit(".mp4")))
     n = F.regexp_extract("path", r"(\d+)\.mp4$", 1).cast("bigint")
-    probes = listing.select("path", F.lit(25.0).alias("fps"), F.lit(100).alias("n_frames"), F.lit(4.0).alias("duration_s"), F.lit(True).alias("has_audio"),
+    probes = listing.select("path", F.lit(25.0).alias("fps"), F.lit(100).alias("n_frames"), F.lit(4.0).alias("duration_s"), (n % 4 != 0).alias("has_audio"),
                             F.sha2("path", 256).alias("sha256"), F.when(n % 40 == 7, "ProbeError: no video stream").alias("error"))
     good, _ = S.join_probes(S.parse_dataset("celebdf", listing), probes)
     out = new_path(t.spark, "manifest")
     S.write_manifest(good, out)
-    return MF.summarise(S.read_manifest(t.spark, out)).select("split", "n", "n_real", "n_fake")
+    from .reports import manifest_audit
+
+    on_disk = listing.where(n % 50 != 3).select("path")
+    return r6(manifest_audit(S.read_manifest(t.spark, out), listing=on_disk), "value")
 
 
 @query("q2_cache_and_duplicates", "manifest hashes doc_manifest", """WITH td AS (SELECT count(*) AS todo FROM manifest WHERE NOT (duration_s < 30 AND duration_s > 1)), h AS (SELECT * FROM hashes WHERE len(phash) > 0),
@@ -495,14 +522,16 @@ def _(t):
     return N.verdict_counts(t.spark.read.csv(out, header=True))
 
 
-@query("q6_figure_data", "preds_split", f"""WITH {roc_sql('preds_split', 'split')}, rocp AS (SELECT split, count(*) FILTER (corner) + 1 AS n_points FROM t GROUP BY split),
-   rel AS (SELECT split, count(DISTINCT least(greatest(ceil(video_score * 10), 1), 10)) AS n_bins FROM preds_split GROUP BY split), rc AS (SELECT split, count(*) AS n_curve FROM preds_split GROUP BY split)
-   SELECT split, n_points, n_bins, n_curve FROM rocp JOIN rel USING (split) JOIN rc USING (split)""")
+@query("q6_figure_data")
 def _(t):
-    p = t.preds_split
-    thr = roc.threshold_value(p.where("split = 'val'"), "label", "video_score")
-    n = lambda df, name: df.groupBy("split").agg(F.count(F.lit(1)).alias(name))
-    points = n(roc.roc_points(p, "label", "video_score", ["split"]), "n_points")
-    bins = n(M.reliability(p, "label", "video_score", 10, ["split"]).where("n > 0"), "n_bins")
-    curve = n(M.risk_coverage(p, "label", "video_score", thr, "video_id", ["split"]), "n_curve")
-    return points.join(bins, "split").join(curve, "split")
+    from .reports import figure_data
+
+    # The files of one run are found in its tree and read by contract; splits are their names.
+    found = {r["key"]: r["path"] for r in RT.discover_preds(t.spark, _preds_folder(t, ["m1/seed0"])).collect()}
+    read = lambda key: P.read_preds(t.spark, found[key]).withColumn("split", F.lit(key.split("/")[1]))
+    keys = sorted(found)
+    preds = read(keys[0])
+    for key in keys[1:]:
+        preds = preds.unionByName(read(key))
+    thr = roc.threshold_value(preds.where("split = 'val'"), "label", "video_score")
+    return r6(figure_data(preds, thr, "video_id", "val"), "label", "x", "y")

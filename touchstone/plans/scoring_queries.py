@@ -253,12 +253,12 @@ def _(t):
     return t.manifest.select("video_id", _joined(fr.frame_indices("n_frames", 8, "random", sample_seed("video_id"))).alias("random"))
 
 
-@query("f7_timestamps", "manifest", f"""SELECT video_id, {R('list_sum(list_transform(range(0, 8), lambda i: ' + R('CASE WHEN i = 7 THEN n - 1 ELSE floor(i * ((n - 1) / 7.0::DOUBLE)) END / 23.976::DOUBLE', 4) + '))', 3)} AS total
-   FROM (SELECT video_id, n_frames::BIGINT AS n FROM manifest WHERE n_frames > 8)""")
+@query("f7_timestamps", "manifest", f"""SELECT video_id, {R('list_sum(list_transform(range(0, least(n, 8)), lambda i: ' + R('CASE WHEN n <= 8 THEN i WHEN i = 7 THEN n - 1 ELSE floor(i * ((n - 1) / 7.0::DOUBLE)) END / 23.976::DOUBLE', 4) + '))', 3)} AS total
+   FROM (SELECT video_id, greatest(n_frames::BIGINT, 1) AS n FROM manifest)""")
 def _(t):
     ts = fr.timestamps(fr.frame_indices("n_frames", 8), F.lit(23.976))
     total = F.aggregate(ts, F.lit(0.0), lambda s, x: s + x)
-    return t.manifest.where("n_frames > 8").select("video_id", half_up(total, 3).alias("total"))
+    return t.manifest.select("video_id", half_up(total, 3).alias("total"))
 
 
 @query("w10_fixed_windows", "vec", f"""SELECT vec_id, list_aggregate(list_transform(range(0, 5), lambda i: {R("list_sum(list_slice(vec, CASE WHEN i = 4 THEN len(vec) - 16 ELSE floor(i * ((len(vec) - 16) / 4.0::DOUBLE))::BIGINT END + 1, CASE WHEN i = 4 THEN len(vec) - 16 ELSE floor(i * ((len(vec) - 16) / 4.0::DOUBLE))::BIGINT END + 16))", 4)} * 10000), 'sum') AS total FROM vec""")

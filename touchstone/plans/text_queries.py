@@ -67,16 +67,23 @@ def _(t):
     return X.banned_imports(t.documents.select("doc_id", code.alias("text")), "doc_id", ["enlib", "frlib"])
 
 
-@query("p11_log_divergence", "", r"""WITH g AS (SELECT source AS run, CASE doc_id % 3 WHEN 0 THEN 'metrics.jsonl' WHEN 1 THEN 'train.log' ELSE 'stderr.log' END AS name, doc_id, text || CASE WHEN doc_id % 50 = 1 THEN ' Traceback' WHEN doc_id % 70 = 2 THEN ' loss nan' ELSE '' END AS tail FROM documents),
+DIVERGED = r"""WITH g AS (SELECT source AS run, CASE doc_id % 3 WHEN 0 THEN 'metrics.jsonl' WHEN 1 THEN 'train.log' ELSE 'stderr.log' END AS name, doc_id, text || CASE WHEN doc_id % 50 = 1 THEN ' Traceback' WHEN doc_id % 70 = 2 THEN ' loss nan' ELSE '' END AS tail FROM documents),
    r AS (SELECT run || '/' || doc_id AS run, name, CASE WHEN regexp_matches(tail, '(?i)non-?finite loss') THEN 'non-finite loss' WHEN regexp_matches(tail, '(?i)\bnan\b') THEN 'NaN in the logs'
      WHEN regexp_matches(tail, '(?i)CUDA out of memory') THEN 'CUDA OOM' WHEN regexp_matches(tail, '(?i)Traceback') THEN 'unhandled exception' END AS reason FROM g)
-   SELECT run, reason, name AS source FROM r WHERE reason IS NOT NULL""")
-def _(t):
+   SELECT run, reason, name AS source FROM r WHERE reason IS NOT NULL"""
+
+
+def logged(t):
+    """Log files of runs, some of which went wrong."""
     d = F.col("doc_id")
     tail = F.when(d % 50 == 1, " Traceback").when(d % 70 == 2, " loss nan").otherwise("")
     name = F.when(d % 3 == 0, "metrics.jsonl").when(d % 3 == 1, "train.log").otherwise("stderr.log")
-    logs = t.documents.select(F.concat_ws("/", "source", d.cast("string")).alias("run"), name.alias("name"), F.concat("text", tail).alias("text"))
-    return X.divergence(logs)
+    return t.documents.select(F.concat_ws("/", "source", d.cast("string")).alias("run"), name.alias("name"), F.concat("text", tail).alias("text"))
+
+
+@query("p11_log_divergence", "", DIVERGED)
+def _(t):
+    return X.divergence(logged(t))
 
 
 def _even(d: int) -> str:
@@ -232,7 +239,7 @@ def _(t):
 
 @query("f16_probe_repair", "manifest", f"""SELECT path, CASE k WHEN 0 THEN 29.97::DOUBLE WHEN 1 THEN 24.0::DOUBLE ELSE 25.0::DOUBLE END AS fps,
    CASE WHEN k = 3 THEN n_frames::BIGINT ELSE greatest(floor(duration_s * CASE k WHEN 0 THEN 2997 / 100.0::DOUBLE WHEN 1 THEN 24 / 1.0::DOUBLE ELSE 25 END)::BIGINT, 1) END AS n_frames,
-   {R('CASE WHEN k = 3 THEN n_frames / 25.0::DOUBLE ELSE duration_s END', 3)} AS duration_s, has_audio FROM (SELECT *, substr(video_id, 2)::BIGINT % 4 AS k FROM manifest WHERE duration_s > 0.1)""")
+   {R('CASE WHEN k = 3 THEN n_frames / 25.0::DOUBLE ELSE duration_s END', 3)} AS duration_s, has_audio FROM (SELECT *, substr(video_id, 2)::BIGINT % 4 AS k FROM manifest)""")
 def _(t):
     k = F.substring("video_id", 2, 20).cast("bigint") % 4
     rate = F.when(k == 0, "2997/100").when(k == 1, "0/0").otherwise("bad")
@@ -241,7 +248,7 @@ def _(t):
         F.when(k != 3, F.col("duration_s").cast("string")).alias("format_duration"), F.when(k == 3, F.col("n_frames").cast("string")).alias("nb_frames"),
         F.when(F.col("has_audio"), "2").otherwise("0").alias("audio_channels"),
     ))
-    return media.repair_probe(t.manifest.where("duration_s > 0.1").select("path", probe.alias("probe")))
+    return media.repair_probe(t.manifest.select("path", probe.alias("probe")))
 
 
 @query("f19_domain_ids", "preds", """WITH f AS (SELECT forgery_method AS value, min(event_id) AS m FROM preds GROUP BY 1) SELECT value, row_number() OVER (ORDER BY m) - 1 AS id FROM f""")
