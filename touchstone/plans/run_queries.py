@@ -16,7 +16,7 @@ from ..sources import files, logs, manifests as S
 from ..sources import predictions as P
 from ..sources import runs as RT
 from .fixtures import R, SPLIT
-from .metric_queries import AUC, r6, roc_sql
+from .metric_queries import AUC, CI_HI, CI_LO, CURVE, EER_THR, VAR, Z95, bin15, r6, roc_sql
 from .registry import query
 from .scoring_queries import CAL, SIG
 from .text_queries import DIVERGED as _DIVERGED_SQL
@@ -522,7 +522,24 @@ def _(t):
     return N.verdict_counts(t.spark.read.csv(out, header=True))
 
 
-@query("q6_figure_data")
+_FIG_CURVE = CURVE.replace("dataset", "split").replace("FROM preds)", "FROM fp)").replace("0.3::DOUBLE", "(SELECT thr FROM th)")
+
+
+@query("q6_figure_data", "preds_logit", f"""WITH fp AS MATERIALIZED (SELECT video_id, label, dataset, split, {R(SIG('logit'), 6)} AS video_score FROM preds_logit WHERE split IN ('val', 'test')),
+   fv AS (SELECT 1 AS g, * FROM fp WHERE split = 'val'), {roc_sql('fv', 'g', pre='v')}, th AS (SELECT {EER_THR} AS thr FROM vt),
+   {roc_sql('fp', 'split')}, {roc_sql('fp', 'split, dataset', pre='m')},
+   d AS (SELECT split, {AUC} AS a, {VAR} AS v FROM t GROUP BY split),
+   e AS (SELECT *, ln(a / (1.0::DOUBLE - a + 1e-12) + 1e-12) AS c, sqrt(v) / (a * (1.0::DOUBLE - a) + 1e-12) * {Z95}::DOUBLE AS h FROM d),
+   b AS (SELECT split, {bin15('video_score', 10)} AS bin, count(*) AS k, avg(label::DOUBLE) AS y, avg(video_score) AS s FROM fp GROUP BY 1, 2), {_FIG_CURVE},
+   f AS (SELECT 'roc' AS figure, split AS series, score AS label, fpr AS x, tpr AS y FROM t WHERE corner
+     UNION ALL SELECT DISTINCT 'roc', split, 'infinity'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM t
+     UNION ALL SELECT 'auc', split, NULL, unnest([0.0::DOUBLE, 1, 2]), unnest([a, {CI_LO}, {CI_HI}]) FROM e
+     UNION ALL SELECT 'reliability', split, k, (bin * 0.1::DOUBLE + (bin + 1) * 0.1::DOUBLE) / 2, y FROM b WHERE bin IS NOT NULL
+     UNION ALL SELECT 'ece', split, NULL, NULL, sum(k * abs(y - s)) / sum(k) FROM b GROUP BY split
+     UNION ALL SELECT 'risk', split, rank, coverage, risk FROM rc
+     UNION ALL SELECT 'methods', split || '/' || dataset, NULL, NULL, {AUC} FROM mt GROUP BY split, dataset
+     UNION ALL SELECT 'gap', 'test', NULL, NULL, max(a) FILTER (split = 'val') - max(a) FILTER (split = 'test') FROM d)
+   SELECT figure, series, label, {R('x', 6)} AS x, {R('y', 6)} AS y FROM f""")
 def _(t):
     from .reports import figure_data
 
@@ -533,5 +550,7 @@ def _(t):
     preds = read(keys[0])
     for key in keys[1:]:
         preds = preds.unionByName(read(key))
+    # Scores in files carry the noise of a logit and back; ties are those of six decimals.
+    preds = r6(preds, "video_score")
     thr = roc.threshold_value(preds.where("split = 'val'"), "label", "video_score")
-    return r6(figure_data(preds, thr, "video_id", "val"), "label", "x", "y")
+    return r6(figure_data(preds, thr, "video_id", "val"), "x", "y")
