@@ -230,18 +230,23 @@ def _(t):
     return MF.degrade_manifest(t.manifest, recipes, done).select("video_id", "split", "has_audio", "compression")
 
 
-@query("q7_curation_audit", "manifest", """WITH s AS (SELECT DISTINCT dataset, source_identity, split FROM manifest), a AS (SELECT dataset, count(*) FILTER (has_audio) AS w, count(*) AS n FROM manifest GROUP BY 1),
+@query("q7_curation_audit", "manifest hashes doc_manifest", f"""WITH {_PAIRS}, dc AS (SELECT CASE WHEN a.dataset = b.dataset THEN 'split' ELSE 'dataset' END AS kind
+     FROM np JOIN doc_manifest a ON a.video_id = video_a JOIN doc_manifest b ON b.video_id = video_b WHERE a.dataset <> b.dataset OR a.split <> b.split), s AS (SELECT DISTINCT dataset, source_identity, split FROM manifest), a AS (SELECT dataset, count(*) FILTER (has_audio) AS w, count(*) AS n FROM manifest GROUP BY 1),
    o AS (SELECT a.dataset, a.split || '|' || b.split AS pair, count(*) AS k FROM s a JOIN s b ON a.dataset = b.dataset AND a.source_identity = b.source_identity AND a.split < b.split GROUP BY 1, 2)
    SELECT 'blocker' AS severity, 'identity overlap' AS title, dataset || ':' || pair AS subject, k AS n FROM o
-   UNION ALL SELECT CASE WHEN w = 0 THEN 'info' ELSE 'warn' END, 'audio coverage', dataset, w FROM a WHERE w < n""")
+   UNION ALL SELECT CASE WHEN w = 0 THEN 'info' ELSE 'warn' END, 'audio coverage', dataset, w FROM a WHERE w < n
+   UNION ALL SELECT CASE kind WHEN 'split' THEN 'blocker' ELSE 'warn' END, 'near duplicates', kind, count(*) FROM dc GROUP BY kind""")
 def _(t):
     from .reports import curation_findings
 
-    return curation_findings(t.manifest)
+    return curation_findings(t.manifest, D.classify(t.hashes, t.doc_manifest))
 
 
-@query("q11_degraded_manifest", "manifest", f"SELECT compression, has_audio, count(*) AS n FROM ({_DEGRADED}) GROUP BY 1, 2")
+@query("q11_degraded_manifest", "manifest", f"SELECT compression, has_audio, count(*) AS n FROM ({_DEGRADED} WHERE NOT (recipe = 'hflip' AND duration_s < 5)) GROUP BY 1, 2")
 def _(t):
+    # What was rendered is a table of its own; some clips of a recipe failed.
+    done = t.manifest.withColumn("recipe", F.explode(F.lit(MF.RECIPES))).where("NOT (recipe = 'hflip' AND duration_s < 5)")
+    done = done.withColumn("path", F.concat_ws("/", F.lit("/degraded"), "recipe", "video_id"))
     path = new_path(t.spark, "degraded")
-    S.write_manifest(MF.degrade_manifest(t.manifest, MF.RECIPES), path)
+    S.write_manifest(MF.degrade_manifest(t.manifest, MF.RECIPES, done), path)
     return S.read_manifest(t.spark, path).groupBy("compression", "has_audio").agg(F.count(F.lit(1)).alias("n"))

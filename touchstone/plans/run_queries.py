@@ -18,7 +18,8 @@ from ..sources import runs as RT
 from .fixtures import R, SPLIT
 from .metric_queries import AUC, CI_HI, CI_LO, CURVE, EER_THR, VAR, Z95, bin15, r6, roc_sql
 from .registry import query
-from .scoring_queries import CAL, SIG
+from .scoring_queries import CAL, SCORED, SIG
+from .stream_queries import VAR as _VARIANT_SQL
 from .text_queries import DIVERGED as _DIVERGED_SQL
 from .text_queries import logged
 
@@ -146,11 +147,25 @@ def _(t):
     return df.select("exp", "split", F.col("n_seeds").cast("bigint").alias("n_seeds"), half_up(F.col("auc_mean").cast("double"), 4).alias("auc_mean"))
 
 
-@query("q4_aggregate_runs", "runs", f"WITH {_GAP} SELECT exp, test_set, gap FROM gp")
+@query("q4_aggregate_runs", "runs", f"""WITH {_GAP}
+   SELECT 'gap' AS part, exp || '/' || test_set AS subject, unnest(['in_dataset_auc', 'cross_dataset_auc', 'gap']) AS name, unnest([in_dataset_auc, cross_dataset_auc, gap])::DOUBLE AS value FROM gp
+   UNION ALL SELECT 'flag', exp || '/' || u.flag, 'n_rows', count(*)::DOUBLE FROM runs, LATERAL (SELECT unnest(list_filter([CASE WHEN seed = 1 THEN 'degenerate calibration' END, CASE WHEN exp = 'R' AND seed < 2 THEN 'dirty tree' END], lambda x: x IS NOT NULL)) AS flag) u GROUP BY 1, 2
+   UNION ALL SELECT 'table', exp || '/' || split, unnest(['n_seeds', 'auc_mean']), unnest([n_seeds::DOUBLE, {R('auc_mean', 4)}]) FROM ag""")
 def _(t):
-    runs = RT.collect_runs(t.spark, write_tree(t))
+    from ..functions.numeric import half_up
+    from .reports import long_form
+
+    runs, out = RT.collect_runs(t.spark, write_tree(t)), new_path(t.spark, "results")
+    RT.write_results(runs, out)
+    table = t.spark.read.csv(f"{out}/by_experiment", header=True).withColumn("auc_mean", half_up(F.col("auc_mean").cast("double"), 4))
     base = t.runs.agg(F.min("split").alias("s")).first()["s"]
-    return RN.cross_table(RN.aggregate_seeds(runs), base).select("exp", "test_set", "gap")
+    gaps = RN.cross_table(RN.aggregate_seeds(runs), base)
+    flags = RN.untrustworthy(runs)
+    return (
+        long_form(gaps, "gap", F.concat_ws("/", "exp", "test_set"), ["in_dataset_auc", "cross_dataset_auc", "gap"])
+        .unionByName(long_form(flags, "flag", F.concat_ws("/", "exp", "flag"), ["n_rows"]))
+        .unionByName(long_form(table, "table", F.concat_ws("/", "exp", "split"), ["n_seeds", "auc_mean"]))
+    )
 
 
 @query("q9_run_monitoring", "epochs changes", f"""WITH b AS (SELECT run, count(*) AS epochs, max({{'v': val_auc, 'e': -epoch}}) AS best, max(epoch) AS last FROM epochs GROUP BY run),
@@ -510,16 +525,37 @@ def _(t):
     return todo.crossJoin(rep.select("split_duplicates", "cross_dataset_duplicates"))
 
 
-@query("q5_batch_score", "preds_logit variants", f"""WITH sc AS (SELECT *, {SIG('logit / 1.7::DOUBLE')} AS p, -(abs(logit) / 2 + ln(1.0::DOUBLE + exp(-abs(logit)))) > -0.75::DOUBLE AS ood FROM preds_logit)
-   SELECT CASE WHEN (p >= 0.35 AND p <= 0.45) OR ood THEN 'inconclusive' WHEN p >= 0.4 THEN 'likely_manipulated' ELSE 'likely_authentic' END AS verdict, count(*) AS n FROM sc GROUP BY 1""")
+@query("q5_batch_score", "preds_logit variants", f"""WITH {SCORED}, {_VARIANT_SQL}
+   SELECT video_id, CASE WHEN bad THEN 'error' ELSE verdict END AS verdict, CASE WHEN NOT bad THEN {R('p', 4)} END AS calibrated_prob, 0.35::DOUBLE AS conformal_lo, 0.45::DOUBLE AS conformal_hi, 0.4::DOUBLE AS threshold,
+     CASE WHEN NOT bad THEN ood END AS ood_flag, true AS calibration_reliable, has_audio, 1 AS n_faces_found, (NOT bad AND p >= 0.4)::INT AS n_suspicious_segments, CASE WHEN bad THEN 0 ELSE {R('p', 6)} END AS peak_frame_score,
+     (NOT bad AND ood)::INT AS n_warnings, 'm1' AS model_version, CASE WHEN bad THEN 'ValueError: cannot decode' ELSE '' END AS error, n_scored, n_failed,
+     {R('CASE WHEN n_scored > 0 THEN same / n_scored ELSE 0 END', 4)} AS verdict_agreement, {R('greatest(op, coalesce(hi, op)) - least(op, coalesce(lo, op))', 4)} AS prob_spread,
+     n_scored > 0 AND same = n_scored AND greatest(op, hi) - least(op, lo) <= 0.15 AS stable
+   FROM (SELECT *, event_id % 97 = 0 AS bad FROM rs) LEFT JOIN st USING (video_id)""")
 def _(t):
     from ..operators.scoring import batch_verdicts
-
-    clips = t.preds_logit.select("video_id", F.col("logit").alias("z"))
-    rows = batch_verdicts(clips, lambda pdf: {"logit": pdf["z"].to_numpy()}, CAL, ["video_id"])
+    from .stream_queries import _variants
+
+    def predict(pdf):
+        if (pdf["event_id"] % 97 == 0).any():
+            raise ValueError("cannot decode")
+        return {"logit": pdf["z"].to_numpy()}
+
+    clips = t.preds_logit.select("video_id", "event_id", "has_audio", F.col("logit").alias("z"))
+    scored = batch_verdicts(clips, predict, CAL, ["video_id", "has_audio"])
+    p = F.col("calibrated_prob")
+    results = scored.withColumns(
+        {
+            "conformal_lo": F.lit(CAL.conformal_lo), "conformal_hi": F.lit(CAL.conformal_hi), "threshold": F.lit(CAL.threshold), "calibration_degenerate": F.lit(False),
+            "n_faces_found": F.lit(1), "frame_scores": F.when(p.isNotNull(), F.array(p, p / 2)), "frame_timestamps": F.array(F.lit(0.0), F.lit(1.0)),
+            "warnings": F.when(F.col("ood_flag"), F.array(F.lit("novel input"))), "model_version": F.lit("m1"),
+        }
+    )
+    stable = N.stability(_variants(t)).drop("original_verdict")
+    rows = V.summary(results).join(results.select("video_id", "error"), "video_id").join(stable, "video_id", "left")
     out = new_path(t.spark, "verdicts")
-    logs.write_verdicts(rows.select("video_id", "verdict", "calibrated_prob", "error"), out, "csv")
-    return N.verdict_counts(t.spark.read.csv(out, header=True))
+    logs.write_verdicts(r6(rows, "peak_frame_score"), out, "jsonl")
+    return t.spark.read.schema(rows.schema).json(out)
 
 
 _FIG_CURVE = CURVE.replace("dataset", "split").replace("FROM preds)", "FROM fp)").replace("0.3::DOUBLE", "(SELECT thr FROM th)")
