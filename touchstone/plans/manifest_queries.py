@@ -47,7 +47,7 @@ def _(t):
     return MF.duplicate_keys(t.manifest_bad)
 
 
-@query("p3_column_check")
+@query("p3_column_check", "manifest", "SELECT dataset, count(*) AS n, 'manifest: missing columns [''fps'', ''sha256'']' AS problem FROM manifest GROUP BY dataset")
 def _(t):
     from ..schemas import MANIFEST, SchemaError, require_columns
 

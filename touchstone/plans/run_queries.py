@@ -221,7 +221,7 @@ def _(t):
     return out.select("video_id", F.size("frame_scores").cast("bigint").alias("n"), total.alias("total"))
 
 
-@query("s11_prediction_discovery")
+@query("s11_prediction_discovery", "preds_logit", "SELECT DISTINCT m || '/' || split AS key, 'seed0' AS seed FROM preds_logit, (SELECT unnest(['m1', 'm2']) AS m) WHERE split IN ('val', 'test')")
 def _(t):
     found = RT.discover_preds(t.spark, _preds_folder(t))
     return found.select("key", F.regexp_extract("path", r"(seed\d+)", 1).alias("seed"))

@@ -26,13 +26,28 @@ SCORED = f"""sc AS (SELECT *, {SIG(f'logit / {T0}::DOUBLE')} AS p, {ENERGY} AS e
   rs AS (SELECT *, CASE WHEN abstain OR ood THEN 'inconclusive' WHEN p >= 0.4::DOUBLE THEN 'likely_manipulated' ELSE 'likely_authentic' END AS verdict FROM vd)"""
 
 
-@query("c1_fit_temperature")
+#: Bisection on the slope of the loss in 1/T, in log steps.
+@query("c1_fit_temperature", "preds_logit", f"""WITH RECURSIVE v AS MATERIALIZED (SELECT logit AS z, label AS y FROM preds_logit WHERE split = 'val'),
+   s(i, lo, hi) AS (SELECT 0, ln(1e-3::DOUBLE), ln(1e3::DOUBLE) UNION ALL
+     SELECT s.i + 1, CASE WHEN sum(({SIG('z * exp((lo + hi) / 2)')} - y) * z) > 0 THEN lo ELSE (lo + hi) / 2 END, CASE WHEN sum(({SIG('z * exp((lo + hi) / 2)')} - y) * z) > 0 THEN (lo + hi) / 2 ELSE hi END
+     FROM s, v WHERE s.i < 60 GROUP BY s.i, lo, hi),
+   f AS (SELECT exp(-(lo + hi) / 2) AS temp FROM s ORDER BY i DESC LIMIT 1)
+   SELECT {R(f'least(greatest(temp, {C.T_MIN!r}), {C.T_MAX!r})', 5)} AS temperature, NOT temp BETWEEN {C.T_MIN!r} AND {C.T_MAX!r} AS clamped FROM f""")
 def _(t):
     temp, clamped = C.fit_temperature(t.preds_logit.where("split = 'val'"))
     return t.spark.range(1).select(half_up(F.lit(temp), 5).alias("temperature"), F.lit(clamped).alias("clamped"))
 
 
-@query("c2_fit_vector")
+_SUMS = f"""sum({SIG('z * a + b')} - y) AS gb, sum(({SIG('z * a + b')} - y) * z) AS ga, sum({SIG('z * a + b')} * (1 - {SIG('z * a + b')})) AS hbb,
+     sum({SIG('z * a + b')} * (1 - {SIG('z * a + b')}) * z) AS hab, sum({SIG('z * a + b')} * (1 - {SIG('z * a + b')}) * z * z) AS haa"""
+
+
+@query("c2_fit_vector", "preds_logit", f"""WITH RECURSIVE v AS MATERIALIZED (SELECT logit AS z, label AS y FROM preds_logit WHERE split = 'val'),
+   s(i, a, b) AS (SELECT 0, 1.0::DOUBLE, 0.0::DOUBLE UNION ALL
+     SELECT i + 1, a - da * least(1, 5 / greatest(abs(da), abs(db), 1e-9)), b - db * least(1, 5 / greatest(abs(da), abs(db), 1e-9)) FROM (
+       SELECT i, a, b, (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS da, (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS db
+       FROM (SELECT s.i, a, b, {_SUMS} FROM s, v WHERE s.i < 25 GROUP BY s.i, a, b)))
+   SELECT {R('a', 5)} AS a, {R('b', 5)} AS b FROM s ORDER BY i DESC LIMIT 1""")
 def _(t):
     a, b = C.fit_vector(t.preds_logit.where("split = 'val'"))
     return t.spark.range(1).select(half_up(F.lit(a), 5).alias("a"), half_up(F.lit(b), 5).alias("b"))

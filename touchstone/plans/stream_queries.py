@@ -13,7 +13,7 @@ from ..streaming.tables import appended, as_arrivals, as_stream, final_counts, f
 from .fixtures import R
 from .metric_queries import r6
 from .registry import query
-from .scoring_queries import CAL, SCORED
+from .scoring_queries import CAL, ENERGY, SCORED, SIG
 
 RES = f"{SCORED}, res AS (SELECT *, user_id % 9 AS n_faces_found FROM rs)"
 
@@ -253,7 +253,12 @@ def _(t):
     return N.stability(_variants(t))
 
 
-@query("x4_variant_scorer")
+@query("x4_variant_scorer", "variants", f"""WITH z AS (SELECT video_id, variant, error, prob * 4 - 2 AS logit FROM variants), sc AS (SELECT *, {SIG('logit / 1.7::DOUBLE')} AS p, {ENERGY} AS e FROM z),
+   vd AS (SELECT video_id, variant, error, CASE WHEN error <> '' THEN 0 ELSE p END AS prob, CASE WHEN error <> '' THEN 'error' WHEN (p >= 0.35 AND p <= 0.45) OR e > -0.75 THEN 'inconclusive' WHEN p >= 0.4 THEN 'likely_manipulated' ELSE 'likely_authentic' END AS verdict FROM sc),
+   o AS (SELECT video_id, verdict AS ov, prob AS op FROM vd WHERE variant = 'orig'),
+   st AS (SELECT video_id, any_value(op) AS op, any_value(ov) AS ov, count(*) FILTER (variant <> 'orig' AND error = '') AS n_scored, count(*) FILTER (variant <> 'orig' AND error <> '') AS n_failed,
+     count(*) FILTER (variant <> 'orig' AND error = '' AND verdict = ov) AS same, max(prob) FILTER (variant <> 'orig' AND error = '') AS hi, min(prob) FILTER (variant <> 'orig' AND error = '') AS lo FROM vd JOIN o USING (video_id) GROUP BY video_id)
+   SELECT n_scored > 0 AND same = n_scored AND greatest(op, hi) - least(op, lo) <= 0.15 AS stable, count(*) AS n, sum(n_failed)::BIGINT AS n_failed FROM st GROUP BY 1""")
 def _(t):
     from ..operators.scoring import batch_verdicts
 

@@ -13,7 +13,7 @@ from ..operators import manifest as MF
 from ..operators import sampling
 from ..sources import manifests as S
 from .fixtures import H, R
-from .metric_queries import r6
+from .metric_queries import EER_THR, r6, roc_sql
 from .registry import query
 
 
@@ -231,7 +231,7 @@ def _(t):
     return t.manifest.select("video_id", S.deeperforensics_tag(folder).alias("tag"), S.lavdf_method("has_audio", F.col("fps") > 20, "label").alias("method"))
 
 
-@query("f15_config_flatten")
+@query("f15_config_flatten", "manifest", """SELECT dataset AS "data.name", array_to_string([1, 2], ',') AS "data.seeds", count(*) AS n FROM manifest GROUP BY dataset""")
 def _(t):
     cfg = F.struct(F.struct(F.col("dataset").alias("name"), F.array(F.lit(1), F.lit(2)).alias("seeds")).alias("data"), F.col("fps").alias("fps"))
     return media.flatten_config(t.manifest.select("video_id", cfg.alias("cfg")), "cfg").groupBy("`data.name`", "`data.seeds`").agg(F.count(F.lit(1)).alias("n"))
@@ -315,7 +315,18 @@ def _(t):
     return G.failure_findings(p, 0.3, "video_score", ["forgery_method", "compression"])
 
 
-@query("q8_failure_diagnosis")
+_AXES = "forgery_method compression dataset has_audio".split()
+
+
+@query("q8_failure_diagnosis", "preds_split", f"""WITH fv AS MATERIALIZED (SELECT 1 AS g, * FROM preds_split WHERE split = 'val'), {roc_sql('fv', 'g')}, th AS (SELECT {EER_THR} AS thr FROM t),
+   j AS (SELECT *, (video_score >= thr)::INT = label AS ok, (video_score >= 0.25 AND video_score <= 0.35) AS abstain FROM fv, th),
+   a AS (SELECT count(*) AS n, avg(ok::INT) AS o, avg(ok::INT) FILTER (NOT abstain) AS k, count(*) FILTER (NOT abstain) AS kept, avg(abstain::INT) AS held FROM j),
+   l AS (SELECT ok, unnest({_AXES}) AS axis, unnest([{', '.join(f'{x}::VARCHAR' for x in _AXES)}]) AS value FROM j), s AS (SELECT axis, value, avg(ok::INT) AS acc FROM l GROUP BY 1, 2 HAVING count(*) >= 5),
+   e AS (SELECT quantile_cont(event_id::DOUBLE, [0.25, 0.5, 0.75]) AS e FROM j), b AS (SELECT len(list_filter(e, lambda x: event_id > x)) AS bin, avg(ok::INT) AS acc FROM j, e GROUP BY 1 HAVING count(*) >= 5)
+   SELECT 'warn' AS severity, 'weak slice' AS title, axis || '=' || value AS subject, {R('acc', 4)} AS value FROM s, a WHERE o - acc > 0.1 QUALIFY acc = min(acc) OVER (PARTITION BY axis)
+   UNION ALL SELECT 'info', 'missed fakes', 'all', count(*) FILTER (label = 1 AND NOT ok)::DOUBLE FROM j UNION ALL SELECT 'info', 'false accusations', 'all', count(*) FILTER (label = 0 AND NOT ok)::DOUBLE FROM j
+   UNION ALL SELECT CASE WHEN k - o > 0.01 THEN 'info' ELSE 'warn' END, 'abstention lift', 'all', {R('k - o', 4)} FROM a WHERE held > 0
+   UNION ALL SELECT 'warn', 'accuracy varies', 'event_id', {R('max(acc) - min(acc)', 4)} FROM b HAVING count(*) >= 2 AND max(acc) - min(acc) > 0.12""")
 def _(t):
     from ..operators import roc
 
