@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,21 @@ def test_a_block_is_only_used_on_request(spark):
     assert D.class_links(D.classes(df, block_bits=16)).collect() == []
 
 
+def test_common_frames_bring_no_pairs_together(spark):
+    """Two frames that every clip has, and bands that many share: what is left of the keys grows with the links."""
+    rng = np.random.default_rng(12)
+    clips = {f"v{i}": [11, 22, *(int(x) for x in rng.integers(-(2**62), 2**62, 5))] for i in range(300)}
+    for i in range(0, 20, 2):  # ten true pairs: three frames more or less alike
+        clips[f"v{i + 1}"][4] = clips[f"v{i}"][4] ^ 5
+    df = spark.createDataFrame([(k, v) for k, v in clips.items()], "video_id string, phash array<bigint>")
+    got = {(r["rep_a"], r["rep_b"]) for r in D.near_duplicates(df).collect()}
+    assert got == {tuple(sorted((f"v{i}", f"v{i + 1}"))) for i in range(0, 20, 2)}
+    each = df.selectExpr("video_id AS rep", "0L AS block", "inline(flatten(transform(sequence(0, 6), p -> transform(sequence(0, 6), i -> struct(p, i, " + D._band("phash[p]", "i", 7) + " AS v, phash[p] AS h)))))")
+    counted = each.groupBy("p", "i", "v").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    left = D.rarest_first(each.join(counted, ["p", "i", "v"]), 3)
+    assert left.where("p < 2").isEmpty() and left.agg(F.max("m")).first()[0] < 20
+
+
 @pytest.mark.parametrize("hot_key", [2, 10, 500])
 def test_near_duplicates_equal_brute_force(spark, planted, hot_key):
     """Hot keys are refined by a second position; no pair may get lost on the way."""

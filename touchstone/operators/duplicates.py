@@ -4,9 +4,13 @@ Two clips match when at least ``min_frames`` positions differ by at most ``thres
 bits. Exact copies are folded into one *class* first, so a flood of copies costs one
 row. Between classes, candidates come from exact keys instead of all pairs of a block:
 a position within ``threshold`` bits must agree on one of ``threshold + 1`` bands of
-the signature, and of ``min_frames`` matching positions at least one lies past the
-first ``min_frames - 1``. Keys shared by very many classes are split by a second
-position's band, which every true match must share as well. Nothing is capped.
+the signature.
+
+A match shares keys at ``min_frames`` positions. Its rarest shared key therefore has, in
+either class, ``min_frames - 1`` other positions with a key that is less rare. Keys
+without that many are left out: a frame that all clips have in common, or two of them,
+bring no pair together. Keys that are still shared by very many classes are split by a
+second position's band, which every true match must share as well. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -46,6 +50,22 @@ def members(hashes: DataFrame) -> DataFrame:
     return hashes.join(reps, "phash").select("rep", "video_id")
 
 
+def rarest_first(keys: DataFrame, min_frames: int) -> DataFrame:
+    """Keys that can be the rarest of ``min_frames`` shared ones: a prefix filter over positions.
+
+    Keys have one order, by the number ``m`` of classes that share them. A key stays if
+    ``min_frames - 1`` other positions of its class have a later one; the latest keys of
+    ``min_frames`` positions tell that.
+    """
+    if min_frames < 2:
+        return keys
+    order = "struct(m, p, i, v)"
+    latest = keys.groupBy("rep", "p").agg(F.expr(f"max({order})").alias("o"))
+    tops = latest.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list("o"), asc=False), 1, min_frames).alias("tops"))
+    others = f"filter(tops, o -> o.p <> p)[{min_frames - 2}]"
+    return cut(keys.join(tops, "rep").where(f"size(tops) >= {min_frames} AND {others} > {order}").drop("tops"), "keys")
+
+
 def class_links(
     cls: DataFrame, threshold: int = 6, min_frames: int = 3, hot_key: int = HOT_KEY
 ) -> DataFrame:
@@ -53,12 +73,10 @@ def class_links(
     bands = threshold + 1
     cls = cut(cls.where(F.size("phash") >= min_frames), "classes")
     each = f"transform(sequence(0, {bands - 1}), i -> struct(p, i, {_band('phash[p]', 'i', bands)} AS v, phash[p] AS h))"
-    keys = cls.selectExpr(
-        "rep", "block", f"inline(flatten(transform(sequence({min_frames - 1}, size(phash) - 1), p -> {each})))"
-    )
+    keys = cls.selectExpr("rep", "block", f"inline(flatten(transform(sequence(0, size(phash) - 1), p -> {each})))")
     at = ["block", "p", "i", "v"]
     counted = keys.groupBy(*at).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    keys = cut(keys.join(counted, at), "keys")
+    keys = rarest_first(cut(keys.join(counted, at), "keys"), min_frames)
 
     def close(on: list[str], signatures: list[str]) -> str:
         """Both sides agree on a key, and their signatures there are within the threshold."""

@@ -122,8 +122,10 @@ class Tables:
             F.transform(pieces, lambda x: F.substring(F.sha2(x, 256), 1, 2)).alias("bytes"),
         )
         m = F.size("bytes")
-        ks = F.when(m >= 8, F.sequence(F.lit(0), F.ceil(m / 8).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-        word = lambda k: F.conv(F.array_join(F.slice("bytes", F.least(k * 8, m - 8) + 1, 8), ""), 16, -10).cast("bigint")
+        # Fewer than eight bytes are filled up with zeros.
+        ks = F.when(m > 0, F.sequence(F.lit(0), F.ceil(m / 8).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+        taken = lambda k: F.slice("bytes", F.greatest(F.least(k * 8, m - 8), F.lit(0)) + 1, 8)
+        word = lambda k: F.conv(F.rpad(F.array_join(taken(k), ""), 16, "0"), 16, -10).cast("bigint")
         # Signatures are a stored table; a filter on them would work them out per element.
         return cut(docs.select("video_id", F.transform(ks, word).alias("phash")), "hashes")
 
@@ -344,8 +346,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "hashes": (
         (),
         """SELECT 'd' || doc_id AS video_id,
-            list_transform(range(0, CASE WHEN len(bytes) < 8 THEN 0 ELSE (len(bytes) + 7) // 8 END),
-              lambda k: ('0x' || array_to_string(bytes[least(k * 8, len(bytes) - 8) + 1 : least(k * 8, len(bytes) - 8) + 8], ''))::UBIGINT) AS phash
+            list_transform(range(0, (len(bytes) + 7) // 8),
+              lambda k: ('0x' || rpad(array_to_string(bytes[greatest(least(k * 8, len(bytes) - 8), 0) + 1 : greatest(least(k * 8, len(bytes) - 8), 0) + 8], ''), 16, '0'))::UBIGINT) AS phash
             FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '(?s).{1,25}'), lambda x: substr(sha256(x), 1, 2)) AS bytes FROM documents)""",
     ),
     "doc_manifest": (
