@@ -435,7 +435,15 @@ def _(t):
     return M.cross_gap(roc.auc(t.preds_split, "label", "video_score", ["dataset", "split"]).withColumnRenamed("dataset", "exp"))
 
 
-@query("q3_evaluate_run", "preds_split", RUN_SQL)
+@query("q3_evaluate_run", "preds_split", f"""WITH rep AS ({RUN_SQL}) SELECT rep.*, CASE WHEN name <> 'val' AND NOT contains(name, '/') THEN {R('base - auc', 4)} END AS gap
+   FROM rep, (SELECT max(auc) FILTER (name = 'val') AS base FROM rep)""")
 def _(t):
+    from ..session import new_path
+    from ..sources.runs import write_reports
+
     p = t.preds_split.withColumn("abstain", F.col("video_score").between(0.25, 0.35))
-    return report(M.evaluate_run(p, keys=["forgery_method", "compression"])).orderBy("name")
+    found, path = M.evaluate_run(p, keys=["forgery_method", "compression"]), new_path(t.spark, "reports")
+    write_reports(found, path)
+    stored = report(t.spark.read.schema(found.schema).json(f"{path}/json"))
+    gaps = M.cross_gap(stored.withColumn("exp", F.lit("run")), split="name").select(F.col("test_set").alias("name"), "gap")
+    return stored.join(gaps, "name", "left").orderBy("name")

@@ -222,17 +222,43 @@ def _(t):
     return tail.select("run", "epochs", F.round("best.val_auc", 4).alias("best"), best.alias("best_epoch"), (F.col("last") - best).alias("stalled_epochs"))
 
 
-@query("q12_live_monitor", "preds_logit uploads", f"""WITH {RES}, {POLICY} SELECT 'verdict' AS metric, verdict AS key, count(*) AS n FROM res GROUP BY verdict
+@query("q12_live_monitor", "preds_logit uploads changes requests", f"""WITH {RES}, {POLICY}, {_STATE}, {_ARRIVALS}
+   SELECT 'verdict' AS metric, verdict AS key, count(*) AS n FROM res GROUP BY verdict
+   UNION ALL SELECT 'abstained', 'all', count(*) FILTER (verdict = 'inconclusive') FROM res UNION ALL SELECT 'ood', 'all', count(*) FILTER (ood) FROM res
+   UNION ALL SELECT 'probability', le::VARCHAR, n FROM ({_le('SELECT p AS v FROM res', N.PROB_EDGES)}) WHERE le <= 1
+   UNION ALL SELECT 'job', state, count(*) FROM js GROUP BY state UNION ALL SELECT 'queue', 'depth', count(*) FILTER (state IN ('queued', 'running')) FROM js
+   UNION ALL SELECT 'rate', client::VARCHAR, count(*) FROM (SELECT client, start FROM r WHERE closed AND NOT late GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY client
    UNION ALL SELECT 'reject', reason, count(*) FROM pol WHERE reason IS NOT NULL GROUP BY reason
-   UNION ALL SELECT 'ood', 'all', count(*) FILTER (ood) FROM res""")
+   UNION ALL SELECT 'scored', 'all', count(*) FROM res""")
 def _(t):
-    counts = final_counts(L.verdict_counts(as_stream(results(t), "ts")))
+    """Verdicts, novelty, probabilities, jobs, queue, rate breaches, rejects and scored clips, each from its stream."""
+    feed = results(t)
+    counts = final_counts(L.verdict_counts(as_stream(feed, "ts")))
+    slots = final_counts(L.slot_counts(as_stream(feed, "ts"), F.col("calibrated_prob"), N.PROB_EDGES))
+    jobs = final_updates(J.latest_state(as_stream(t.changes, "ts")), ["job_id"])
+    breaches = appended(L.rate_windows(by_week(t.requests, F.col("seq") % 40 == 0), 60, limit=1))
     rejects = final_counts(L.reject_counts(as_stream(t.uploads, "ts")))
-    return (
-        counts.select(F.lit("verdict").alias("metric"), F.col("verdict").alias("key"), "n")
-        .unionByName(rejects.select(F.lit("reject").alias("metric"), F.col("reason").alias("key"), "n"))
-        .unionByName(counts.agg(F.sum("n_ood").alias("n")).select(F.lit("ood").alias("metric"), F.lit("all").alias("key"), "n"))
-    )
+    scored = appended(V.score_logits(as_stream(t.preds_logit.select("ts", "video_id", "logit"), "ts"), CAL).select("video_id"))
+
+    def rows(df, metric, key, n="n"):
+        return df.select(F.lit(metric).alias("metric"), key.cast("string").alias("key"), F.col(n).cast("bigint").alias("n"))
+
+    count = F.count(F.lit(1)).alias("n")
+    parts = [
+        rows(counts, "verdict", F.col("verdict")),
+        rows(counts.agg(F.coalesce(F.sum("n_abstained"), F.lit(0)).alias("n")), "abstained", F.lit("all")),
+        rows(counts.agg(F.coalesce(F.sum("n_ood"), F.lit(0)).alias("n")), "ood", F.lit("all")),
+        rows(L.cumulative(slots, N.PROB_EDGES).where("le <= 1"), "probability", F.col("le")),
+        rows(jobs.groupBy("state").agg(count), "job", F.col("state")),
+        rows(N.queue_depth(jobs), "queue", F.lit("depth"), "depth"),
+        rows(breaches.groupBy("client").agg(count), "rate", F.col("client")),
+        rows(rejects, "reject", F.col("reason")),
+        rows(scored.agg(count), "scored", F.lit("all")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 VAR = """sv AS (SELECT video_id, variant, prob, error, CASE WHEN prob >= 0.35 AND prob <= 0.45 THEN 'inconclusive' WHEN prob >= 0.4 THEN 'likely_manipulated' ELSE 'likely_authentic' END AS verdict FROM variants),
