@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -39,8 +40,10 @@ def test_word_memory_equals_the_library():
     rng = random.Random(4)
     parts = ["It's", "don't", "ABC", "É", "é", "İ", "Σ", "<|endoftext|>", "<|EndOfText|>", "a1b2", "...", "**", "'s", "\t", " ", "\x1c", "́", "ﬁ", "\n", " ", "  ", "x.,", "—", "你", "\x01"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(500)] + ["", " ", "\n"]
-    mine = tokenfiles.WordIds(WORDS).encode(texts)
-    for t, a, b in zip(texts, mine, library_ids(texts)):
+    words = tokenfiles.WordIds(WORDS)
+    flat, counts = words.encode(pa.array([*texts, None]))
+    assert counts[-1] == 0 and len(words.encode(pa.array([], pa.string()))[1]) == 0
+    for t, a, b in zip(texts, np.split(flat, np.cumsum(counts)), library_ids(texts)):
         assert a.tolist() == b.tolist()[:-1], t
 
 

@@ -8,20 +8,23 @@ exclude an id.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from .common import map_arrow, texts_of
+from .common import map_arrow
 from .order import ordered
 
 END_ID = 2
 #: Distinct words whose ids a Python worker remembers.
 WORDS_CACHED = 700_000
+#: Words whose ids are gathered in one go.
+WORDS_AT_ONCE = 1 << 20
+#: Texts are encoded together up to so many bytes, so that words repeat.
+BATCH_BYTES = 8 << 20
 _SUFFIX = b".,!*&%$#|"
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 _MARK = "\x01"
@@ -56,9 +59,9 @@ class WordIds(dict):
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Encode unknown words that hold more than ASCII letters together, marks between."""
-        bases = {w.rstrip(_SUFFIX) for w in words}
+        bases = {w.rstrip(_SUFFIX) for w in words if not w.isascii()}
         open_ = [w for w in bases if w and not w.isascii() and w not in self]
         if len(self.mark) != 1 or len(open_) < 2 or any(b"\x01" in w for w in open_):
             return
@@ -69,18 +72,55 @@ class WordIds(dict):
             for i, (w, p) in enumerate(zip(open_, parts)):
                 self[w] = p[1 if i else 0 :].tobytes()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, number of ids of each text).
+
+        Words are split and told apart by Arrow; Python sees each distinct word of a batch once.
+        """
         if len(self) > WORDS_CACHED:
             self.clear()
-        split, whole = [], {}
-        for i, t in enumerate(texts):
-            if "<|" in t:  # may hold special tokens, which are told by case
-                whole[i] = self.direct(t)
-                split.append([])
-            else:
-                split.append([w for w in t.encode().lower().replace(b"\n", b" ").split(b" ") if w])
-        self.learn(set(chain.from_iterable(split)) - self.keys())
-        return [np.frombuffer(whole.get(i) or b"".join(map(self.__getitem__, words)), np.uint32) for i, words in enumerate(split)]
+        texts = texts.fill_null("")
+        if not len(texts):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        special = pc.match_substring(texts, "<|")  # may hold special tokens, which are told by case
+        plain = pc.ascii_lower(pc.if_else(special, "", texts))
+        split = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
+        words = split.flatten().cast(pa.binary()).dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn([w for w in distinct if w not in self])
+        ids = [self[w] for w in distinct]
+        held, size = np.frombuffer(b"".join(ids), np.uint32), np.array([len(x) // 4 for x in ids], np.int64)
+        first = np.cumsum(size) - size
+        at = words.indices.to_numpy()
+        flat = [held[_ranges(first[part], size[part])] for part in np.split(at, range(WORDS_AT_ONCE, len(at), WORDS_AT_ONCE))]
+        ends = np.concatenate([[0], np.cumsum(size[at])])[split.offsets.to_numpy()]
+        flat, counts = np.concatenate(flat), np.diff(ends)
+        whole = np.flatnonzero(special.to_numpy(zero_copy_only=False))
+        if len(whole):
+            parts = np.split(flat, ends[1:-1])
+            for i in whole:
+                parts[i] = np.frombuffer(self.direct(texts[int(i)].as_py()), np.uint32)
+            flat, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return flat, counts
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each range, end to end."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
+
+
+def _gathered(batches):
+    """Record batches joined until they hold BATCH_BYTES."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -102,10 +142,10 @@ def encode(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
     def run(batches):
         known = encoder(path)
-        for b in batches:
-            ids = [np.append(x, np.uint32(end_id)).view(np.int32) for x in known.encode(texts_of(b))]
-            ends = np.cumsum([0] + [len(x) for x in ids])
-            flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
+        for b in _gathered(batches):
+            flat, counts = known.encode(b.column("text"))
+            flat = pa.array(np.insert(flat, np.cumsum(counts), end_id).view(np.int32), pa.int32())
+            ends = np.concatenate([[0], np.cumsum(counts + 1)])
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("at"), pa.array(np.diff(ends), pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
                 ["doc_id", "at", "n_tokens", "ids"])
