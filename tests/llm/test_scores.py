@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 
 import numpy as np
@@ -145,3 +146,18 @@ def test_odd_rows(spark, docs, empty):
     assert [s["kind"] for s in spans[6]] == ["assign", "hex", "access"] and spans[3] == [] == spans[2]
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs, net).collect()}
     assert clean[6] == "x [SECRET]\" y [SECRET] z" and clean[3] is None and clean[4] == "one"
+
+
+def test_hits_inside_exceptions_equal_a_naive_search():
+    rng = random.Random(3)
+    lexicon = toxicity.Lexicon({" bad ": 2.0, " awful": 1.5, " ugly ": 3.0}, {" not bad ", " bad luck ", " awful nice "})
+    machine = lexicon.automaton()
+    for _ in range(300):
+        folded = toxicity.fold_text(" ".join(rng.choice(["bad", "awful", "awfully", "ugly", "not", "luck", "nice"]) for _ in range(rng.randrange(30))))
+        spans = [(i, i + len(p)) for p in lexicon.exceptions for i in range(len(folded)) if folded.startswith(p, i)]
+        found = [(i, len(e), w) for e, w in lexicon.weights.items() for i in range(len(folded)) if folded.startswith(e, i)]
+        want = sorted(h for h in found if not any(a <= h[0] and h[0] + h[1] <= b for a, b in spans))
+        assert lexicon.measure(machine, folded)[1] == want
+    started = time.process_time()
+    assert lexicon.measure(machine, "not bad " * 200_000)[1] == []
+    assert time.process_time() - started < 20

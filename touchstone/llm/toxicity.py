@@ -100,11 +100,14 @@ class Lexicon:
                 spared.append((start, end))
             elif best.get(start, (0, 0))[0] < size:
                 best[start] = (size, w)
-        hits = [
-            (s, size, w)
-            for s, (size, w) in sorted(best.items())
-            if not any(a <= s and s + size - 1 <= b for a, b in spared)
-        ]
+        spared.sort()
+        hits, at, far = [], 0, -1
+        for s, (size, w) in sorted(best.items()):
+            while at < len(spared) and spared[at][0] <= s:
+                far = max(far, spared[at][1])
+                at += 1
+            if s + size - 1 > far:
+                hits.append((s, size, w))
         total = sum(w for _, _, w in hits)
         top = max((w for _, _, w in hits), default=0.0)
         strong = sum(w >= 2.5 for _, _, w in hits)
