@@ -80,6 +80,17 @@ def test_near_duplicates_of_odd_rows(docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    near = b.replace("b39", "other")
+    rows = [(1, a), (1, b), (9, b), (11, near), (20, a), (21, a), (0, near)]
+    got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).select("doc_id", "component_id", "kept").collect())
+    assert got == [(0, 0, True), (1, 0, False), (1, 1, True), (9, 0, False), (11, 0, False), (20, 1, False), (21, 1, False)]
+    rows = rows[:-1]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert all(r["component_id"] == 1 and r["kept"] == (r["doc_id"] == 1) for r in got) and len(got) == 6
+
+
 def test_odd_sketch_estimates_similarity():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**63, 2000).astype(np.uint64))

@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import cut
 from .common import map_arrow, texts_of
@@ -210,8 +211,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     Links have ``den * |a & b| >= num * |a | b|``; a component is named by its smallest
     doc_id, whose row is kept. Null texts and texts without words have no shingles, link
-    with nothing and are kept. Rows that repeat an id share its component; if their texts
-    differ, the one with the smallest key takes part. A row with a null id takes the component of its class, if that has one, and is kept only if not.
+    with nothing and are kept. Rows count one by one: if an id repeats with equal texts, its
+    rows share a component; if with others, each goes with its own text, and ids that lead
+    two components are kept in both. A row with a null id takes the component of its class,
+    if that has one, and is kept only if not.
     An empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
@@ -219,17 +222,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     sigs = cut(signatures(docs, words), "signatures")
     full = sigs.where("n > 0")
     classes = full.groupBy("k1", "k2", "n").agg(
-        F.min("doc_id").alias("node"), F.min_by(F.struct("bands", "odd"), F.col("doc_id")).alias("s")
+        F.min("doc_id").alias("first"), F.min_by(F.struct("bands", "odd"), F.col("doc_id")).alias("s")
     )
-    reps = classes.where("node IS NOT NULL").select("k1", "k2", "n", "node", "s.bands", "s.odd")
-    reps = cut(reps.groupBy("node").agg(F.min(F.struct("k1", "k2", "n", "bands", "odd")).alias("s")).select("node", "s.*"), "classes")
+    # An id with several texts leads several classes: all but the first get a node of their own.
+    nth = F.row_number().over(Window.partitionBy("first").orderBy("k1", "k2", "n"))
+    named = classes.where("first IS NOT NULL").select("k1", "k2", "n", "first", "s.bands", "s.odd").withColumn("nth", nth)
+    node = F.when(F.col("nth") == 1, F.col("first")).otherwise(F.xxhash64("first", "k1", "k2", "n"))
+    reps = cut(named.withColumn("node", node), "classes")
 
     keyed = reps.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = cut(keyed.join(shared, "key"), "members")
     wanted = members.select("node").distinct()
-    texts = docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    sets = shingle_sets(texts, words).join(reps.select("node", "k1"), ["node", "k1"], "left_semi")
+    led = reps.select("node", "first", "k1").join(wanted, "node", "left_semi")
+    texts = docs.join(led.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    sets = shingle_sets(texts, words).withColumnRenamed("node", "first").join(led, ["first", "k1"])
     sets = cut(sets.dropDuplicates(["node"]).select("node", "shingles"), "sets")
     # Shingles that one candidate alone has; two sets with one hash would only hide one.
     private = (
@@ -260,31 +267,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     stay = comps.select(F.col("node").alias("pivot"), F.col("comp").alias("main"))
     mixed = pivots.join(stay, "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
     open_ = m.join(mixed, "key").where("comp != main AND room >= n_min AND room_max >= n")
-    crossing = _crossing(open_.where(f"c <= {HOT}"), m)
+    keys = reps.select("node", "bands")
+    crossing = _crossing(open_.where(f"c <= {HOT}"), m, keys)
     hot = open_.where(f"c > {HOT}")
     if hot.limit(1).count():
-        crossing = crossing.union(_hot_crossing(cut(hot, "hot"), m, sets, num, den)).distinct()
+        crossing = crossing.union(_hot_crossing(cut(hot, "hot"), m, keys, sets, num, den)).distinct()
     more = cut(_confirmed(_possible(crossing, info, least, num, den), sets, num, den), "links")
     if more.limit(1).count():
         comps = components(found.union(more))
 
-    named = reps.select("k1", "k2", "n", "node").join(comps, "node", "left").select("k1", "k2", "n", F.coalesce("comp", "node").alias("comp"))
+    named = reps.select("k1", "k2", "n", "node", "first").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    own = reps.where("nth > 1").select("node").limit(1).count()
+    if own:  # components may be led by such a node
+        names = named.groupBy("comp").agg(F.min("first").alias("name"))
+        named = named.join(names, "comp").withColumn("comp", F.col("name"))
+    named = named.select("k1", "k2", "n", "comp")
     out = sigs.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _crossing(open_: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b): open nodes and the members of their buckets that are in other components and have room."""
-    left = open_.select("key", "pivot", F.col("node").alias("a"), F.col("n").alias("na"), F.col("room").alias("ra"), F.col("comp").alias("ca"))
-    right = members.join(open_.select("key").distinct(), "key", "left_semi").select(
-        "key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("room").alias("rb"), F.col("comp").alias("cb")
+def _crossing(open_: DataFrame, members: DataFrame, bands: DataFrame) -> DataFrame:
+    """(a, b): open nodes and the members of their buckets that are in other components and have room.
+
+    Near copies share many buckets; a pair is taken in the first of those in which ``a`` is open.
+    """
+    where = open_.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("at"))
+    left = open_.join(where, "node").select("at","key", "pivot", F.col("node").alias("a"), F.col("n").alias("na"), F.col("room").alias("ra"), F.col("comp").alias("ca"))
+    right = members.join(open_.select("key").distinct(), "key", "left_semi").join(bands, "node").select(
+        "key", "bands", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("room").alias("rb"), F.col("comp").alias("cb")
     )
-    pairs = left.join(right, "key").where("ca != cb AND na <= rb AND nb <= ra AND b != pivot")
+    pairs = left.join(right, "key").where("ca != cb AND na <= rb AND nb <= ra AND b != pivot AND array_intersect(at, bands)[0] = key")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _hot_crossing(hot: DataFrame, members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _hot_crossing(hot: DataFrame, members: DataFrame, bands: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The same for hot buckets, by rare and common shingles."""
     keys = hot.select("key").distinct()
     inside = cut(members.join(keys, "key", "left_semi"), "hot")
@@ -299,7 +316,7 @@ def _hot_crossing(hot: DataFrame, members: DataFrame, sets: DataFrame, num: int,
     narrow = inside.drop("room").join(nodes.select("node", "room"), "node")
     bounds = narrow.groupBy("key").agg(F.min("n").alias("n_min"), F.max("room").alias("room_max"))
     still = hot.select("key", "pivot", "node").join(narrow, ["key", "node"]).join(bounds, "key").where("room >= n_min AND room_max >= n")
-    plain = _crossing(still, narrow)
+    plain = _crossing(still, narrow, bands)
     # With one: counted per pair.
     side = lambda s, frame: frame.join(nodes, "node").select("h", *[F.col(k).alias(f"{k}_{s}") for k in ("node", "n", "comp", "rare")])
     shared = rare.where("df > 1").select("h", "node")
