@@ -2,8 +2,8 @@
 
 import hashlib
 import random
-import time
 import re
+import time
 
 import numpy as np
 import pytest
