@@ -50,11 +50,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that sources meet their targets.
 
     A document comes once for every pass that takes any of its words, so that no text is
-    cut; documents that the schedule does not reach, and those without words, go.
+    cut; documents that the schedule does not reach, and those without words, go. Rows are told
+    apart by id and text, null ids included; equal rows come equally often.
     """
-    plan = mixing.mix(docs.select("doc_id", "text", "source")).documents
-    times = plan.where("taken > 0").groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).alias("_times"))
-    again = docs.join(times, "doc_id").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    key = F.xxhash64("text").alias("_text")
+    plan = mixing.mix(docs.select("doc_id", "text", "source", key)).documents
+    times = plan.where("taken > 0").groupBy(F.col("doc_id").alias("_id"), "_text").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).alias("_times"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text"))
+    again = docs.join(times, same).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
     return again.select(*docs.columns)
 
 
