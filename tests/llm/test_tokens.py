@@ -224,3 +224,9 @@ def test_pipeline_stages_take_odd_rows(spark, docs, empty):
         frame = frame.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"))
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, frame, SF).count()
+
+
+def test_mixed_rows_keep_null_and_repeated_ids(spark):
+    rows = [(None, "no id at all", None), (1, "first text of one", None), (1, "second text", None), (2, "", None), (3, None, None)]
+    got = corpus_pipeline.mix(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), SF)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, rows[:3]))
