@@ -228,3 +228,19 @@ def test_domain_ids_stay_put(spark):
     assert {r["value"]: r["id"] for r in first.collect()} == {"b": 0, "a": 1}
     more = MF.domain_ids(df([("c", 0), ("a", 1), ("d", 5)]), "k", "seq", first)
     assert {r["value"]: r["id"] for r in more.collect()} == {"b": 0, "a": 1, "c": 2, "d": 3}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rendered_clips_meet_their_manifest_without_a_broadcast(spark):
+    m = manifest(spark, {"has_audio": True}, {}, {"label": 1})
+    done = m.withColumn("recipe", F.explode(F.lit([*MF.RECIPES, "unasked"]))).where("NOT (recipe = 'hflip' AND video_id = 'v1')")
+    out = MF.degrade_manifest(m, MF.RECIPES, done.withColumn("path", F.concat_ws("/", F.lit("/x"), "recipe", "video_id")))
+    got = {tuple(r) for r in out.select("video_id", "path", "has_audio").collect()}
+    assert got == {(f"v{i}__{r}", f"/x/{r}/v{i}", r != "audio_strip") for i in range(3) for r in MF.RECIPES if (i, r) != (1, "hflip")}
+    assert out.count() == 3 * len(MF.RECIPES) - 1
+    # The list of what was rendered is many times the table it is made from, which estimates do not see.
+    plan = plan_of(out)
+    assert "Broadcast" not in plan and plan.count("Generate explode") == 1
