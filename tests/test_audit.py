@@ -244,3 +244,24 @@ def test_rendered_clips_meet_their_manifest_without_a_broadcast(spark):
     # The list of what was rendered is many times the table it is made from, which estimates do not see.
     plan = plan_of(out)
     assert "Broadcast" not in plan and plan.count("Generate explode") == 1
+
+
+def test_bands_that_agree_by_chance_are_not_carried_on(spark, monkeypatch):
+    """What is written per clip grows with its frames and links, however many clips share each band."""
+    rng = np.random.default_rng(5)
+    clips = [(f"v{i}", [int(x) for x in rng.integers(-(2**62), 2**62, 6)]) for i in range(3000)]
+    clips[1][1][1:4] = [h ^ 9 for h in clips[0][1][1:4]]
+    df = spark.createDataFrame(clips, "video_id string, phash array<bigint>")
+    written = {}
+
+    def cut(rows, name):
+        out = new_path(rows.sparkSession, name)
+        rows.write.parquet(out)
+        back = rows.sparkSession.read.parquet(out)
+        written.setdefault(name, []).append(back.count())
+        return back
+
+    monkeypatch.setattr(D, "cut", cut)
+    got = [(r["rep_a"], r["rep_b"], r["n_frames"], r["distance"]) for r in D.near_duplicates(df, hot_key=4).collect()]
+    assert got == [("v0", "v1", 3, 2)]
+    assert max(n for counts in written.values() for n in counts) <= 3000 * 6 and max(written["keys"]) == 6
