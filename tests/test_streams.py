@@ -167,3 +167,28 @@ def test_job_changes_keep_old_fields_and_skip_unknown_jobs(spark):
     assert [(r["job_id"], r["created_us"], r["updated_us"], r["state"], r["filename"]) for r in got] == [(1, 0, 9, "done", "a.mp4")]
     kept, expired = N.purge(N.job_state(changes), 5 + 24 * 3_600_000_000)
     assert [r["job_id"] for r in expired.collect()] == [2] and [r["job_id"] for r in kept.collect()] == [1]
+
+
+@pytest.mark.parametrize("parts", [3, 40])
+def test_batches_of_a_table_do_not_grow_with_partitions(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        seen = []
+        feed = T.as_stream(spark.range(0, 4000, 1, 7).withColumnRenamed("id", "ts"), "ts")
+        T.drain(feed, lambda df, batch: seen.append(df.count()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(seen) == 4000 and len(seen) <= T.BATCHES
+
+
+def test_a_prediction_file_in_parts_is_found_as_a_whole(spark):
+    """Its first part may hold no rows at all; runs are still compared by seed."""
+    root = new_path(spark, "tree")
+    for seed, n in ((0, 500), (1, 5)):
+        rows = spark.range(n).repartition(3).selectExpr("concat('v', id) AS video_id", "CAST(id % 2 AS INT) AS label", "'ffpp' AS dataset", "'real' AS forgery_method", "true AS has_audio", "id / 500 AS logit")
+        empty = rows.where("false").coalesce(1)
+        P.write_preds(empty.union(rows), f"{root}/m1/seed{seed}/preds_val.csv")
+    found = RT.discover_preds(spark, root).collect()
+    assert [(r["key"], r["path"].split("/m1/")[1]) for r in found] == [("m1/val", "seed0/preds_val.csv")]
+    assert P.read_preds(spark, found[0]["path"]).count() == 500

@@ -72,8 +72,12 @@ def collect_runs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def discover_preds(spark: SparkSession, root: str) -> DataFrame:
-    """(key, path) of prediction files, keyed ``exp/split``; the first seed wins."""
-    files = spark.read.format("binaryFile").load(f"{root}/*/seed*/preds_*.csv").select("path")
+    """(key, path) of prediction files, keyed ``exp/split``; the first seed wins.
+
+    A file that Spark wrote is a folder of parts; its path is the folder's, not a part's.
+    """
+    files = spark.read.format("binaryFile").load(f"{root}/*/seed*/preds_*.csv")
+    files = files.select(F.regexp_extract("path", r"^(.*/seed\d+/preds_[^/]+\.csv)(?:/[^/]*)?$", 1).alias("path"))
     parts = r"([^/]+)/seed(\d+)/preds_([^/]+)\.csv"
     key = F.concat_ws("/", F.regexp_extract("path", parts, 1), F.regexp_extract("path", parts, 3))
     return files.groupBy(key.alias("key")).agg(F.min("path").alias("path"))

@@ -11,13 +11,20 @@ from pyspark.sql.streaming import StreamingQuery
 from ..session import cut, new_path
 
 
-def as_stream(df: DataFrame, order: str, n_files: int | None = None, files_per_trigger: int = 2) -> DataFrame:
+#: Micro-batches of a table that is read back as a stream, whatever its size.
+BATCHES = 4
+
+
+def as_stream(df: DataFrame, order: str, n_files: int | None = None, files_per_trigger: int | None = None) -> DataFrame:
     """Write a table out in time ranges and read it back as a file stream.
 
-    By default there are as many ranges as shuffle partitions.
+    By default there are as many ranges as shuffle partitions, read in ``BATCHES``
+    micro-batches. Each batch commits the state of every shuffle partition; if batches
+    grew with the partitions, so would the commits with their square.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, "feed")
     n_files = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files_per_trigger = files_per_trigger or -(-n_files // BATCHES)
     df.repartitionByRange(n_files, order).write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
