@@ -292,3 +292,23 @@ def test_verdict_order(spark):
     df = spark.createDataFrame([(3.0,), (-3.0,), (0.1,), (0.19,)], "logit double")
     got = [(r["verdict"], r["ood_flag"]) for r in V.score_logits(df, cal).collect()]
     assert got == [("likely_manipulated", False), ("likely_authentic", False), ("inconclusive", True), ("inconclusive", False)]
+
+
+def test_failing_rows_are_found_in_few_calls(spark):
+    """A half that must fail is not asked; every row still gets its own logit, frames or error."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def predict(pdf):
+        asked.add(1)
+        if (pdf["i"] % 64 == 63).any():
+            raise ValueError(f"cannot decode {pdf['i'].iloc[-1]}")
+        return {"logit": pdf["i"].astype(float), "frame_logits": [[float(i)] for i in pdf["i"]]}
+
+    rows = scoring.score(spark.range(0, 1024, 1, 1).withColumnRenamed("id", "i"), predict).collect()
+    assert [r["i"] for r in rows] == list(range(1024))
+    for r in rows:
+        bad = r["i"] % 64 == 63
+        assert (r["logit"], r["frame_logits"]) == ((None, []) if bad else (r["i"], [r["i"]]))
+        assert r["error"] == (f"ValueError: cannot decode {r['i']}" if bad else "")
+    # Sixteen bad rows: 15 ranges above them, then six halvings and one row each; both halves were asked before, 223 calls.
+    assert asked.value <= 15 + 16 * 8

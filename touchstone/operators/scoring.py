@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,35 +26,44 @@ def score(df: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], keep:
     """Run ``predict`` over Arrow batches; it returns ``logit`` and maybe ``frame_logits``.
 
     A batch that raises is halved until the failing rows stand alone, so one bad clip
-    costs one row: its ``error`` is ``Type: message`` and its logit null.
+    costs one row: its ``error`` is ``Type: message`` and its logit null. Rows are put
+    together once per batch, not per piece.
     """
     keep = keep or df.columns
     schema = T.StructType([df.schema[k] for k in keep] + list(SCORED))
 
-    def rows(batch: pd.DataFrame) -> pd.DataFrame:
-        out = predict(batch)
-        got = batch[keep].reset_index(drop=True)
-        got["logit"] = pd.Series(list(out["logit"]), dtype="float64")
-        got["frame_logits"] = list(out["frame_logits"]) if "frame_logits" in out else [[] for _ in range(len(batch))]
-        got["error"] = ""
-        return got
+    def fill(batch: pd.DataFrame, logits: np.ndarray, frames: list, errors: list) -> None:
+        """What ``predict`` says of each row, or its error."""
 
-    def attempt(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        try:
-            yield rows(batch)
-        except Exception as e:  # noqa: BLE001 - narrowed down to the failing rows
-            if len(batch) > 1:
-                half = len(batch) // 2
-                yield from attempt(batch.iloc[:half])
-                yield from attempt(batch.iloc[half:])
-                return
-            bad = batch[keep].reset_index(drop=True)
-            bad["logit"], bad["frame_logits"], bad["error"] = float("nan"), [[]], f"{type(e).__name__}: {e}"
-            yield bad
+        def attempt(lo: int, hi: int, fails: bool = False) -> bool:
+            """Score rows ``lo`` to ``hi``; true if that took one call. A range known to fail is halved unasked."""
+            if not fails or hi - lo == 1:
+                try:
+                    out = predict(batch.iloc[lo:hi])
+                    got = np.asarray(out["logit"], dtype="float64")
+                    seen = list(out["frame_logits"]) if "frame_logits" in out else [[]] * (hi - lo)
+                    if not len(got) == len(seen) == hi - lo:
+                        raise ValueError(f"{hi - lo} rows in, {len(got)} out")
+                    logits[lo:hi], frames[lo:hi] = got, seen
+                    return True
+                except Exception as e:  # noqa: BLE001 - narrowed down to the failing rows
+                    if hi - lo == 1:
+                        errors[lo] = f"{type(e).__name__}: {e}"
+                        return False
+            half = (lo + hi) // 2
+            # If the first half passes, it is the second one that fails.
+            attempt(half, hi, attempt(lo, half))
+            return False
+
+        attempt(0, len(batch))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.concat(list(attempt(batch)))
+            n = len(batch)
+            logits, frames, errors = np.full(n, np.nan), [[]] * n, [""] * n
+            if n:
+                fill(batch, logits, frames, errors)
+            yield batch[keep].reset_index(drop=True).assign(logit=logits, frame_logits=frames, error=errors)
 
     out = df.mapInPandas(run, schema)
     return out.withColumn("logit", F.when(F.col("error") == "", F.col("logit")))
