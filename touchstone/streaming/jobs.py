@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,17 +35,22 @@ def progress_feed(changes: DataFrame, late: str = "10 minutes", keep: str = "1 d
             state.remove()
             return
         old_state, old_stage, over, newest = state.get if state.exists else ("", "", False, 0)
-        rows = pd.concat(list(parts)).sort_values(["updated_us", "seq"])
+        got = list(parts)
+        rows = got[0] if len(got) == 1 else pd.concat(got)
+        # A job has a few rows: plain values, as every pandas call would cost more than they do.
         newest = max(newest, int(rows["at_ms"].max()))
         if not over:
-            pair = rows[["state", "stage"]].fillna("")
-            before = pair.shift().fillna({"state": old_state, "stage": old_stage})
-            ends = pair["state"].isin(TERMINAL).to_numpy()
-            open_still = ends.cumsum() - ends == 0
-            rows = rows[(pair != before).any(axis=1).to_numpy() & open_still]
-            over = bool(ends.any())
-            old_state, old_stage = pair.iloc[int(ends.argmax()) if over else -1]
-            yield rows.assign(job_id=key[0])[["job_id", "seq", "state", "stage"]]
+            seqs, states, stages = (rows[k].to_numpy() for k in ("seq", "state", "stage"))
+            sent = []
+            for k in np.lexsort((seqs, rows["updated_us"].to_numpy())):
+                pair = tuple(v if isinstance(v, str) else "" for v in (states[k], stages[k]))
+                if pair != (old_state, old_stage):
+                    sent.append(k)
+                old_state, old_stage = pair
+                if over := pair[0] in TERMINAL:
+                    break
+            if sent:
+                yield pd.DataFrame({"job_id": key[0], "seq": seqs[sent], "state": states[sent], "stage": stages[sent]})
         state.update((old_state, old_stage, over, newest))
         state.setTimeoutTimestamp(max(newest + after[over], state.getCurrentWatermarkMs() + 1))
 
