@@ -7,8 +7,10 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from touchstone.llm import queries, quality, secrets, toxicity
+from touchstone.llm.common import logistic
 
 SF = "/root/testdata/sf0.01"
 
@@ -130,6 +132,76 @@ def test_threshold_keeps_the_wanted_recall():
     assert (good >= net.threshold).mean() >= secrets.RECALL
 
 
+def test_network_learns_from_all_documents(spark):
+    """Secrets only in the last 2,000 of 22,000 documents in order of a hash."""
+    rng = random.Random(4)
+    key = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    ids = spark.range(22000).orderBy(F.xxhash64("id"), "id").collect()
+    texts = [f"see {key(18, '0123456789')} there" for _ in range(2000)] + ["see there"] * 18000
+    texts += [f"secret={key(24, 'abcdefghijklmnopqrstuvwxyz0123456789')} there" for _ in range(2000)]
+    docs = spark.createDataFrame([(r[0], t) for r, t in zip(ids, texts)], "doc_id long, text string")
+    rows = secrets.findings(docs).groupBy("y").agg(F.sum("n")).collect()
+    assert sorted(map(tuple, rows)) == [(0, 2000), (1, 6000)]
+    net = secrets.train(docs, epochs=4)
+    assert net.threshold <= 1
+    fresh = [key(24, "abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(50)]
+    assert sum(bool(s) for s in secrets.scan_batch([f"see {k} there" for k in fresh], net)) >= 45
+    assert not any(secrets.scan_batch(["see a-chapter-of-a-book there"], secrets.train(docs.limit(0))))
+
+
+def test_copies_and_rows_without_id_are_trained_on(spark):
+    rows = [(None, "secret=abcdefgh12345678xyz")] * 3 + [(7, "0123456789 0123456789012345")] * 2 + [(None, None), (1, "")]
+    got = secrets.findings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["y"], r["n"]) for r in got) == [(0, 2), (1, 3), (1, 6)]
+    packed = secrets.blocks(secrets.findings(spark.createDataFrame(rows, "doc_id long, text string")), 3, 2).collect()
+    assert sum(len(r["y"]) for r in packed) == 11 and sum(sum(r["y"]) for r in packed) == 9
+    assert all(len(r["x"]) == 80 * len(r["y"]) and len(r["extra"]) == 32 * len(r["y"]) for r in packed)
+
+
+def test_a_round_is_the_mean_of_the_blocks_in_any_layout(spark):
+    rng = np.random.default_rng(8)
+    x, extra, y = rng.integers(0, secrets.CLASSES, (5, 300, 80)).astype(np.uint8), rng.normal(size=(5, 300, 4)), rng.integers(0, 2, (5, 300)).astype(np.uint8)
+    table = spark.createDataFrame([(i, bytearray(x[i].tobytes()), bytearray(extra[i].tobytes()), bytearray(y[i].tobytes())) for i in range(5)], "block long, x binary, extra binary, y binary")
+    state, weights = secrets.begin(rng), (0.6, 2.0)
+    got = [secrets.advance(table.repartition(k), state, weights, 3, 1) for k in (1, 3)]
+    assert (got[0] == got[1]).all()
+    each = [secrets.descend(state, x[i], extra[i], y[i], weights, np.random.default_rng([3, 1, i]).permutation(300)) for i in range(5)]
+    assert np.allclose(got[0], np.mean(each, 0), atol=1e-9)
+
+
+def test_gradient_equals_differences():
+    """A first step of Adam goes against the sign of the gradient."""
+    rng = np.random.default_rng(2)
+    x, extra, y = rng.integers(0, secrets.CLASSES, (40, 80)), rng.normal(size=(40, 4)), rng.integers(0, 2, 40)
+    state = secrets.begin(rng)
+
+    def loss(flat):
+        z = secrets.network(flat).logits(x, extra)
+        return (np.where(y == 1, 2.0, 0.6) * (np.logaddexp(0, z) - y * z)).mean() + 0.5e-4 * (flat[-2 * secrets.FILTERS - 5 :] ** 2).sum()
+
+    flat = secrets.parameters(state)
+    grad = np.split(secrets.descend(state, x, extra, y, (0.6, 2.0), np.arange(40))[:-1], 3)[1] * 10
+    for i in [*rng.integers(0, len(flat), 40), *range(len(flat) - 60, len(flat))]:
+        move = np.zeros(len(flat))
+        move[i] = 1e-6
+        assert abs((loss(flat + move) - loss(flat - move)) / 2e-6 - grad[i]) < 1e-6
+
+
+@pytest.mark.parametrize("apart", [0.0, 3.0, 50.0])
+def test_calibration_over_a_table_equals_one_in_memory(spark, apart):
+    rng = np.random.default_rng(9)
+    y, n = (rng.random(3000) < 0.2).astype(int), rng.integers(1, 4, 3000)
+    z = np.round(rng.normal(size=3000), 2) + apart * y
+    net = secrets.calibrate(secrets.network(secrets.parameters(secrets.begin(rng))), spark.createDataFrame(list(zip(z.tolist(), y.tolist(), n.tolist())), "z double, y int, n long"))
+    z, y = np.repeat(z, n), np.repeat(y, n)
+    scale = logistic(np.stack([z, np.ones_like(z)], 1), y.astype(float), l2=1e-2)
+    assert np.allclose(net.scale, (max(scale[0], 1e-3), scale[1]))
+    good = np.sort(z[y == 1])
+    high = good[int(np.floor((1 - secrets.RECALL) * len(good)))]
+    middle = (high + z[(y == 0) & (z < high)].max()) / 2
+    assert np.isclose(net.threshold, 1 / (1 + np.exp(-np.clip(net.scale[0] * middle + net.scale[1], -35, 35))))
+
+
 def test_odd_rows(spark, docs, empty):
     labels = spark.createDataFrame([(0, 1, 0), (4, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     ranking, lexicon, net = quality.train(docs, labels), toxicity.train(docs, labels), secrets.train(docs)

@@ -50,16 +50,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out, pe
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float, weight: np.ndarray | None = None, steps: int = 40) -> np.ndarray:
-    """Coefficients of a ridge-penalised logistic regression by Newton's method."""
-    w = np.zeros(x.shape[1])
-    weight = np.ones(len(y)) if weight is None else weight
+def newton(sums: Callable, size: int, l2: float, steps: int = 40) -> np.ndarray:
+    """Newton's method from zero, with a ridge; ``sums`` gives gradient and Hessian at some coefficients."""
+    w = np.zeros(size)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        grad = x.T @ (weight * (p - y)) + l2 * w
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w))
-        move = np.linalg.solve(hess, grad)
+        grad, hess = sums(w)
+        move = np.linalg.solve(hess + l2 * np.eye(size), grad + l2 * w)
         w -= move * min(1.0, 5.0 / max(1e-9, np.abs(move).max()))
         if np.abs(move).max() < 1e-9:
             break
     return w
+
+
+def logistic(x: np.ndarray, y: np.ndarray, l2: float, weight: np.ndarray | None = None, steps: int = 40) -> np.ndarray:
+    """Coefficients of a ridge-penalised logistic regression by Newton's method."""
+    weight = np.ones(len(y)) if weight is None else weight
+
+    def sums(w):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+        return x.T @ (weight * (p - y)), (x * (weight * p * (1 - p))[:, None]).T @ x
+
+    return newton(sums, x.shape[1], l2, steps)
