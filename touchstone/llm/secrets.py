@@ -312,12 +312,18 @@ def calibrate(net: Net, held: DataFrame, recall: float = RECALL) -> Net:
     """Scale and threshold from all rows of ``held`` (z, y, n), both labels present."""
 
     def sums(w):
-        a, b = map(float, w)
-        z, n = F.col("z"), F.col("n")
-        p = 1 / (1 + F.exp(-F.greatest(F.least(z * a + b, F.lit(35.0)), F.lit(-35.0))))
-        miss, curve = n * (p - F.col("y")), n * p * (1 - p)
-        r = held.agg(*[F.sum(k) for k in (miss * z, miss, curve * z * z, curve * z, curve)]).first()
-        return np.array(r[:2]), np.array([[r[2], r[3]], [r[3], r[4]]])
+        def run(batches):
+            total = np.zeros(5)
+            for b in batches:
+                z, y, n = (b.column(k).to_numpy() for k in ("z", "y", "n"))
+                p = 1 / (1 + np.exp(-np.clip(z * w[0] + w[1], -35, 35)))
+                miss, curve = n * (p - y), n * p * (1 - p)
+                total += [k.sum() for k in (miss * z, miss, curve * z * z, curve * z, curve)]
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["total"])
+
+        # One plan for all steps: numbers in column expressions would be compiled anew in each.
+        r = np.sum([k["total"] for k in map_arrow(held, run, "total array<double>").collect()], 0)
+        return r[:2], np.array([[r[2], r[3]], [r[3], r[4]]])
 
     scale = newton(sums, 2, l2=1e-2)
     good = held.where("y = 1")
