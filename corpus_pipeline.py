@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from touchstone.llm import mixing, neardup, pieces, quality, secrets
 from touchstone.llm.common import table
 from touchstone.llm.queries import vocabulary
-from touchstone.session import new_path
+from touchstone.session import cut, new_path
 
 #: No SQL can express the learned, sketched and scanned stages.
 ORACLE_SQL = None
@@ -35,6 +35,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = groups.where("kept").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
     counts = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    counts = cut(counts, "repeated")
     once = named.join(counts, "doc_id", "left_anti")
     repeated = named.join(counts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(repeated).unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"])).select(*docs.columns)

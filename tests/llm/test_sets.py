@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from touchstone.llm import neardup, neighbours, queries, substrings, syncmers
 
 SF = "/root/testdata/sf0.001"
@@ -72,6 +73,23 @@ def test_groups_of_near_copies(spark, monkeypatch, hot, rare):
     check_groups(spark, edited_copies(3, 90), 5, 80, 100)
 
 
+def test_near_duplicates_are_found_by_small_queries(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 4)
+    monkeypatch.setattr(neardup, "RARE", 2)
+    docs = spark.createDataFrame(edited_copies(1, 150) + [(1000 + i, t) for i, t in edited_copies(2, 30)], "doc_id long, text string")
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def jobs():
+        bus.waitUntilEmpty(60_000)
+        found = store.executionsList(max(0, store.executionsCount() - 100), 100)
+        return {found.apply(i).executionId(): found.apply(i).jobs().size() for i in range(found.size())}
+
+    last = max(jobs(), default=-1)
+    corpus_pipeline.deduplicate(spark, docs, "").collect()
+    ran = [n for i, n in jobs().items() if i > last]
+    assert len(ran) > 10 and max(ran) <= 12  # the driver keeps and plans a query anew with each job; one took 39
+
+
 def test_near_duplicates_of_odd_rows(docs, empty):
     got = {(r["doc_id"], r["n_shingles"]): r for r in neardup.near_duplicates(docs, 3, 85).collect()}
     assert got[100, 11]["component_id"] == 0 and not got[100, 11]["kept"]

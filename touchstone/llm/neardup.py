@@ -19,6 +19,9 @@ A group of n near copies would give n * n / 2 candidates. Instead:
    lack; pairs with one are found by a join on rare shingles, whose rows are bounded by
    RARE times the number of shingles.
 
+Every step is a query of its own on stored tables: Spark re-plans, logs and keeps a running query
+once per finished exchange, so what the driver holds grows with the square of the exchanges in one.
+
 All bounds are exact, so no link between candidates is lost. A pair at the threshold
 of 0.85 misses all 32 bands of 5 samples with a chance below 1e-8 (3e-6 at 0.8).
 """
@@ -234,7 +237,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = cut(keyed.join(shared, "key"), "members")
     wanted = members.select("node").distinct()
-    led = reps.select("node", "first", "k1").join(wanted, "node", "left_semi")
+    led = cut(reps.select("node", "first", "k1").join(wanted, "node", "left_semi"), "led")
     texts = docs.join(led.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
     sets = shingle_sets(texts, words).withColumnRenamed("node", "first").join(led, ["first", "k1"])
     sets = cut(sets.dropDuplicates(["node"]).select("node", "shingles"), "sets")
@@ -245,7 +248,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         .groupBy("node").agg(F.count("*").alias("own"))
     )
     info = (
-        reps.select("node", "n", "odd").join(wanted, "node", "left_semi").join(private, "node", "left")
+        reps.select("node", "n", "odd").join(led.select("node"), "node", "left_semi").join(private, "node", "left")
         .withColumn("own", F.coalesce("own", F.lit(0)))
     )
     # The largest partner that a node could link with, from what it shares with anybody.
@@ -256,22 +259,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     pivots = m.groupBy("key").agg(
         F.min(F.struct(F.col("own") / F.col("n"), "node")).alias("p"), F.min("n").alias("n_min"), F.max("room").alias("room_max"), F.count("*").alias("c")
     ).select("key", F.col("p.node").alias("pivot"), "n_min", "room_max", "c")
+    pivots = cut(pivots, "pivots")
     stars = (
         m.join(pivots, "key").where("node != pivot")
         .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     )
-    found = cut(_confirmed(_possible(stars, info, least, num, den), sets, num, den), "links")
+    found = cut(_confirmed(_possible(cut(stars, "stars"), info, least, num, den), sets, num, den), "links")
     comps = components(found)
 
     m = cut(m.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
     stay = comps.select(F.col("node").alias("pivot"), F.col("comp").alias("main"))
     mixed = pivots.join(stay, "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
-    open_ = m.join(mixed, "key").where("comp != main AND room >= n_min AND room_max >= n")
+    open_ = cut(m.join(mixed, "key").where("comp != main AND room >= n_min AND room_max >= n"), "open")
     keys = reps.select("node", "bands")
-    crossing = _crossing(open_.where(f"c <= {HOT}"), m, keys)
+    crossing = cut(_crossing(open_.where(f"c <= {HOT}"), m, keys), "crossing")
     hot = open_.where(f"c > {HOT}")
     if hot.limit(1).count():
-        crossing = crossing.union(_hot_crossing(cut(hot, "hot"), m, keys, sets, num, den)).distinct()
+        crossing = cut(crossing.union(_hot_crossing(hot, m, keys, sets, num, den)).distinct(), "crossing")
     more = cut(_confirmed(_possible(crossing, info, least, num, den), sets, num, den), "links")
     if more.limit(1).count():
         comps = components(found.union(more))
@@ -281,7 +285,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     if own:  # components may be led by such a node
         names = named.groupBy("comp").agg(F.min("first").alias("name"))
         named = named.join(names, "comp").withColumn("comp", F.col("name"))
-    named = named.select("k1", "k2", "n", "comp")
+    named = cut(named.select("k1", "k2", "n", "comp"), "named")
     out = sigs.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -313,10 +317,10 @@ def _hot_crossing(hot: DataFrame, members: DataFrame, bands: DataFrame, sets: Da
     nodes = nodes.join(counts, "node", "left").withColumn("rare", F.coalesce("rare", F.lit(0)))
     nodes = cut(nodes.withColumn("room", F.floor((F.col("n") - F.col("rare")) * (num + den) / F.lit(num)) - F.col("n")), "nodes")
     # Without a common rare shingle.
-    narrow = inside.drop("room").join(nodes.select("node", "room"), "node")
+    narrow = cut(inside.drop("room").join(nodes.select("node", "room"), "node"), "narrow")
     bounds = narrow.groupBy("key").agg(F.min("n").alias("n_min"), F.max("room").alias("room_max"))
     still = hot.select("key", "pivot", "node").join(narrow, ["key", "node"]).join(bounds, "key").where("room >= n_min AND room_max >= n")
-    plain = _crossing(still, narrow, bands)
+    plain = cut(_crossing(cut(still, "still"), narrow, bands), "crossing")
     # With one: counted per pair.
     side = lambda s, frame: frame.join(nodes, "node").select("h", *[F.col(k).alias(f"{k}_{s}") for k in ("node", "n", "comp", "rare")])
     shared = rare.where("df > 1").select("h", "node")
@@ -324,6 +328,7 @@ def _hot_crossing(hot: DataFrame, members: DataFrame, bands: DataFrame, sets: Da
     pairs = left.join(side("b", shared), "h").where("node_a != node_b AND comp_a != comp_b")
     met = pairs.groupBy("node_a", "node_b").agg(F.count("*").alias("s"), *[F.first(k).alias(k) for k in ("n_a", "n_b", "rare_a", "rare_b")])
     met = met.where(f"{num + den} * (least(n_a - rare_a, n_b - rare_b) + s) >= {num} * (n_a + n_b)")
+    met = cut(met, "met")
     return plain.union(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
 
 
