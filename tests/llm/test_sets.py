@@ -90,6 +90,42 @@ def test_near_duplicates_are_found_by_small_queries(spark, monkeypatch):
     assert len(ran) > 10 and max(ran) <= 12  # the driver keeps and plans a query anew with each job; one took 39
 
 
+def test_near_duplicates_shuffle_no_texts(spark):
+    rng = random.Random(4)
+    rows = edited_copies(1, 60) + [(1000 + i, " ".join(str(rng.random()) for _ in range(50))) for i in range(200)]
+    docs = spark.createDataFrame(rows + [(None, "no id")], "doc_id long, text string")
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def plans():
+        bus.waitUntilEmpty(60_000)
+        found = store.executionsList(max(0, store.executionsCount() - 100), 100)
+        return {found.apply(i).executionId(): found.apply(i).physicalPlanDescription() for i in range(found.size())}
+
+    last, before = max(plans(), default=-1), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more ids than a broadcast takes
+    try:
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs, 3, 85).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    ran = [p for i, p in plans().items() if i > last]
+    exchanged = [x for p in ran for x in re.findall(r"Exchange\nInput \[\d+\]: \[([^\]]*)\]", p)]
+    assert len(exchanged) > 20 and not [x for x in exchanged if "text#" in x]
+    assert got == components_by_hand(rows, 3, 85, 100) | {None: (1, None)}
+
+
+@pytest.mark.parametrize("most", [64, 1 << 26])
+def test_the_filter_of_ids_misses_none(spark, monkeypatch, most):
+    monkeypatch.setattr(neardup, "MOST_BITS", most)
+    docs = spark.range(-20_000, 20_000).selectExpr("id * 7919 AS doc_id", "'x' AS text")
+    ids = docs.where("pmod(doc_id, 40) = 0").select("doc_id")
+    got = neardup.likely(docs.union(docs.selectExpr("NULL", "text").limit(5)), ids)
+    assert got.join(ids, "doc_id", "left_semi").count() == ids.count() == 1000
+    assert got.where("doc_id IS NULL").count() == 0 and (most == 64 or got.count() < 1400)
+    assert neardup.likely(docs, ids.where("false")).count() == 0
+    rows = edited_copies(1, 60) + [(1000 + i, t) for i, t in edited_copies(2, 30)]
+    check_groups(spark, rows, 3, 85, 100)
+
+
 def test_near_duplicates_of_odd_rows(docs, empty):
     got = {(r["doc_id"], r["n_shingles"]): r for r in neardup.near_duplicates(docs, 3, 85).collect()}
     assert got[100, 11]["component_id"] == 0 and not got[100, 11]["kept"]
