@@ -1,5 +1,7 @@
 """Streams that stop and go on, and sources that refuse or report bad input."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +105,58 @@ def test_progress_feed_over_many_batches_and_its_state_ends(spark):
     assert len(ran[0].recentProgress) >= 9
 
 
+def folded(rows, late, keep, idle):
+    """What jobs send and keep, one change after another: (seqs sent, jobs left)."""
+    sent, live, top, now = [], {}, None, 0
+    for b in sorted({r[0] for r in rows}):
+        batch = sorted((r for r in rows if r[0] == b), key=lambda r: (r[1] is None, r[1] or 0, r[2], r[3] is None, r[3] or 0))
+        for _, job, ms, seq, state, stage in batch:
+            pair, over, newest = live.get(job, (None, False, 0))
+            if not over and pair != (new := (state or "", stage or "")):
+                sent.append((job, seq, state, stage))
+            live[job] = (pair if over else new, over or state in ("done", "failed", "cancelled"), max(newest, ms))
+        touched = {r[1] for r in batch}
+        live = {j: v for j, v in live.items() if j in touched or v[2] + (keep if v[1] else idle) >= now}
+        top = max([top or 0, *(r[2] for r in batch)])
+        now = max(now, top - late)
+    return sent, {j for j, v in live.items() if v[2] + (keep if v[1] else idle) >= now}
+
+
+@pytest.mark.parametrize("shards", [1, 5])
+def test_progress_feed_folds_many_jobs_of_a_shard_at_once(spark, shards):
+    """Calls and state go by shard; each of its jobs still has its own order, end and expiry."""
+    draw, minute = random.Random(shards), 60_000
+    ids = [None, 0, *range(2**60, 2**60 + 60)]
+    rows = []
+    for b in range(6):
+        for _ in range(120):
+            m = b * 60 + draw.randrange(1, 60)
+            state = draw.choice(["queued", "running", "running", "running", None, "done"])
+            rows.append((b, draw.choice(ids[b * 8 : b * 8 + 20]), m * minute, len(rows) + 2**60, state, draw.choice(["a", "b", None])))
+    rows += [(2, 0, 150 * minute, None, "running", "last"), (7, 0, 3000 * minute, 1, "queued", "a")]
+    draw.shuffle(rows)
+    df = spark.createDataFrame([(b, job, ms * 1000, seq, state, stage) for b, job, ms, seq, state, stage in rows], "b int, job_id long, updated_us long, seq long, state string, stage string")
+    ran = []
+    feed = J.progress_feed(T.as_arrivals(df.withColumn("ts", F.timestamp_micros("updated_us")), "b"), late="1 minute", keep="30 minutes", idle="2 hours", shards=shards)
+    got = [tuple(r) for r in T.appended(feed, ran).select("job_id", "seq", "state", "stage").collect()]
+    want, left = folded(rows, minute, 30 * minute, 120 * minute)
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len({r[0] for r in want}) > 50
+    assert left == {0}
+    kept = [op.numRowsTotal for p in ran[0].recentProgress for op in p.stateOperators]
+    assert max(kept) <= shards + 1 and kept[-1] == 1  # one more for changes without a job
+
+
+def test_arrivals_of_several_files_come_as_one_batch_each(spark, monkeypatch):
+    """Large arrivals are written by several tasks; small ones and those without a time take one batch as well."""
+    monkeypatch.setattr(T, "FILE_ROWS", 100, raising=False)
+    sizes = {3: 750, None: 20, 7: 1, 9: 800}
+    df = spark.createDataFrame([(b, k) for b, n in sizes.items() for k in range(n)], "b int, k int")
+    seen = []
+    T.drain(T.as_arrivals(df, "b"), lambda rows, batch: seen.append((rows.count(), rows.select(F.input_file_name()).distinct().count())))
+    assert [n for n, _ in seen] == [750, 1, 800, 20]
+    assert [files for _, files in seen][:3] == [8, 1, 8]
+
+
 def test_rate_windows_come_once_and_late_rows_are_counted(spark):
     minutes = [(0, "a", 0), (0, "a", 0), (0, "b", 0), (1, "a", 30), (2, "a", 60), (3, "a", 0), (3, "b", 61), (3, "b", 61), (4, "a", 90)]
     df = spark.createDataFrame(minutes, "b int, client string, m long").select("b", "client", F.timestamp_seconds(F.col("m") * 60 + 5).alias("ts"))

@@ -13,6 +13,8 @@ from ..session import cut, new_path
 
 #: Micro-batches of a table that is read back as a stream, whatever its size.
 BATCHES = 4
+#: Rows of a file of an arrival, at most about; more rows are written by more tasks.
+FILE_ROWS = 250_000
 
 
 def as_stream(df: DataFrame, order: str, n_files: int | None = None, files_per_trigger: int | None = None) -> DataFrame:
@@ -30,19 +32,27 @@ def as_stream(df: DataFrame, order: str, n_files: int | None = None, files_per_t
 
 
 def as_arrivals(df: DataFrame, arrival: str) -> DataFrame:
-    """A file stream with one micro-batch per value of ``arrival``, in their order.
+    """A file stream with one micro-batch per value of ``arrival``, in their order, null last.
 
-    Files are written one after another, as they would come in; a file stream takes the
-    oldest first. Meant for feeds of a few batches.
+    Files are written one arrival after another, as they would come in; a file stream takes
+    the oldest first. All arrivals have equally many files, so that a batch is that many:
+    about ``FILE_ROWS`` rows each in the largest one; smaller ones are filled up with files
+    that hold no rows. Meant for feeds of a few batches.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, "arrivals")
-    rows = cut(df, "arrivals")
-    for r in rows.select(arrival).distinct().orderBy(arrival).collect():
-        rows.where(F.col(arrival).eqNullSafe(r[0])).drop(arrival).coalesce(1).write.mode("append").parquet(path)
-    schema = df.drop(arrival).schema
-    if not rows.limit(1).count():
-        rows.drop(arrival).write.mode("append").parquet(path)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows, schema = cut(df, "arrivals"), df.drop(arrival).schema
+    sizes = rows.groupBy(arrival).count().orderBy(F.col(arrival).asc_nulls_last()).collect()
+    n_files = -(-max((r["count"] for r in sizes), default=1) // FILE_ROWS)
+    empty = rows.where("false").drop(arrival).coalesce(1)
+    for k, r in enumerate(sizes):
+        part = rows.where(F.col(arrival).eqNullSafe(r[0])).drop(arrival)
+        (part.repartition(n_files) if n_files > 1 else part.coalesce(1)).write.mode("append").parquet(path)
+        if n_files > 1:
+            for _ in range((k + 1) * n_files - len(spark.read.schema(schema).parquet(path).inputFiles())):
+                empty.write.mode("append").parquet(path)
+    if not sizes:
+        empty.write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", n_files).parquet(path)
 
 
 def late_groups(query: StreamingQuery) -> int:
